@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import quality
+from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE_KINDS, find_secrets
 from tidemark.llm.sharding import kd_shards
 from tidemark.llm.simhash import near_duplicates
@@ -45,6 +46,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     docs = docs.withColumn("__text_crc32", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long"))
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op8_repeats": op8_repeats,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
