@@ -14,6 +14,7 @@ from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE_KINDS, find_secrets
 from tidemark.llm.sharding import kd_shards
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     spans, base = F.col("__spans"), F.filter("__spans", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -70,6 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
+    "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
     "op8_repeats": op8_repeats,
