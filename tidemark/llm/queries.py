@@ -15,6 +15,7 @@ from tidemark.llm.repeats import remove_repeats
 from tidemark.llm.secrets import BASE_KINDS, find_secrets
 from tidemark.llm.sharding import kd_shards
 from tidemark.llm.simhash import near_duplicates
+from tidemark.llm.surrogates import KINDS, replace_entities
 from tidemark.llm.warc import round_trip
 
 
@@ -59,6 +60,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_entities(_table(spark, sf_dir, "documents"), key="tidemark", keep=["doc_id"])
+    return found.select("doc_id", F.col("__text").alias("text"), *[F.element_at("__entities", k).alias(f"n_{k}") for k in KINDS])
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_decontamination": op6_decontamination,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_repeats": op8_repeats,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
