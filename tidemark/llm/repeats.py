@@ -20,8 +20,8 @@ GRAM = 20
 SIDE = LEAST - GRAM  # bytes of context to each side of an anchor
 #: Bytes of text whose anchors are found at once, and of text or context for each bucket of anchors.
 SLICE = 4 << 20
-BUCKET_TEXT = 32 << 20
-BUCKET_CONTEXT = 64 << 20
+BUCKET_TEXT = 16 << 20
+BUCKET_CONTEXT = 16 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -112,10 +112,10 @@ def _by_group(keys: np.ndarray, count: int) -> list[np.ndarray]:
 def _text_rows(t1: np.ndarray, t2: np.ndarray, *values: np.ndarray) -> tuple[list, ...]:
     """(t1, t2, bytes of each of values) for each text, from rows with a text key each."""
     order = np.lexsort((t2, t1))
-    t1, t2 = t1[order], t2[order]
+    t1, t2, values = t1[order], t2[order], [v[order] for v in values]
     starts = np.concatenate(([0], np.nonzero((np.diff(t1) != 0) | (np.diff(t2) != 0))[0] + 1)) if len(t1) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(t1))
-    return (t1[starts], t2[starts], *[[v[order][a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for v in values])
+    return (t1[starts], t2[starts], *[[v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for v in values])
 
 
 def _find_anchors(buckets: int):
