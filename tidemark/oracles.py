@@ -80,7 +80,7 @@ def _long(models: tuple[str, ...] = ("zmax",)) -> str:
             parts.append(f"SELECT '{m}', '{n}', {m}, 0, ws, {st} FROM scored WHERE is_val")
         parts.append(f"SELECT '{m}', 'degraded', {m}, 1, ws, NULL FROM scored WHERE is_eval_degr")
         parts.append(f"SELECT '{m}', 'degraded', {m}, 0, ws, NULL FROM scored WHERE is_val")
-    return f"{_SCORE}, long AS ({' UNION ALL '.join(parts)}), bs AS (SELECT model, target, score, sum(y) AS pos, sum(1 - y) AS neg FROM long GROUP BY ALL)"
+    return f"{_SCORE}, long AS ({' UNION ALL '.join(parts)}), bs AS (SELECT model, target, round(score, 9) AS score, sum(y) AS pos, sum(1 - y) AS neg FROM long GROUP BY ALL)"
 
 
 _ROC = """, roc AS (SELECT model, target, sum(pos * (under + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0) AS roc_auc, CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM
@@ -123,6 +123,7 @@ _LAB = f"{_V}, lb AS (SELECT *, {_label('us')} AS label FROM v)"
 _INSIDE = " OR ".join(f"us BETWEEN {f.start} AND {f.end}" for f in FAILURES)
 _MODAL = "modal AS (SELECT dus AS modal_us, n / CAST((SELECT count(dus) FROM l) AS DOUBLE) AS modal_share FROM (SELECT dus, count(*) AS n FROM l WHERE dus IS NOT NULL GROUP BY dus) ORDER BY n DESC, dus LIMIT 1)"
 _F6 = "SELECT seg, win, "
+_R4 = lambda c: _R(c, 4)
 
 
 def _pairs(columns: list[str], src: str) -> str:
@@ -181,18 +182,18 @@ ORACLES: dict[str, str] = {
     "j4_episode_nearest": f"WITH {_V}, t AS (SELECT min(us) AS episode_start FROM (SELECT *, sum(nw) {_W} AS run FROM (SELECT *, CASE WHEN dv = lag(dv) {_W} THEN 0 ELSE 1 END AS nw FROM v)) GROUP BY run HAVING min(dv) = 0 AND max(us) - min(us) >= {H // 2}), n AS (SELECT *, {_nearest('episode_start')} AS e FROM t) SELECT episode_start, e.n AS nearest_event, round_even(e.d / {DAY_US}.0::DOUBLE, 1) AS days_away FROM n",
     "j5_failure_rows": f"WITH {_SEG}, n AS (SELECT ws, row_number() OVER (ORDER BY ws, seg, win) - 1 AS idx FROM grid) " + " UNION ALL ".join(f"SELECT '{f.failure_id}' AS failure_id, (SELECT idx FROM n ORDER BY abs(ws - {f.start}), idx LIMIT 1) AS idx" for f in FAILURES),
     "j6_inside_outside": f"WITH {_V} SELECT 'left_semi' AS side, count(*) AS n, round(avg(a1), 6) AS a1_mean FROM v WHERE {_INSIDE} UNION ALL SELECT 'left_anti', count(*), round(avg(a1), 6) FROM v WHERE NOT ({_INSIDE})",
-    "j8_lookback_cycles": f"WITH {_SEG}, lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p='k_', k='seg, win', src='lk')} SELECT g.seg, g.win, round(cv, 6) AS cycle_dur_cv_6h, round(tr, 6) AS cycle_dur_trend_6h FROM grid g LEFT JOIN k_cyc USING (seg, win)",
+    "j8_lookback_cycles": f"WITH {_SEG}, lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p='k_', k='seg, win', src='lk')} SELECT g.seg, g.win, round(cv, 4) AS cycle_dur_cv_6h, round(tr, 4) AS cycle_dur_trend_6h FROM grid g LEFT JOIN k_cyc USING (seg, win)",
     "l1_labels": f"WITH {_LAB} SELECT event_id, label FROM lb",
     "l2_relabelled": f"WITH {_LAB} SELECT CASE WHEN label = 'healthy' AND ({' OR '.join(f'(us >= {f.start - 168 * H} AND us < {f.start})' for f in FAILURES)}) THEN 'prefail' ELSE label END AS label, count(*) AS n FROM lb GROUP BY 1",
-    "fe1_duty": f"WITH {_FEAT} {_F6}{', '.join(map(_R, ('duty', 'frac_off', 'frac_offloaded', 'frac_loaded')))} FROM f",
-    "fe2_pressure": f"WITH {_FEAT} {_F6}{_R('tp3_decay_slope')}, cycles_per_hour, rising_edges FROM f",
-    "fe3_thermal": f"WITH {_FEAT} {_F6}{_R('oil_median')}, {_R('oil_trend')} FROM f",
-    "fe4_residual": f"WITH {_FEAT} {_F6}{_R('oil_residual')} FROM f",
-    "fe5_variability": f"WITH {_FEAT} {_F6}{', '.join(map(_R, ('oil_std', 'tp3_std', 'duty_std', 'cycle_dur_cv', 'cycle_dur_trend', 'longest_load_stretch')))} FROM f",
-    "fe7_instrument": f"WITH {_FEAT} {_F6}{_R('antiphase_share')}, motor_frozen, tp3_frozen FROM f",
+    "fe1_duty": f"WITH {_FEAT} {_F6}{', '.join(map(_R4, ('duty', 'frac_off', 'frac_offloaded', 'frac_loaded')))} FROM f",
+    "fe2_pressure": f"WITH {_FEAT} {_F6}{_R4('tp3_decay_slope')}, cycles_per_hour, rising_edges FROM f",
+    "fe3_thermal": f"WITH {_FEAT} {_F6}{_R4('oil_median')}, {_R4('oil_trend')} FROM f",
+    "fe4_residual": f"WITH {_FEAT} {_F6}{_R4('oil_residual')} FROM f",
+    "fe5_variability": f"WITH {_FEAT} {_F6}{', '.join(map(_R4, ('oil_std', 'tp3_std', 'duty_std', 'cycle_dur_cv', 'cycle_dur_trend', 'longest_load_stretch')))} FROM f",
+    "fe7_instrument": f"WITH {_FEAT} {_F6}{_R4('antiphase_share')}, motor_frozen, tp3_frozen FROM f",
     "fe10_regime": f"WITH {_FEAT} {_F6}cycling_regime FROM f",
-    "fe9_features": f"WITH {_FEAT} {_F6}ws, we, n_samples, label, cycling_regime, {', '.join(c if c == 'cycles_per_hour' else _R(c) for c in SCORED)} FROM f",
-    "fe11_prepared": f"WITH {_PREP} {_F6}{', '.join(map(_R, FILLED))}, tp3_decay_slope_missing, oil_trend_missing, cycle_dur_cv_missing FROM p",
+    "fe9_features": f"WITH {_FEAT} {_F6}ws, we, n_samples, label, cycling_regime, {', '.join(c if c == 'cycles_per_hour' else _R4(c) for c in SCORED)} FROM f",
+    "fe11_prepared": f"WITH {_PREP} {_F6}{', '.join(map(_R4, FILLED))}, tp3_decay_slope_missing, oil_trend_missing, cycle_dur_cv_missing FROM p",
     "m2_split": f"WITH {_FEAT}, {_split('f')} {_F6}is_train, is_val, is_eval_fail, is_eval_degr FROM sp",
     "m3_scaler": f"WITH {_SCORE} SELECT round(mu_duty, 6) AS mu_duty, round(sd_duty, 6) AS sd_duty, round(mu_oil_std, 6) AS mu_oil_std, round(sd_oil_std, 6) AS sd_oil_std FROM sc",
     "m5_zmax": f"WITH {_SCORE} {_F6}ws, we, label, {_R('zmax', 5)}, alert, quality_bad FROM scored",
@@ -201,10 +202,10 @@ ORACLES: dict[str, str] = {
     "o4_top_drivers": f"WITH {_SCORE}, u AS ({' UNION ALL '.join(f'SELECT seg, win, {i} AS i, {c!r} AS col, abs(z_{c}) AS m FROM scored' for i, c in enumerate(SCORED))}) SELECT col AS \"column\", count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY seg, win ORDER BY m DESC, i) AS k FROM u) WHERE k <= 3 GROUP BY col",
     "o5_driver": f"WITH {_SCORE} {_F6}driver FROM scored",
     "o3_recent_alerts": f"WITH {_SCORE}, n AS (SELECT *, row_number() OVER (ORDER BY ws, seg, win) - 1 AS idx FROM scored) SELECT idx, ws, {_R('zmax', 5)} FROM n WHERE idx <= 600 AND zmax >= thr ORDER BY idx DESC LIMIT 8",
-    "ev2_evaluation": f"""WITH {_long()}{_ROC}{_AP}, at AS (SELECT model, target, coalesce(sum(y * hit) / CAST(nullif(sum(hit), 0) AS DOUBLE), 0) AS precision, sum(y * hit) / CAST(nullif(sum(y), 0) AS DOUBLE) AS recall,
+    "ev2_evaluation": f"""WITH {_long()}{_ROC}{_AP}, per_target AS (SELECT model, target, coalesce(sum(y * hit) / CAST(nullif(sum(hit), 0) AS DOUBLE), 0) AS precision, sum(y * hit) / CAST(nullif(sum(y), 0) AS DOUBLE) AS recall,
  CASE WHEN target <> 'degraded' THEN coalesce(round_even((max(start) - min(ws) FILTER (y = 1 AND hit = 1 AND ws < start)) / {H}.0::DOUBLE, 1), 0) END AS lead_h, avg(hit) FILTER (y = 0) * 24 AS fa_per_day
  FROM (SELECT long.*, CASE WHEN score > thr THEN 1 ELSE 0 END AS hit FROM long, thr) GROUP BY model, target)
- SELECT model, target, {', '.join(map(_R, ('precision', 'recall', 'lead_h', 'fa_per_day', 'roc_auc')))}, n_pos, n_neg, {_R('pr_auc')} FROM at LEFT JOIN roc USING (model, target) LEFT JOIN ap USING (model, target)""",
+ SELECT model, target, {', '.join(map(_R, ('precision', 'recall', 'lead_h', 'fa_per_day', 'roc_auc')))}, n_pos, n_neg, {_R('pr_auc')} FROM per_target LEFT JOIN roc USING (model, target) LEFT JOIN ap USING (model, target)""",
     "ev3_roc": f"WITH {_long()}{_ROC} SELECT model, target, {_R('roc_auc')}, n_pos, n_neg FROM roc",
     "ev4_ap": f"WITH {_long()}{_AP} SELECT model, target, {_R('pr_auc')} FROM ap",
     "ev8_sweep": f"WITH {_SCORE}, qs AS ({' UNION ALL '.join(f'SELECT {q}::DOUBLE AS quantile, quantile_cont(zmax, {q}::DOUBLE) AS t FROM scored WHERE is_val' for q in (0.9, 0.95, 0.99, 0.995, 0.999))}), fl AS (SELECT * FROM (VALUES {', '.join(f'({n!r}, {lo}, {st})' for n, lo, _, st in _TARGETS)}) x(failure, lo, start)) SELECT quantile, failure, round((SELECT avg(CASE WHEN zmax > t THEN 1 ELSE 0 END) * 24 FROM scored WHERE is_val), 6) AS fa_per_day, coalesce(round_even((start - (SELECT min(ws) FROM scored WHERE ws >= lo AND ws < start AND zmax > t)) / {H}.0::DOUBLE, 1), 0) AS lead_h FROM qs, fl",
@@ -221,6 +222,6 @@ ORACLES: dict[str, str] = {
     "r3_outer_joins": "WITH a AS (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY 1), b AS (SELECT c_nationkey, count(*) AS n_customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, n_suppliers, n_customers FROM a FULL JOIN b ON s_nationkey = c_nationkey",
     "r4_ranks": "SELECT * FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(10) OVER w AS tile, lead(o_orderkey) OVER w AS next_key FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)) WHERE rn <= 20",
     "r5_set_operations": "WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000) SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS s, 'intersect' AS op FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT count(*), CAST(sum(k) AS BIGINT), 'except' FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT count(*), CAST(sum(k) AS BIGINT), 'union' FROM (SELECT k FROM a UNION SELECT k FROM b)",
-    "r6_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "r6_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 4) AS disc FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "r7_top_parts": "SELECT p_partkey, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 ORDER BY revenue DESC, p_partkey LIMIT 50",
 }

@@ -21,8 +21,10 @@ def long_table(scored: DataFrame, models: list[str], failures=FAILURES, hours: i
 
 
 def by_score(long: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score of each (model, target); all that the curves need."""
-    return long.groupBy("model", "target", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    """Positives and negatives at each distinct score of each (model, target); all that the curves need.
+
+    Scores that differ by less than 1e-9 are ties: sums in another order don't break them."""
+    return long.groupBy("model", "target", F.round("score", 9).alias("score")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
 def roc_auc(counts: DataFrame) -> DataFrame:

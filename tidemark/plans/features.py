@@ -9,6 +9,7 @@ from tidemark.operators.joins import lookback
 from tidemark.operators.labels import label, majority
 from tidemark.operators.timeline import grid, islands, segmented, segments, windowed, with_lag
 from tidemark.schema import HOUR_US, VIEW, Roles
+from tidemark.storage import stored
 
 #: Columns that are scored, in the order in which ties between drivers are resolved.
 SCORED = ("duty", "frac_off", "frac_offloaded", "tp3_decay_slope", "cycles_per_hour", "oil_median", "oil_trend", "oil_std", "tp3_std", "duty_std", "cycle_dur_cv", "cycle_dur_trend", "longest_load_stretch", "antiphase_share", "oil_residual")
@@ -86,9 +87,9 @@ def window_table(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Rol
     return grid(segs, width_us, r), windowed(rows, segs, width_us, r)
 
 
-def base_features(tiles: DataFrame, rows: DataFrame, r: Roles = VIEW) -> DataFrame:
-    """All families for each window, empty ones included, and the windows' labels."""
-    rows = rows.withColumn("_label", label(F.col(r.us))).repartition(*keys(r))
+def base_features(tiles: DataFrame, rows: DataFrame, r: Roles = VIEW, **known) -> DataFrame:
+    """All families for each window, empty ones included, and the windows' labels. known: failures and intervals of the labels."""
+    rows = rows.withColumn("_label", label(F.col(r.us), **known)).repartition(*keys(r))
     simple = rows.groupBy(*keys(r)).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(r.load).alias("cycles_per_hour"), *duty_family(r), *thermal_family(r), *variability_family(r), *instrument_family(r), majority("_label", F.count(F.lit(1))).alias("label"))
     out = tiles.join(simple, keys(r), "left")
     for part in (decay_slopes(rows, r), cycle_stats(load_cycles(rows, keys(r), r), keys(r)), load_stretches(rows, r)):
@@ -133,10 +134,11 @@ def prepared(features: DataFrame, scope: Column | None = None) -> DataFrame:
     return d.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in FILLED}).drop(*[f"_m_{c}" for c in FILLED])
 
 
-def build(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Roles = VIEW) -> DataFrame:
+def build(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Roles = VIEW, **known) -> DataFrame:
     """The feature table: families, oil residual, regime."""
     tiles, rows = window_table(view, gap_us, width_us, r)
-    out = with_regime(with_oil_residual(base_features(tiles, rows, r)))
+    base = stored(base_features(tiles, rows, r, **known))  # a row for each window; the raw rows are read once
+    out = with_regime(with_oil_residual(base))
     if len(set(out.columns)) != len(out.columns):
         raise ValueError("a feature column appears twice")
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.labels import FAILURES
 from tidemark.plans.features import SCORED, prepared
 from tidemark.schema import HOUR_US
+from tidemark.storage import stored
 
 
 def time_split(features: DataFrame, train_fraction: float = 0.6) -> DataFrame:
@@ -55,7 +56,8 @@ def threshold(scored: DataFrame, q: float = 0.99, score: str = "zmax") -> DataFr
 
 def scored(features: DataFrame, q: float = 0.99, columns=SCORED) -> DataFrame:
     """Features with splits, z columns, zmax, driver, thr, alert and quality_bad."""
-    d = standardised(time_split(prepared(features)), columns).withColumn("zmax", zmax(columns)).withColumn("driver", driver(columns))
+    split = stored(time_split(prepared(features)))
+    d = stored(standardised(split, columns).withColumn("zmax", zmax(columns)).withColumn("driver", driver(columns)))
     d = d.crossJoin(F.broadcast(threshold(d, q)))  # one row
     return d.withColumns({"alert": F.col("zmax") > F.col("thr"), "quality_bad": F.col("motor_frozen") | F.col("tp3_frozen")})
 

@@ -387,7 +387,7 @@ def j8_lookback_cycles(spark, d):
     v = view(spark, d)
     lags = timeline.with_lag(v)
     tiles = timeline.grid(timeline.segments(timeline.segmented(lags, gap_us(lags, GRID_FACTOR))))
-    return rounded(features.multiscale_cycles(v, tiles).select("seg", "win", "cycle_dur_cv_6h", "cycle_dur_trend_6h"))
+    return rounded(features.multiscale_cycles(v, tiles).select("seg", "win", "cycle_dur_cv_6h", "cycle_dur_trend_6h"), 4)
 
 
 # --- labels and features
@@ -405,7 +405,7 @@ def l2_relabelled(spark, d):
 
 def _columns(name: str, doc: str, *columns: str) -> None:
     def run(spark, d):
-        return rounded(feature_table(spark, d).select("seg", "win", *columns))
+        return rounded(feature_table(spark, d).select("seg", "win", *columns), 4)
 
     run.__name__, run.__doc__ = name, doc
     query(run)
@@ -424,7 +424,7 @@ _columns("fe9_features", "The whole feature table.", "ws", "we", "n_samples", "l
 @query
 def fe11_prepared(spark, d):
     p = scoring.prepared(feature_table(spark, d))
-    return rounded(p.select("seg", "win", *features.FILLED, "tp3_decay_slope_missing", "oil_trend_missing", "cycle_dur_cv_missing"))
+    return rounded(p.select("seg", "win", *features.FILLED, "tp3_decay_slope_missing", "oil_trend_missing", "cycle_dur_cv_missing"), 4)
 
 
 # --- scores
@@ -611,7 +611,7 @@ def r5_set_operations(spark, d):
 @query
 def r6_cube(spark, d):
     l = table(spark, d, "lineitem")
-    return l.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"))
+    return l.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 4).alias("disc"))
 
 
 @query
