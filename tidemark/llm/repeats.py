@@ -114,7 +114,7 @@ def _text_rows(t1: np.ndarray, t2: np.ndarray, *values: np.ndarray) -> tuple[lis
     order = np.lexsort((t2, t1))
     t1, t2, values = t1[order], t2[order], [v[order] for v in values]
     starts = np.concatenate(([0], np.nonzero((np.diff(t1) != 0) | (np.diff(t2) != 0))[0] + 1)) if len(t1) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(t1))
+    ends = np.append(starts, len(t1))[1:]
     return (t1[starts], t2[starts], *[[v[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for v in values])
 
 
@@ -308,6 +308,24 @@ def _release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _shared_anchors(source: DataFrame, buckets: int) -> DataFrame:
+    """Stored rows (t1, t2, pos) of the anchors that two texts share. A function of its own, as the frames that lead to
+    a stored table keep its shuffle files."""
+    entries = source.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LEAST)).select("t1", "t2", "text").mapInArrow(_find_anchors(buckets), "bucket int, blob binary")
+    return cut(entries.groupBy("bucket").applyInArrow(_shared, "t1 long, t2 long, pos binary"))
+
+
+def _found_contexts(source: DataFrame, shared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Stored rows of each text with shared anchors, and of those anchors' contexts by bucket."""
+    n = shared.agg(F.coalesce(F.sum(F.octet_length("pos") / 4), F.lit(0.0))).first()[0]
+    buckets = max(1, -(-int(n * (2 * SIDE + GRAM)) // BUCKET_CONTEXT))
+    sought = shared.groupBy("t1", "t2").agg(F.collect_list("pos").alias("pos")).join(firsts, ["t1", "t2"])  # a row for each bucket at most
+    sought = sought.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "first", "pos")
+    same = (F.col("id") == F.col("first")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
+    found = source.join(sought, same).select("t1", "t2", "first", "text", "pos")
+    return cut(found.mapInArrow(_contexts(buckets), "bucket int, blob binary, t1 long, t2 long"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Rows (id, __n_bytes, __n_removed, __n_spans, __kept_sha256), with_text also __kept (bytes), of all documents.
 
@@ -328,15 +346,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     firsts = rows.filter("id IS NOT NULL").groupBy("t1", "t2").agg(F.min("id").alias("first"))
     buckets = max(1, -(-total // BUCKET_TEXT))
-    entries = source.filter(F.col("id").isNotNull() & (F.octet_length("text") >= LEAST)).select("t1", "t2", "text").mapInArrow(_find_anchors(buckets), "bucket int, blob binary")
-    shared = cut(entries.groupBy("bucket").applyInArrow(_shared, "t1 long, t2 long, pos binary"))
+    shared = _shared_anchors(source, buckets)
     _release(docs)
-    sought = shared.groupBy("t1", "t2").agg(F.collect_list("pos").alias("pos")).join(firsts, ["t1", "t2"])  # a row for each bucket at most
-    n_shared = shared.agg(F.coalesce(F.sum(F.octet_length("pos") / 4), F.lit(0.0))).first()[0]
-    sought = sought.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "first", "pos")
-    found = source.join(sought, (F.col("id") == F.col("first")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))).select("t1", "t2", "first", "text", "pos")
-    buckets = max(1, -(-int(n_shared * (2 * SIDE + GRAM)) // BUCKET_CONTEXT))
-    parts = cut(found.mapInArrow(_contexts(buckets), "bucket int, blob binary, t1 long, t2 long"))
+    parts = _found_contexts(source, shared, firsts)
     _release(docs)
     marks = parts.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeats, "t1 long, t2 long, marks binary")
     marked = marks.groupBy("t1", "t2").agg(F.collect_list("marks").alias("marks"))
