@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,3 +65,23 @@ def offsets(totals: DataFrame, group: list[str], bucket: str, value: str, out: s
     """For each (group, bucket) the sum of value over the group's earlier buckets. totals has one row for each of them."""
     w = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
+def shielded(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Lets the table of an operator hold columns with the operator's own names, which all begin with two underscores.
+
+    They are renamed meanwhile. Where the operator makes a column of that name, the result has the operator's.
+    """
+
+    @functools.wraps(op)
+    def run(docs: DataFrame, *args, keep: list[str] | None = None, **named) -> DataFrame:
+        keep = docs.columns if keep is None else keep
+        used = {x for x in (*args, *named.values()) if isinstance(x, str)}
+        hidden = {c: f"hidden{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("__") and c not in used}
+        if not hidden:
+            return op(docs, *args, keep=keep, **named)
+        out = op(docs.withColumnsRenamed(hidden), *args, keep=[hidden.get(c, c) for c in keep], **named)
+        back, made = {h: c for c, h in hidden.items()}, set(out.columns)
+        return out.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in out.columns if back.get(c) not in made])
+
+    return run

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import shielded
+
 WINDOW = 10
 #: Bytes of test items that are sent to the executors at once; more items take further passes over the documents.
 TEST_BYTES = 32 << 20
@@ -146,6 +148,7 @@ def _test_blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, bl
     yield tests
 
 
+@shielded
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,

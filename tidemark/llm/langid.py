@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import shielded
+
 #: Bounds of the training sample: languages (the most frequent), documents of each, words of each document (whole
 #: windows spread over all of its text). The corpus beyond them doesn't change the model's size or cost.
 MAX_LANGS = 64
@@ -251,6 +253,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(sample)
 
 
+@shielded
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns of keep (all by default), __lang and __score for each row, from the text alone.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_count, cut, hash_bucket, offsets, shuffle_key, word_count
+from tidemark.llm.common import bucket_count, cut, hash_bucket, offsets, shielded, shuffle_key, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -39,6 +39,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repea
     )
 
 
+@shielded
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",

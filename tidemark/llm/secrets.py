@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shielded
 
 #: Rules by version: kind, pattern, the group whose length counts, the least length. Ledgers name the versions; a
 #: changed rule is a new version.
@@ -90,6 +90,7 @@ def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = Non
     return blobs.repartition("blob").mapInArrow(scan_once, LEDGER)
 
 
+@shielded
 def find_secrets(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, keep: list[str] | None = None, versions: tuple[int, ...] = tuple(RULES)) -> DataFrame:
     """Columns of keep (all by default), __blob and __spans (start, rank, stop, kind; in order) for each row.
 
@@ -101,8 +102,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", ledger: DataFrame | No
     keep = docs.columns if keep is None else keep
     fresh = cut(scan(docs, text_col, ledger, versions))
     known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("version").isin(list(versions))).select("blob", "version", "spans"))
-    found = known.filter(F.size("spans") > 0).groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))  # a row for each version
+    found = known.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("__b")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))  # a row for each version
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     paths = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(text, 256)).alias("__blob"))
-    joined = paths.join(found, paths["__blob"] == found["blob"], "left")
+    joined = paths.join(found, F.col("__blob") == F.col("__b"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in keep], "__blob", F.coalesce("__spans", F.array().cast(_SPANS)).alias("__spans"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_count, cut, offsets
+from tidemark.llm.common import bucket_count, cut, offsets, shielded
 
 #: Coordinates are cut to this many bits and followed by as many bits of a hash, which splits ties.
 _BITS = 24
@@ -33,6 +33,7 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+@shielded
 def kd_shards(
     docs: DataFrame,
     shards: int | None = 16,

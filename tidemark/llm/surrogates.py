@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shielded
 
 #: Titles that announce a name, by the gender they tell.
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "г-жа", "Госпожа")
@@ -19,8 +19,8 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3,5}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{3}[ .-]?\d{4}|\+\d{1,3}(?: \d{2,4}){2,4}|\+\d{1,3}(?:-\d{2,4}){2,4}|\+\d{9,14}|\(\d{3,5}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|[.]\d)",
+    "card": r"(?<!\d)(?:\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 KINDS = tuple(PATTERNS)
@@ -138,6 +138,7 @@ def _canonical(x: Column, kind: Column) -> Column:
     return F.when(kind.isin("email", "name"), F.lower(x)).otherwise(x)
 
 
+@shielded
 def replace_entities(docs: DataFrame, key: str, text_col: str = "text", keep: list[str] | None = None, syllables: int = 4, most_draws: int = 6) -> DataFrame:
     """Columns of keep (all by default), __text (with surrogates) and __entities (kind, number) for each row.
 
