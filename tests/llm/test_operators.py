@@ -20,7 +20,8 @@ def table(spark):
     vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "and", "É", "ß"]
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice((3, 9, 12, 80, 300)))) for _ in range(60)]
     texts += [None, None, "", "", " \n\t", "one", "one two", texts[3], texts[3], texts[4] + " tail", " ".join(["again and again we say"] * 30), "x" * 70 + " " + "y" * 70, "\n".join(["same line here"] * 5 + ["", "other"])]
-    texts += [" ".join(rng.choice(vocabulary) for _ in range(30_000))]
+    longest = max(texts[:60], key=len)
+    texts += [longest, longest, "head " + longest[:400] + " tail", " ".join(rng.choice(vocabulary) for _ in range(30_000))]
     rows = [(i, t, rng.choice(("en", "de", None)), rng.choice(("s1", "s2", "s3", None)), "kept", "n", "b") for i, t in enumerate(texts)]
     rows += [(None, texts[5], "en", "s1", "kept", "n", "b"), rows[7]]
     return spark.createDataFrame(rows, DOCS).repartition(5)
