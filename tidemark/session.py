@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python, once for each application, so that it needn't be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")  # read by the driver alone, which serves it
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"tidemark/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
 
 def session(name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; conf overrides."""
