@@ -17,9 +17,11 @@ from tidemark.llm.sharding import kd_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.surrogates import KINDS, replace_entities
 from tidemark.llm.warc import round_trip
+from tidemark.session import ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -99,4 +101,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+#: DuckDB SQL where it can express a query. The others rest on XXH64, regular expressions with places, learned weights,
+#: base32 or trees of medians; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_mixing": r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS nul, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('tidemark:' || coalesce(CAST(doc_id AS VARCHAR), '\N')) AS k FROM documents),
+ s AS (SELECT src, nul, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY nul, src) - 1 AS rk FROM s), w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM r),
+ f0 AS (SELECT *, 3 * ss / weight AS fill FROM w),
+ f AS (SELECT *, coalesce(sum(3 * ss) OVER o, 0) AS fb, coalesce(sum(weight) OVER o, 0) AS wb, (SELECT sum(ss) FROM s) AS b, (SELECT sum(weight) FROM w) AS tw FROM f0 WINDOW o AS (ORDER BY fill, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ v AS (SELECT max(CAST(b - fb AS DOUBLE) / (tw - wb)) AS v_end FROM f WHERE CAST(b - fb AS DOUBLE) / (tw - wb) <= fill),
+ t AS (SELECT f.*, least(CAST(3 * ss AS DOUBLE), weight * v_end) AS target FROM f, v),
+ q AS (SELECT d.*, t.ss, t.target, t.weight, t.rk, t.b, sum(size) OVER (PARTITION BY d.src, d.nul ORDER BY k, size ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER () AS id FROM d JOIN t USING (src, nul)),
+ i AS (SELECT id, size, b, sum(size) OVER (ORDER BY CAST(e * ss + cum AS DOUBLE) / weight, rk, cum, e ROWS UNBOUNDED PRECEDING) AS upto FROM q, (VALUES (0), (1), (2)) x(e) WHERE size > 0),
+ g AS (SELECT id, count(*) AS n FROM i WHERE upto <= b GROUP BY id)
+ SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, target, CAST(size * coalesce(n, 0) AS BIGINT) AS taken FROM q LEFT JOIN g USING (id)""",
+    "op6_decontamination": rf"""WITH i AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+ iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+ d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), ns AS (SELECT DISTINCT n FROM iw),
+ dw AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM d, ns)),
+ h AS (SELECT doc_id, item, p, dw.n FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+ c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY doc_id),
+ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+}
