@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
 
+#: Edges of which one task finds a spanning forest.
+FOREST_EDGES = 500_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's edges those that join what the ones before left apart."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        kept: list[tuple[int, int]] = []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if (p := find(a)) != (q := find(b)):
+                parent[max(p, q)] = min(p, q)
+                kept.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Rows (node, root) of every node of edges(a, b); root is the component's smallest node.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014), which need a number of rounds that grows with
     the logarithm of the size at most in practice; each is stored, and the loop ends when a round changes nothing.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    # First each task drops edges that its others imply: a dense group is left with as many edges as it has nodes, for
+    # each task of a bounded number of edges.
+    tasks = max(1, -(-edges.count() // FOREST_EDGES))
+    edges = cut(edges.coalesce(tasks).mapInArrow(_forest, "a long, b long").distinct())
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
