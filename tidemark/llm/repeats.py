@@ -165,41 +165,41 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(positions, pa.binary())], ["t1", "t2", "pos"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (t1, t2, first id, text, positions by bucket): the text compressed, the positions in order."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for part in _slices(batches, 3):
+        texts = [squeeze(t) for t in part.column(3).to_pylist()]
+        pos = [np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in p])).tobytes() for p in part.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(texts, pa.binary()), pa.array(pos, pa.binary())], ["t1", "t2", "first", "packed", "pos"])
+
+
 def _contexts(buckets: int):
-    """From rows (t1, t2, first id, text, positions of shared anchors): a row for each text and, by bucket, contexts."""
+    """From rows (t1, t2, first id, packed text, positions of shared anchors): the anchors' contexts by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         for part in _slices(batches, 3):
             t1, t2, first = (part.column(i).to_numpy() for i in range(3))
-            ctxs, owns, poss, texts = [], [], [], []
-            for i in range(part.num_rows):
-                text = part.column(3)[i].as_py()
-                texts.append(squeeze(text))
-                pos = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in part.column(4)[i].as_py()])).astype(np.int64)
+            ctxs, owns, poss, sizes = [], [], [], []
+            for i, (packed, places) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                text, pos = unpack(packed), np.frombuffer(places, np.int32).astype(np.int64)
                 data = np.frombuffer(bytes(SIDE) + text + bytes(SIDE), np.uint8)
                 ctxs.append(data[pos[:, None] + np.arange(2 * SIDE + GRAM)])  # from SIDE bytes before the anchor on
                 owns.append(np.full(len(pos), i))
                 poss.append(pos)
-            ctx, own, pos = np.concatenate(ctxs), np.concatenate(owns), np.concatenate(poss)
-            size = pc.binary_length(part.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)[own]
+                sizes.append(np.full(len(pos), len(text)))
+            ctx, own, pos, size = (np.concatenate(x) for x in (ctxs, owns, poss, sizes))
             sides = (np.minimum(pos, SIDE) * 64 + np.minimum(size - pos - GRAM, SIDE)).astype(np.int16)
             head = np.ascontiguousarray(ctx[:, SIDE : SIDE + 16]).view("<u8")
             bucket = ((head[:, 0] * _MULTIPLIER + head[:, 1]) * _MIX >> np.uint64(33)).astype(np.int64) % buckets
-            blobs, ns = [], []
-            for at in _by_group(bucket, buckets):
-                here, counts = np.unique(own[at], return_counts=True)
-                blobs.append(_pack(ctx[at], sides[at], np.diff(pos[at], prepend=0).astype(np.int32), t1[here], t2[here], first[here], counts.astype(np.int32)))
-                ns.append(len(at))
-            full = [i for i, n in enumerate(ns) if n]
-            none = [None] * part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(none + full, pa.int32()), pa.array(texts + [blobs[i] for i in full], pa.binary()),
-                    pa.array(t1.tolist() + [None] * len(full), pa.int64()), pa.array(t2.tolist() + [None] * len(full), pa.int64()),
-                ],
-                ["bucket", "blob", "t1", "t2"],
-            )
+            blobs, full = [], []
+            for k, at in enumerate(_by_group(bucket, buckets)):
+                if len(at):
+                    here, counts = np.unique(own[at], return_counts=True)
+                    blobs.append(_pack(ctx[at], sides[at], np.diff(pos[at], prepend=0).astype(np.int32), t1[here], t2[here], first[here], counts.astype(np.int32)))
+                    full.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -315,15 +315,13 @@ def _shared_anchors(source: DataFrame, buckets: int) -> DataFrame:
     return cut(entries.groupBy("bucket").applyInArrow(_shared, "t1 long, t2 long, pos binary"))
 
 
-def _found_contexts(source: DataFrame, shared: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Stored rows of each text with shared anchors, and of those anchors' contexts by bucket."""
-    n = shared.agg(F.coalesce(F.sum(F.octet_length("pos") / 4), F.lit(0.0))).first()[0]
-    buckets = max(1, -(-int(n * (2 * SIDE + GRAM)) // BUCKET_CONTEXT))
+def _found_texts(source: DataFrame, shared: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Stored rows (t1, t2, first, packed, pos) of each text with shared anchors."""
     sought = shared.groupBy("t1", "t2").agg(F.collect_list("pos").alias("pos")).join(firsts, ["t1", "t2"])  # a row for each bucket at most
     sought = sought.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "first", "pos")
     same = (F.col("id") == F.col("first")) & (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2"))
     found = source.join(sought, same).select("t1", "t2", "first", "text", "pos")
-    return cut(found.mapInArrow(_contexts(buckets), "bucket int, blob binary, t1 long, t2 long"))
+    return cut(found.mapInArrow(_squeezed, "t1 long, t2 long, first long, packed binary, pos binary"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -348,11 +346,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, -(-total // BUCKET_TEXT))
     shared = _shared_anchors(source, buckets)
     _release(docs)
-    parts = _found_contexts(source, shared, firsts)
+    found = _found_texts(source, shared, firsts)
     _release(docs)
-    marks = parts.filter("bucket IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_repeats, "t1 long, t2 long, marks binary")
+    n = found.agg(F.coalesce(F.sum(F.octet_length("pos") / 4), F.lit(0.0))).first()[0]
+    buckets = max(1, -(-int(n * (2 * SIDE + GRAM)) // BUCKET_CONTEXT))
+    contexts = found.mapInArrow(_contexts(buckets), "bucket int, blob binary")
+    marks = contexts.groupBy("bucket").applyInArrow(_repeats, "t1 long, t2 long, marks binary")
     marked = marks.groupBy("t1", "t2").agg(F.collect_list("marks").alias("marks"))
-    texts = parts.filter("bucket IS NULL").select("t1", "t2", "blob").dropDuplicates(["t1", "t2"])
+    texts = found.select("t1", "t2", "packed").dropDuplicates(["t1", "t2"])
     kinds = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     cleaned = texts.join(marked, ["t1", "t2"]).mapInArrow(_remove, kinds)
     cleaned = cleaned if with_text else cleaned.drop("kept")
