@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, langid, mixing, quality, repeats, secrets, sharding, simhash, surrogates, warc
+from tidemark.llm import decontaminate, langid, mixing, quality, repeats, secrets, sharding, similar, simhash, surrogates, warc
 
 DOCS = "doc_id long, text string, lang string, source string, `__size` string, n string, blob string"
 
@@ -99,6 +99,45 @@ def test_drop_near_duplicates_keeps_one_of_similar_texts(spark):
     assert {2 * i for i in range(20)} <= kept and len(kept) <= 21
 
 
+def test_drop_near_duplicates_equals_brute_force_at_08(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 200)))]
+        texts += [" ".join(w)] + ["of one template"] * (k < 2)
+        for _ in range(3):  # 0.6 to 1.0 of the shingles are shared
+            v = list(w)
+            for at in rng.sample(range(len(w)), rng.randrange(0, len(w) // 20 + 1)):
+                v[at] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(v))
+    base = [f"t{i}" for i in range(120)]  # a template that is shared by documents at about 0.7 and its near copies
+    texts += [" ".join(base + [f"y{k}-{i}" for i in range(n)]) for k, n in enumerate([24] * 40 + [5] * 20)]
+    rng.shuffle(texts)
+    grams = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) or frozenset([t]) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    seen = []
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(grams[a] & grams[b])
+            seen.append(both / (len(grams[a]) + len(grams[b]) - both))
+            if both * 10 >= 8 * (len(grams[a]) + len(grams[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    want = {x for x in range(len(texts)) if find(x) == x}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
+    assert all(any(lo <= s < lo + 0.05 for s in seen) for lo in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9))
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "PAIRS", 8)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
+
+
 def test_mix_takes_near_the_targets(docs, rows, empty):
     out = mixing.mix(docs, keep=["doc_id", "source", "n"]).collect()
     assert sorted((str(r.doc_id), r["__size"]) for r in out) == sorted((str(r.doc_id), len(words(r.text))) for r in rows)

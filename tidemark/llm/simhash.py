@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import cut
 from tidemark.llm.components import components
+from tidemark.llm.similar import similar_documents
 
 DISTANCE = 3
 #: Members of a key's group that are compared in one task; larger groups are compared block by block.
@@ -263,15 +264,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SENT_IDS = 2_000_000
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tables: int = 6, distance: int = 6) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with all their columns, of which each group keeps the one with the smallest id.
 
-    Several tables and a wider distance find texts of similar shingles, not only of nearly equal ones: of texts that
-    share 0.95 (0.9, 0.8) of their shingles about 0.99 (0.9, 0.45) are linked directly; unrelated texts differ in some 32 bits.
+    Groups are those of similar_documents: every pair that shares similarity or more of its shingles is linked, and no
+    other. (Fingerprints of such texts differ in some 10 of 64 bits, too many for search keys.)
 
     Rows with a null id stay. Of rows that repeat an id that stays, one stays.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, shingle, tables, distance))
+    found = cut(similar_documents(docs, id_col, text_col, shingle, similarity))
     gone = found.filter(F.col(id_col) != F.col("__component")).select(id_col).distinct()
     gone = F.broadcast(gone) if gone.limit(SENT_IDS + 1).count() <= SENT_IDS else gone
     kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
