@@ -275,6 +275,19 @@ def test_surrogates_are_consistent(spark, empty):
     assert surrogates.replace_entities(empty, "k").count() == 0
 
 
+def test_surrogates_find_phone_and_card_formats(spark):
+    phones = ["+49 151 23456789", "+49 30 901820", "+44 7911 123456", "+7 (495) 123-45-67", "+7 495 123-45-67", "+33 1 23 45 67 89", "+9 (999) 999-9999", "+4915123456789"]
+    cards = ["4111 1111-1111 1111", "41111111 11111111", "6304 0000 0000 0000 000", "4111111111111111", "3782 822463 10005"]
+    texts = [f"call {x} now" for x in phones + cards] + ["+49 151 23456789 97.51.17.173", "4111 1111 1111 1111 97.51.17.173"]
+    out = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    for k, x in enumerate(phones + cards):
+        found = {kind: n for kind, n in out[k]["__entities"].items() if n}
+        assert found == {"phone" if k < len(phones) else "card": 1}, x
+        assert len(out[k]["__text"]) == len(texts[k]) and x not in out[k]["__text"], x
+    for k, kind in ((len(texts) - 2, "phone"), (len(texts) - 1, "card")):
+        assert {x: n for x, n in out[k]["__entities"].items() if n} == {kind: 1, "ip": 1}
+
+
 def test_repeats_equal_brute_force(docs, rows, empty):
     seen, want = {}, []
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):

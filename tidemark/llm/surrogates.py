@@ -19,8 +19,8 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{3}[ .-]?\d{4}|\+\d{1,3}(?: \d{2,4}){2,4}|\+\d{1,3}(?:-\d{2,4}){2,4}|\+\d{9,14}|\(\d{3,5}\) ?\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|[.]\d)",
-    "card": r"(?<!\d)(?:\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+(?=(?:[ .()-]{{0,3}}\d){{7,15}}(?!\d))\d{{1,3}}(?:[ .-]?\(\d{{1,5}}\))?(?:[ .-]?(?!(?<!\d)\d{{4}}(?:[ -]?\d{{4}}){{3}})(?!(?<!\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d))\d){{3,14}}|\(\d{{3,5}}\) ?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?!\d|[.]\d)",
+    "card": rf"(?<!\d)(?:\d(?:[ -]?(?!(?<!\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d))\d){{12,18}}(?![ -]?\d)|\d{{4}}(?:[ -]?\d{{4}}){{3}}|\d{{4}}[ -]?\d{{6}}[ -]?\d{{5}}|\d{{13,19}})(?!\d)",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 KINDS = tuple(PATTERNS)
