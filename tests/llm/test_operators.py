@@ -315,6 +315,73 @@ def test_repeats_that_differ_at_the_edges(spark):
     test_repeats_equal_brute_force(spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").collect(), spark.createDataFrame([], "doc_id long, text string"))
 
 
+def test_repeats_of_hot_anchors_and_small_buckets(docs, rows, empty, monkeypatch):
+    for name, value in (("HOT", 3), ("RANGE", 8192), ("BUCKET_TEXT", 8192), ("BUCKET_CONTEXT", 8192)):
+        monkeypatch.setattr(repeats, name, value)
+    test_repeats_equal_brute_force(docs, rows, empty)
+
+
+def test_anchors_of_a_long_text_are_those_of_its_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (40, 5000, 49, 300, 50)] + [b"z" * 700]
+    assert len(list(repeats._pieces(texts))) == 1
+    want = repeats.anchors([(i, 0, t) for i, t in enumerate(texts)])
+    windows = {(n, s): (h, p) for h, n, p, lo, hi in zip(*(x.tolist() for x in want), strict=True) for s in range(lo, hi + 1)}
+    assert sorted(windows) == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)]
+    monkeypatch.setattr(repeats, "SLICE", 256)
+    got = {}
+    for part in repeats._pieces(texts):
+        for h, n, p, lo, hi in zip(*(x.tolist() for x in repeats.anchors(part)), strict=True):
+            assert not {(n, s) for s in range(lo, hi + 1)} & got.keys()
+            got |= {(n, s): (h, p) for s in range(lo, hi + 1)}
+    assert got == windows
+
+
+def test_interval_tree_equals_brute_force():
+    rng = random.Random(13)
+    for _ in range(200):
+        lcp = [0] + [rng.choice((0, 3, 5, 6, 7, 7, 9)) for _ in range(rng.randrange(12))]
+        want = set()
+        for i in range(len(lcp)):
+            for j in range(i + 1, len(lcp)):
+                depth = min(lcp[i + 1 : j + 1])
+                outside = max(lcp[i] if i else 0, lcp[j + 1] if j + 1 < len(lcp) else 0)
+                if depth >= 5 and outside < depth:
+                    want.add((depth, i, j, outside < 5))
+        got = repeats.interval_tree(lcp, 5)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("hot", [1 << 30, 2])
+def test_repeat_groups_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, tail = letters(150), letters(90)
+    texts = [letters(30) + core + letters(20), core + letters(40), letters(7) + core[:70] + letters(9) + core[60:] + tail, letters(80), letters(33) + tail, core[20:] + "x" + tail, letters(33) + tail[:49]]
+    texts.append(texts[0])  # a copy of a text is that text
+    found = repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault((r.group, r.length), []).append((r.doc_id, r.start, r.open))
+    # Every pair of occurrences whose bytes before them differ is in one group, in which all agree and no more do.
+    starts = {}
+    for i, t in enumerate(texts[:-1]):
+        for k in range(len(t) - 49):
+            starts.setdefault(t[k : k + 50], []).append((i, k))
+    left = lambda i, k: (i, k) if k == 0 else texts[i][k - 1]
+    want = {s for s, at in starts.items() if len({left(i, k) for i, k in at}) > 1 and len({i for i, _ in at}) > 1}
+    assert {texts[at[0][0]][at[0][1] : at[0][1] + 50] for at in groups.values()} == want and want
+    for (name, length), at in groups.items():
+        strings = {texts[i][k : k + length] for i, k, _ in at}
+        assert len(strings) == 1 and len(at) == len({x[:2] for x in at}) > 1 and length >= 50
+        s = strings.pop()
+        assert hashlib.sha256(s.encode()).hexdigest() == name
+        everywhere = {(i, k) for i, k in starts[s[:50]] if texts[i][k : k + length] == s}
+        assert {x[:2] for x in at} == everywhere and len({left(i, k) for i, k in everywhere}) > 1
+        assert at[0][2] or len({texts[i][k + length : k + length + 1] or i for i, k in everywhere}) > 1
+
+
 def test_shards_are_even_and_keep_copies_together(docs, rows, empty):
     out = sharding.kd_shards(docs, shards=4).collect()
     assert sorted((str(r.doc_id), r["__size"]) for r in out) == sorted((str(r.doc_id), len((r.text or "").encode()) + 1) for r in rows)
