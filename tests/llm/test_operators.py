@@ -138,6 +138,19 @@ def test_drop_near_duplicates_equals_brute_force_at_08(spark, monkeypatch):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
 
 
+def test_drop_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(1)
+    a, b, c, d, e = (" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    data = [(2, b, "r1"), (5, a, "r2"), (5, b, "r3"), (7, a, "r4"), (9, c, "r5"), (9, d, "r6"), (9, d, "r7"), (9, d, "r7"), (None, e, "r8"), (None, e, "r9"), (11, e, "r10"), (12, None, "r11"), (13, "", "r12"), (13, " ", "r13")]
+    df = spark.createDataFrame(data, "doc_id long, text string, `__node` string")
+    want = ["r1", "r10", "r11", "r2", "r5", "r6", "r8", "r9"]
+    assert sorted(r["__node"] for r in simhash.drop_near_duplicates(df.repartition(3)).collect()) == want
+    assert sorted(r["__node"] for r in simhash.drop_near_duplicates(df.coalesce(1)).collect()) == want
+    unique = spark.createDataFrame([x for x in data if x[0] in (2, 7, 11, 12)], df.schema)
+    assert sorted(r["__node"] for r in simhash.drop_near_duplicates(unique).collect()) == ["r1", "r10", "r11", "r4"]
+    assert simhash.drop_near_duplicates(df.limit(0)).columns == df.columns and simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_mix_takes_near_the_targets(docs, rows, empty):
     out = mixing.mix(docs, keep=["doc_id", "source", "n"]).collect()
     assert sorted((str(r.doc_id), r["__size"]) for r in out) == sorted((str(r.doc_id), len(words(r.text))) for r in rows)
@@ -179,6 +192,21 @@ def test_language_model_learns_and_labels_switches(docs, empty):
     assert langid.identify(empty, model).count() == 0 and langid.fit(empty).langs == []
 
 
+def test_seventy_languages_are_learned_and_judged(spark):
+    rng = random.Random(12)
+    make = lambda k, n: " ".join("".join(rng.choice("abcdefghijklmnop"[(k + j) % 16 :: 5]) for j in range(3)) + f"q{chr(97 + k % 26)}{chr(97 + k // 26)}" for _ in range(n))
+    data = [(i, make(i % 70, 60), f"language {i % 70:02d}") for i in range(700)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert len(model.langs) == 70
+    out = langid.identify(df, model).collect()
+    assert sum(r["__lang"] == r.lang for r in out) > 0.9 * len(out)
+    repeated = df.unionByName(spark.createDataFrame([(None, make(3, 30), "language 03")] * 500, df.schema))
+    assert len(langid.fit(repeated, docs_per_lang=2).langs) == 70
+    refs = quality.references(quality._features(df, "text", "lang", ["doc_id"]))
+    assert refs.count() == 70 and all(1 <= len(r["__common"]) <= 16 and abs(sum(r["__ref_words"]) - 1) < 1e-9 for r in refs.collect())
+
+
 def test_warc_round_trip(spark):
     pages = [(i, f"http://h/{i}?q=é", t) for i, t in enumerate(["<p>a</p>", "<p>a</p>", None, "", "b\r\n\r\nc" * 5000, "b"])] + [(None, None, "b"), (1, "again", "<p>a</p>"), (-7, "neg", "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
@@ -211,22 +239,30 @@ def test_zip_directory_reads_both_kinds(tmp_path):
         assert zipfile.ZipFile(io.BytesIO(raw)).read("a/b") == b"hello"
 
 
-def test_secrets_and_ledger(spark, empty):
+def test_secrets_and_ledger(spark, empty, tmp_path):
     key = "AKIA" + "Q7" * 9
     texts = [f'é password = "{"a1" * 8}" x', f"{key} token:secret=abcdefghijkl", "f" * 20 + " " + "0" * 15, None, "", f"{key} token:secret=abcdefghijkl", "token=api_key:abcdefghijklmnop", "ghp_" + "Z" * 36]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame([(f"path{i % 5}", i, t) for i, t in enumerate(texts)], "path string, doc_id long, text string")  # some paths have two versions
     base = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
-    got = {r.doc_id: [(s["start"], s["kind"], s["stop"]) for s in r["__spans"]] for r in secrets.find_secrets(df).collect()}
+    spans = lambda d: {r.doc_id: [(s["start"], s["kind"], s["stop"]) for s in r["__spans"]] for r in d.collect()}
+    got = spans(secrets.find_secrets(df, str(tmp_path / "one")))
     for i, t in enumerate(texts):
         want = sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(base) for m in p.finditer(t or "") if len(m.group(g)) >= least)
         assert [s for s in got[i] if s[1] in secrets.BASE_KINDS] == [(a, n, b) for a, _, b, n in want]
     assert got[7] == [(0, "github", 40)]
-    ledger = secrets.scan(df, versions=(1,)).cache()
-    assert ledger.count() == len(set(t or "" for t in texts))
-    fresh = secrets.scan(df.unionByName(spark.createDataFrame([(9, "new")], df.schema)), ledger=ledger)
-    assert sorted((r.version for r in fresh.collect())) == [1] + [2] * (ledger.count() + 1)
-    assert {r.doc_id: [(s["start"], s["kind"], s["stop"]) for s in r["__spans"]] for r in secrets.find_secrets(df, ledger=ledger).collect()} == got
-    assert secrets.find_secrets(empty).count() == 0
+    ledger, blobs = str(tmp_path / "two"), len(set(t or "" for t in texts))
+    rows = lambda: sorted(r.version for r in secrets.read_ledger(spark, ledger).collect())
+    assert rows() == []
+    first = spans(secrets.find_secrets(df, ledger, versions=(1,)))
+    assert rows() == [1] * blobs and first[7] == [] and first[0] == got[0]
+    assert spans(secrets.find_secrets(df, ledger)) == got and rows() == [1] * blobs + [2] * blobs  # the new rules alone
+    assert secrets.scan(df, ledger=secrets.read_ledger(spark, ledger)).count() == 0  # nothing is left to scan
+    more = df.unionByName(spark.createDataFrame([("path0", 9, "new"), ("path9", 10, texts[1])], df.schema))
+    assert spans(secrets.find_secrets(more, ledger)) == got | {9: [], 10: got[1]} and len(rows()) == 2 * blobs + 2  # one new blob, both versions
+    assert secrets.find_secrets(empty, str(tmp_path / "none")).count() == 0
+    clash = df.withColumnsRenamed({"path": "__spans"}).withColumn("__b", F.lit(1))
+    out = secrets.find_secrets(clash, ledger)
+    assert spans(out) == got and out.columns == ["doc_id", "text", "__b", "__blob", "__spans"]
 
 
 @pytest.mark.parametrize("block", [1 << 20, 64])
@@ -397,6 +433,37 @@ def test_shards_are_even_and_keep_copies_together(docs, rows, empty):
     assert sharding.kd_shards(even, shards=None, target_bytes=20_000).agg(F.countDistinct("__shard")).first()[0] >= 8
 
 
+@pytest.mark.parametrize("small", [64, 0])
+def test_shards_equal_a_tree_by_hand(spark, monkeypatch, small):
+    monkeypatch.setattr(sharding, "SMALL", small)
+    monkeypatch.setattr(sharding, "_CLOSE", 0)
+    rng = random.Random(17)
+    prefix = "a common prefix of all sources/"
+    data = [(f"id-{rng.randrange(10**6):07d}", "x" * rng.choice((3, 10, 200)) + f" {i}", rng.choice((None, "de", "en")), prefix + rng.choice("abcdefgh")) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id string, text string, lang string, source string").repartition(3)
+    out = {r.text: r["__shard"] for r in sharding.kd_shards(df, shards=6).collect()}
+    rank = lambda values: {v: i for i, v in enumerate(sorted({x for x in values if x is not None}))} | {None: -1}
+    ranks = [rank(r[k] for r in data) for k in (0, 2, 3)]
+    coords = {t: (len(t.encode()) + 1, ranks[0][i], ranks[1][la], ranks[2][so]) for i, t, la, so in data}
+    low, high = [min(c[k] for c in coords.values()) for k in range(4)], [max(c[k] for c in coords.values()) for k in range(4)]
+    unit = {t: [int((c[k] - low[k]) / (high[k] - low[k]) * (2**24 - 1)) for k in range(4)] for t, c in coords.items()}
+
+    def split(texts, shards, first):
+        if shards == 1:
+            return {t: first for t in texts}
+        spread = [max(unit[t][k] for t in texts) - min(unit[t][k] for t in texts) for k in range(4)]
+        k = max(range(4), key=lambda k: (spread[k], -k))
+        lower = {t for t in texts if out[t] < first + shards // 2}
+        # The halves lie on both sides of the weighted median along the widest coordinate, ties by hash.
+        assert max(unit[t][k] for t in lower) <= min(unit[t][k] for t in texts - lower)
+        weight = lambda ts: sum(len(t.encode()) + 1 for t in ts)
+        assert abs(weight(lower) - weight(texts) * (shards // 2) / shards) <= max(len(t.encode()) + 1 for t in texts)
+        return split(lower, shards // 2, first) | split(texts - lower, shards - shards // 2, first + shards // 2)
+
+    assert split(set(out), 6, 0) == out
+    assert sharding._ranks(df.select(F.col("source").alias("v"))).count() == 8
+
+
 def test_quality_counts_equal_brute_force(docs, rows, empty):
     want = []
     for r in rows:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -34,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written as compressed Parquet in the shared folder and read again column by column."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    void = {c for c, k in df.dtypes if k == "void"}
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.select(*[F.col(f"`{c}`").cast("string" if c in void else df.schema[c].dataType).alias(n) for c, n in zip(df.columns, names, strict=True)]).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path).select(*[(F.lit(None) if c in void else F.col(n)).alias(c) for c, n in zip(df.columns, names, strict=True)])
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of non-space characters; empty for null."""
     trimmed = F.btrim(text, F.lit(SPACE))

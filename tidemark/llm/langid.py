@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import shielded
 
-#: Bounds of the training sample: languages (the most frequent), documents of each, words of each document (whole
-#: windows spread over all of its text). The corpus beyond them doesn't change the model's size or cost.
-MAX_LANGS = 64
+#: Bounds of the training sample: labelled documents of a language and of all (each language has one at least), and words
+#: of a document (whole windows spread over all of its text). All languages that the labels name are learned.
 DOCS_PER_LANG = 120
+MOST_DOCS = 12_000
 WORDS_PER_DOC = 800
 #: Words of a stretch in one language in the code-switched training sequences: least and most.
 STRETCH = (4, 30)
@@ -227,13 +227,17 @@ def _third(id_col: str):
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """A model from a bounded sample of the labelled documents that aren't held out (crc32 of the id modulo 3)."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 1, docs_per_lang: int = DOCS_PER_LANG, most_docs: int = MOST_DOCS) -> Model:
+    """A model from a bounded sample of the labelled documents that aren't held out (crc32 of the id modulo 3). Which
+    documents are taken depends on ids and texts alone; rows that repeat both count once."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(_third(id_col) != held_out, F.lit(True)))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    key = F.crc32(F.concat(F.lit("sample:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
-    limit = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(2**32, int(2**32 * 1.5 * docs_per_lang / n)))) for lang, n in sizes.items()], F.lit(0))
-    picked = known.filter(key < limit).select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.col(text_col).alias("text"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`").cast("string"), text_col).alias("key"), F.col(text_col).alias("text"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    langs = sizes.count()
+    docs_per_lang = max(1, min(docs_per_lang, most_docs // max(1, langs)))
+    # Of each language's keys, which are spread evenly, a share of some twice as many as are needed; all of small ones.
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_lang + 20) / F.col("n"))
+    picked = known.join(sizes, "lang").filter((F.shiftrightunsigned("key", 1) / F.lit(float(2**63))) <= share).select("lang", "key", "text").dropDuplicates(["lang", "key"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +249,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 out.append([x for i in range(0, windows, step) for x in w[40 * i : 40 * i + 40]])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["lang", "key", "words"])
 
-    rows = sorted(picked.mapInArrow(words, "lang string, key long, words array<string>").collect(), key=lambda r: (r["lang"], r["key"], r["words"])) if sizes else []
+    rows = sorted(picked.mapInArrow(words, "lang string, key long, words array<string>").collect(), key=lambda r: (r["lang"], r["key"], r["words"])) if langs else []
     sample: dict[str, list[list[str]]] = {}
     for r in rows:
         if r["words"] and len(sample.setdefault(r["lang"], [])) < docs_per_lang:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, cut, shielded, words
+from tidemark.llm.common import SPACE, cut, shielded, words, written
 
 SYMBOLS = "#*$%&|<>"
-#: Common words of a language that its histogram counts, and the languages that get a reference of their own.
+#: Common words of a language that its histogram counts: the most frequent ones, in lower case, of any length.
 TOP_WORDS = 16
-MAX_LANGS = 64
-#: A common word has up to so many UTF-8 bytes, as function words do.
-SHORT = 4
+#: Languages whose references are sent to all tasks; more are joined by a shuffle.
+SENT_LANGS = 20_000
 #: Guards: the divergences count only from so many words and letters on.
 MIN_WORDS = 50
 MIN_CHARS = 200
@@ -38,31 +37,20 @@ def _classes(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def references(features: DataFrame, top_words: int = TOP_WORDS, max_langs: int = MAX_LANGS) -> dict:
-    """{language: {"chars": shares, "words": [word], "shares": shares and the rest's}}, and under None that of all.
-
-    features are those of _features. Counts are over all documents; common words are the most frequent ones of up to
-    SHORT bytes. The result has a fixed size: the max_langs languages with most words.
+def references(features: DataFrame, top_words: int = TOP_WORDS) -> DataFrame:
+    """Rows (__lang, __ref_chars, __common, __ref_words): each language's shares of the character classes, its most
+    frequent words, and their shares and the rest's. features are those of _features; counts are over all documents.
     """
-    sums = features.groupBy("__lang").agg(F.sum("__n").alias("n"), *[F.sum(c).alias(c) for c in _CLASSES])
-    found = sums.orderBy(F.desc("n"), "__lang").limit(max_langs).collect()
-    pooled = sums.agg(*[F.sum(c).alias(c) for c in _CLASSES]).first()
-    langs = [r["__lang"] for r in found if r["__lang"] is not None]
-    short = features.filter(F.col("__lang").isin(langs)).select("__lang", F.explode(F.split("__short", "\n\n")).alias("w")).groupBy("__lang", F.btrim(F.col("w"), F.lit("\n")).alias("w")).agg(F.count(F.lit(1)).alias("n")).filter("w <> ''")
-    best = Window.partitionBy("__lang").orderBy(F.desc("n"), "w")
-    by_lang: dict = {}
-    for r in short.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top_words).orderBy("__lang", "k").collect():  # top_words rows a language
-        by_lang.setdefault(r["__lang"], []).append((r["w"], r["n"]))
-    out: dict = {}
-    for r in found:
-        chars = [r[c] for c in _CLASSES]
-        if r["__lang"] is not None and sum(chars) and r["n"]:
-            top = by_lang.get(r["__lang"], [])
-            shares = [n / r["n"] for _, n in top]
-            out[r["__lang"]] = {"chars": [c / sum(chars) for c in chars], "words": [w for w, _ in top], "shares": [*shares, max(0.0, 1 - sum(shares))]}
-    if pooled[_CLASSES[0]] is not None and sum(pooled):
-        out[None] = {"chars": [c / sum(pooled) for c in pooled], "words": [], "shares": [1.0]}
-    return out
+    sums = features.filter("__lang IS NOT NULL").groupBy("__lang").agg(F.sum("__n").alias("n"), *[F.sum(c).alias(c) for c in _CLASSES]).filter("n > 0")
+    each = features.filter("__lang IS NOT NULL AND __n > 0").select("__lang", F.explode(F.split("__words", "\n\n")).alias("w"))
+    counts = each.groupBy("__lang", F.btrim(F.col("w"), F.lit("\n")).alias("w")).agg(F.count(F.lit(1)).alias("c"))
+    best = Window.partitionBy("__lang").orderBy(F.desc("c"), "w")
+    top = counts.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= top_words)
+    top = top.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "c"))).alias("t"))  # top_words rows
+    total = sum((F.col(c) for c in _CLASSES[1:]), F.col(_CLASSES[0])).cast("double")
+    shares = F.transform("t", lambda x: x["c"] / F.col("n"))
+    rest = F.greatest(F.lit(0.0), 1 - F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
+    return sums.join(top, "__lang").select("__lang", F.array(*[F.col(c) / total for c in _CLASSES]).alias("__ref_chars"), F.transform("t", lambda x: x["w"]).alias("__common"), F.concat(shares, F.array(rest)).alias("__ref_words"))
 
 
 def _js_distance(p: Column, q: Column) -> Column:
@@ -74,15 +62,8 @@ def _js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda x, y: x + y)))
 
 
-def _by_lang(refs: dict, lang: Column, what: str, kind: str) -> Column:
-    out = F.lit(None).cast(kind)
-    for key, ref in sorted((k, r) for k, r in refs.items() if k is not None):
-        out = F.when(lang == F.lit(key), F.array(*[F.lit(x) for x in ref[what]]).cast(kind)).otherwise(out)
-    return F.coalesce(out, F.array(*[F.lit(x) for x in refs[None][what]]).cast(kind)) if None in refs else out
-
-
 def _features(docs: DataFrame, text_col: str, lang_col: str, keep: list[str]) -> DataFrame:
-    """Counts of each text, and its words of up to SHORT bytes, each between two line feeds."""
+    """Counts of each text, and its words in lower case, each between two line feeds."""
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     d = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"), lang.alias("__lang"), words(text).alias("__w"))
@@ -112,14 +93,13 @@ def _features(docs: DataFrame, text_col: str, lang_col: str, keep: list[str]) ->
     d = d.withColumn("__p", F.sort_array(marked))
     p = F.col("__p")
     covered = F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(5), F.coalesce(F.get(p, j + 1) - x, F.lit(5)))), F.lit(0), lambda a, b: a + b)
-    short = F.filter("__w", lambda x: F.octet_length(x) <= SHORT)
-    return d.withColumn("__short_words", short).select(
+    return d.select(
         *[F.col(f"`{c}`") for c in keep], "__lang", "__n", *_CLASSES,
         (F.length("__text") - F.col("__space")).cast("long").alias("__word_chars"),
         (F.col("__other") - F.length(F.translate("__r4", SYMBOLS, ""))).cast("long").alias("__n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
         F.when(F.size(p) > 0, covered).otherwise(F.lit(0)).cast("long").alias("__n_repeat_words"),
-        F.concat(F.lit("\n"), F.array_join("__short_words", "\n\n"), F.lit("\n")).alias("__short"),
+        F.concat(F.lit("\n"), F.lower(F.array_join("__w", "\n\n")), F.lit("\n")).alias("__words"),
     )
 
 
@@ -141,26 +121,28 @@ def quality(
     the divergence rule if it has min_words words and min_chars code points and its histogram of character classes or
     of its language's common words lies farther from the language's (Jensen-Shannon distance) than allowed.
 
-    Nulls: a null text has no words and fails; a null or rare language is held against the pooled characters only.
-    A row counts by itself, repeated or not. An empty table gives no rows.
+    Nulls: a null text has no words and fails; a null language is held against the pooled characters only. A row counts
+    by itself, repeated or not. An empty table gives no rows.
 
-    One pass reads the texts; its counts are stored, the references and verdicts come from them.
+    One pass reads the texts; its counts and words are stored, and the references and verdicts come from them.
     """
     keep = docs.columns if keep is None else keep
-    d = cut(_features(docs, text_col, lang_col, keep))
-    refs = references(d)
-    d = d.withColumn("__common", _by_lang(refs, F.col("__lang"), "words", "array<string>"))
-    n, s, size = F.col("__n").cast("double"), F.col("__short"), F.octet_length("__short")
+    d = written(_features(docs, text_col, lang_col, keep))
+    pooled = d.agg(*[F.sum(c).alias(c) for c in _CLASSES]).first()
+    refs = cut(references(d))
+    d = d.join(F.broadcast(refs) if refs.count() <= SENT_LANGS else refs, "__lang", "left")
+    all_chars = F.array(*[F.lit(x / (sum(pooled) or 1)) for x in pooled]) if pooled[0] is not None else F.lit(None).cast("array<double>")
+    n, s, size = F.col("__n").cast("double"), F.col("__words"), F.octet_length("__words")
     count = lambda c: (size - F.octet_length(F.replace(s, F.concat(F.lit("\n"), c, F.lit("\n")), F.lit("")))) / (F.octet_length(c) + 2)
-    d = d.withColumn("__counts", F.transform("__common", count))
+    d = d.withColumn("__counts", F.transform(F.coalesce("__common", F.array().cast("array<string>")), count))
     rest = n - F.aggregate("__counts", F.lit(0.0), lambda a, b: a + b)
     shares = F.transform(F.concat("__counts", F.array(rest)), lambda x: x / n)
     total = sum((F.col(c) for c in _CLASSES[1:]), F.col(_CLASSES[0])).cast("double")
     guard = (F.col("__n") >= min_words) & (total >= min_chars)
     chars = F.array(*[F.col(c) / total for c in _CLASSES])
     base = (F.col("__n") < 10) | (F.lit(100) * F.col("__n_repeat_words") > F.lit(20) * F.col("__n"))
-    d = d.withColumn("__char_distance", F.when(guard, _js_distance(chars, _by_lang(refs, F.col("__lang"), "chars", "array<double>"))))
-    d = d.withColumn("__word_distance", F.when(guard, _js_distance(shares, _by_lang(refs, F.col("__lang"), "shares", "array<double>"))))
+    d = d.withColumn("__char_distance", F.when(guard, _js_distance(chars, F.coalesce("__ref_chars", all_chars))))
+    d = d.withColumn("__word_distance", F.when(guard, _js_distance(shares, F.coalesce("__ref_words", F.array(F.lit(1.0))))))
     far = (F.coalesce("__char_distance", F.lit(0.0)) > max_char_distance) | (F.coalesce("__word_distance", F.lit(0.0)) > max_word_distance)
     return d.select(
         *[F.col(f"`{c}`") for c in keep],

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpoint_dir
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.langid import fit, identify
 from tidemark.llm.mixing import mix
@@ -46,8 +48,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+def op5_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """A run on a new ledger, in the shared folder, unless one is named."""
+    docs = _table(spark, sf_dir, "documents")
+    found = find_secrets(docs, ledger or f"{checkpoint_dir(spark)}/secrets-{uuid.uuid4().hex}", keep=["doc_id"])
     spans, base = F.col("__spans"), F.filter("__spans", lambda s: s["kind"].isin(*BASE_KINDS))
     joined = lambda of: F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     counts = [F.expr(f"cast(size(filter(__spans, s -> s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in BASE_KINDS]

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, shielded
+from tidemark.llm.common import shielded
 
 #: Rules by version: kind, pattern, the group whose length counts, the least length. Ledgers name the versions; a
 #: changed rule is a new version.
@@ -55,6 +56,16 @@ def _first_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], ["blob", "packed"])
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows (blob, version, spans) at path; none where nothing was stored yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
 def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, versions: tuple[int, ...] = tuple(RULES)) -> DataFrame:
     """Rows (blob, version, spans) for the distinct texts and versions that the ledger lacks; append them to it.
 
@@ -91,18 +102,21 @@ def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = Non
 
 
 @shielded
-def find_secrets(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, keep: list[str] | None = None, versions: tuple[int, ...] = tuple(RULES)) -> DataFrame:
+def find_secrets(docs: DataFrame, ledger: str, text_col: str = "text", keep: list[str] | None = None, versions: tuple[int, ...] = tuple(RULES)) -> DataFrame:
     """Columns of keep (all by default), __blob and __spans (start, rank, stop, kind; in order) for each row.
 
-    Blobs that the ledger has for a version are not scanned for it again; findings, old and new, go to every row of
-    their blob.
+    ledger is the path of a Parquet table that all executors share. Each row of docs is one version of some path, of
+    which only the content counts. Blobs that the ledger lacks for a version of the rules are scanned and appended to it;
+    findings are read from it and go to every row of their blob. A further run, over the same or a later state of the
+    paths, scans only what is new, and a new version of rules scans each blob once more for those rules alone. One run
+    at a time writes a ledger; if one is lost half-way, its appended rows count as scanned, and repeated rows don't count.
 
     Nulls: a null text is an empty one. Repeated rows and copies share findings. An empty table gives no rows.
     """
-    keep = docs.columns if keep is None else keep
-    fresh = cut(scan(docs, text_col, ledger, versions))
-    known = fresh if ledger is None else fresh.unionByName(ledger.filter(F.col("version").isin(list(versions))).select("blob", "version", "spans"))
-    found = known.filter(F.size("spans") > 0).groupBy(F.col("blob").alias("__b")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))  # a row for each version
+    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
+    scan(docs, text_col, read_ledger(spark, ledger), versions).write.mode("append").parquet(ledger)
+    known = read_ledger(spark, ledger).filter(F.col("version").isin(list(versions)) & (F.size("spans") > 0))
+    found = known.groupBy(F.col("blob").alias("__b")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__spans"))  # a row for each version
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     paths = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(text, 256)).alias("__blob"))
     joined = paths.join(found, F.col("__blob") == F.col("__b"), "left")

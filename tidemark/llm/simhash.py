@@ -8,13 +8,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import cut
 from tidemark.llm.components import components
-from tidemark.llm.similar import similar_documents
+from tidemark.llm.similar import nodes_of, similar_documents
 
 DISTANCE = 3
 #: Members of a key's group that are compared in one task; larger groups are compared block by block.
@@ -270,14 +270,32 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Groups are those of similar_documents: every pair that shares similarity or more of its shingles is linked, and no
     other. (Fingerprints of such texts differ in some 10 of 64 bits, too many for search keys.)
 
-    Rows with a null id stay. Of rows that repeat an id that stays, one stays.
+    Rows with a null id stay. Where an id repeats, each of its texts is judged by itself: a group keeps the text of its
+    smallest id, of several such texts the one whose set of shingles has the smallest hash, then that of the smallest
+    SHA-256, and of equal rows one.
     """
     found = cut(similar_documents(docs, id_col, text_col, shingle, similarity))
-    gone = found.filter(F.col(id_col) != F.col("__component")).select(id_col).distinct()
+    if found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
+        return _drop_rows(docs, found, id_col, text_col, shingle)
+    gone = found.filter(F.col(id_col) != F.col("__component")).select(id_col)
     gone = F.broadcast(gone) if gone.limit(SENT_IDS + 1).count() <= SENT_IDS else gone
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    repeats = found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count()
-    if repeats:
-        named = kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.unionByName(kept.filter(F.col(id_col).isNull()))
-    return kept
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
+def _drop_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """As drop_near_duplicates, for ids that repeat: rows are told by id and set of shingles."""
+    keep = found.filter((F.col(id_col) == F.col("__component")) & (F.col("__node") == F.col("__keeper"))).select(F.col(id_col).alias("__id"), F.col("__node").alias("__keep")).distinct()
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(cols, docs.schema, strict=True)]
+
+    def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array(nodes_of(batch.column(len(cols)).to_pylist(), shingle), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], nodes], [*cols, "__node"])
+
+    id_, text = (cols[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = docs.toDF(*cols).withColumn("__t", F.col(text).cast("binary")).mapInArrow(noded, T.StructType([*fields, T.StructField("__node", T.LongType())]))
+    named = rows.filter(F.col(id_).isNotNull()).join(keep, (F.col(id_) == F.col("__id")) & (F.col("__node") == F.col("__keep")), "left_semi")
+    order = Window.partitionBy(id_, "__node").orderBy(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256), F.to_json(F.struct(*cols)))
+    one = named.withColumn("__k", F.row_number().over(order)).filter("__k = 1").select(*cols)
+    return one.unionByName(rows.filter(F.col(id_).isNull()).select(*cols)).toDF(*docs.columns)
