@@ -151,6 +151,28 @@ def test_drop_near_duplicates_with_repeated_ids(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).columns == df.columns and simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 14, 4])
+def test_shared_keys_of_several_roots(monkeypatch, held):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "HELD", held)
+    rng = random.Random(3)
+    rows = sorted({(rng.randrange(30), rng.randrange(4) if k % 3 else 0, rng.randrange(40)) for k in range(600)})  # key, root, node
+    rows = [(k, n, 0, r) for k, r, n in dict.fromkeys((k, r, n) for k, r, n in rows)]
+    rows += rows[-1:]
+    batches, at = [], 0
+    while at < len(rows):
+        size = rng.choice((1, 2, 7, 50))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.array(rows[at : at + size]).T], ["key", "node", "place", "root"]))
+        at += size
+    got = [tuple(r.values()) for b in similar._shared(iter(batches)) for r in b.to_pylist()]
+    several = {k for k in range(30) if len({r[3] for r in rows if r[0] == k}) > 1}
+    want = [r for r in dict.fromkeys(rows) if r[0] in several]
+    assert len(got) == len(set(got)) and set(want) <= set(got)
+    assert held < 5 or got == want
+
+
 def test_mix_takes_near_the_targets(docs, rows, empty):
     out = mixing.mix(docs, keep=["doc_id", "source", "n"]).collect()
     assert sorted((str(r.doc_id), r["__size"]) for r in out) == sorted((str(r.doc_id), len(words(r.text))) for r in rows)
