@@ -290,7 +290,7 @@ def test_secrets_and_ledger(spark, empty, tmp_path):
 @pytest.mark.parametrize("block", [1 << 20, 64])
 def test_contamination_equals_brute_force(spark, docs, rows, empty, block):
     long = next(r.text for r in rows if r.text and len(r.text) > 50_000).split()
-    items = [("a", " ".join(long[500:525])), ("b", " ".join(long[510:540]).upper()), ("c", "one two"), ("d", None), ("e", "..."), (None, " ".join(long[7000:7012])), ("a2", " ".join(long[500:525]))]
+    items = [("a", " ".join(long[500:525])), ("b", " ".join(long[510:540]).upper()), ("c", "one two"), ("d", None), ("e", "..."), (None, " ".join(long[7000:7012])), ("a2", " ".join(long[500:525])), ("f", " ".join(long[40:60] + ["elsewhere"] + long[41:75]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     windows = {}
@@ -307,7 +307,24 @@ def test_contamination_equals_brute_force(spark, docs, rows, empty, block):
                     hit |= set(range(k, k + n))
                     found |= windows[x]
         want.append((str(r.doc_id), len(w), len(hit), sorted(found)))
-    got = [(str(r.doc_id), r["__n_words"], r["__n_hit"], r["__items"]) for r in decontaminate.contamination(docs, bench, block=block).collect()]
+    out = decontaminate.contamination(docs, bench, block=block).collect()
+    got = [(str(r.doc_id), r["__n_words"], r["__n_hit"], r["__items"]) for r in out]
+    for r in out:  # longest matches, by comparing all places
+        w = pattern.findall(low(r.text))
+        assert [m.item for m in r["__matches"]] == r["__items"]
+        for m in r["__matches"]:
+            best = (0, 0)
+            for v in (pattern.findall(low(t)) for i, t in items if (i or "") == m.item):
+                least = min(10, len(v))
+                for a in range(len(w)):
+                    for b in range(len(v) - least + 1):
+                        if w[a] != v[b] or w[a : a + least] != v[b : b + least]:
+                            continue
+                        n = least
+                        while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                            n += 1
+                        best = max(best, (n, -a))
+            assert (m.length, -m.start) == best
     assert sorted(got) == sorted(want) and sum(n > 0 for _, _, n, _ in want) >= 2
     clean = decontaminate.contamination(docs, bench, only_clean=True, block=block)
     assert clean.count() == sum(n == 0 for _, _, n, _ in want)
