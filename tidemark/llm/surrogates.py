@@ -30,6 +30,8 @@ _HINT = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}"
 _LATIN = ("ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "tu", "va", "ke", "li", "mo", "pa", "ze")
 _CYRILLIC = ("ба", "де", "фи", "го", "лу", "ма", "не", "ри", "со", "ту", "ва", "ке", "ли", "мо", "па", "зе")
 _ROUNDS = 4
+#: Entities of a task.
+PER_TASK = 4096
 
 
 def kind_of(x: Column) -> Column:
@@ -92,15 +94,59 @@ def _card(digits: Column, key: str) -> Column:
     return _bind(permute_digits(body, key), lambda p: F.concat(p, F.pmod(_luhn_check(p) + off, F.lit(10)).cast("string")))
 
 
-def _name_word(word: Column, ending: Column, key: str, syllables: int) -> Column:
-    """A name in the word's script, with the ending of the gender."""
+def _pseudo_word(word: Column, ending: Column, key: str, syllables: int) -> Column:
+    """A made-up word in the word's script and case, with an ending."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("name"), F.lower(word)), 256)
     cyrillic = word.rlike(r"\p{IsCyrillic}")
     pick = lambda table, i: F.element_at(F.array(*[F.lit(s) for s in table]), F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("int") + 1)
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(syllables)), lambda i: F.when(cyrillic, pick(_CYRILLIC, i)).otherwise(pick(_LATIN, i))), "")
-    end = F.when(cyrillic, F.translate(ending, "anos", "анос")).otherwise(ending)
-    whole = F.concat(body, end)
-    return F.when(F.length(word) > 1, F.when(word == F.upper(word), F.upper(whole)).otherwise(F.initcap(whole))).otherwise(F.initcap(whole))
+    whole = F.concat(body, ending)
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(whole)).when(word == F.lower(word), whole).otherwise(F.initcap(whole))
+
+
+def _name(x: Column, key: str, syllables: int) -> Column:
+    """Title and made-up words. A given name ends as the title's gender has it; a family name is the same for all who bear
+    it, but for a Cyrillic one, which is inflected."""
+    title = F.regexp_extract(x, rf"^((?:{_TITLES})\.?) ", 1)
+    bare = F.regexp_replace(title, r"\.", "")
+    female, male = bare.isin(*_FEMALE), bare.isin(*_MALE)
+    words = F.split(F.substring(x, F.length(title) + 2, F.length(x)), " ")
+
+    def word(w: Column, i: Column) -> Column:
+        cyrillic, family = w.rlike(r"\p{IsCyrillic}"), i == F.size(words) - 1
+        given = F.when(female, F.when(cyrillic, "на").otherwise("na")).when(male, F.when(cyrillic, "н").otherwise("n")).otherwise(F.when(cyrillic, "со").otherwise("so"))
+        stem = F.when(cyrillic & family & female, F.regexp_replace(w, "(?<=[оеёи][вн])[аА]$", "")).otherwise(w)  # -ова, -ева, -ина
+        ending = F.when(~family, given).when(~cyrillic, F.lit("")).when(female, F.lit("ова")).otherwise(F.lit("ов"))
+        return _pseudo_word(stem, ending, key, syllables)
+
+    return F.concat_ws(" ", title, F.array_join(F.transform(words, word), " "))
+
+
+def _email(x: Column, key: str, syllables: int) -> Column:
+    """Made-up words and permuted digits between the separators of the local part; a domain of its own, under .example."""
+    local, domain = F.substring_index(F.lower(x), "@", 1), F.substring_index(F.lower(x), "@", -1)
+    whole = F.sha2(F.concat_ws("|", F.lit(key), local, domain), 256)
+    run = lambda w: F.when(w.rlike("^[0-9]+$"), permute_digits(F.substring(w, 1, 36), f"{key}|mail")).when(w.rlike(r"^[\p{L}\p{M}]+$"), _pseudo_word(F.concat(w, whole), F.lit(""), key, syllables)).otherwise(w)
+    parts = F.regexp_extract_all(local, F.lit(r"[0-9]+|[\p{L}\p{M}]+|[^\p{L}\p{M}0-9]+"), F.lit(0))
+    return F.concat(F.array_join(F.transform(parts, run), ""), F.lit("@"), _pseudo_word(domain, F.lit(""), key, syllables), F.lit(".example"))
+
+
+def _iban(x: Column, key: str) -> Column:
+    """Permuted digits after the country and its check digits, which stay as far from the valid ones as they were."""
+    plain = F.regexp_replace(x, " ", "")
+
+    def valid(account: Column) -> Column:
+        letters = F.concat(account, F.substring(plain, 1, 2), F.lit("00"))
+        value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        rest = F.aggregate(F.split(letters, ""), F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + F.coalesce(value(c), F.lit(0)), F.lit(97)))
+        return F.lit(98) - rest
+
+    account = F.substring(plain, F.lit(5), F.length(plain))
+    digits = F.regexp_replace(account, "[^0-9]", "")
+    made = _refill(account, permute_digits(digits, f"{key}|iban"))
+    off = F.substring(plain, 3, 2).cast("int") - valid(account)
+    check = _bind(made, lambda m: F.lpad((F.pmod(valid(m) + off - 2, F.lit(97)) + 2).cast("string"), 2, "0"))
+    return _bind(F.concat(check, F.regexp_replace(made, "[^0-9]", "")), lambda d: _refill(x, d))
 
 
 def surrogate(x: Column, kind: Column, key: str, syllables: int) -> Column:
@@ -108,18 +154,12 @@ def surrogate(x: Column, kind: Column, key: str, syllables: int) -> Column:
     digits = F.regexp_replace(x, "[^0-9]", "")
     country = F.regexp_extract(x, r"^\+(\d{1,3})(?=[ .(-])", 1)
     phone = _refill(x, F.concat(country, permute_digits(F.substring(digits, F.length(country) + 1, F.length(digits)), f"{key}|phone")))
-    at = F.substring_index(F.lower(x), "@", 1), F.substring_index(F.lower(x), "@", -1)
-    email = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("local"), *at), 256), 1, 20), F.lit("@d"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), at[1]), 256), 1, 12), F.lit(".example"))
     value = F.aggregate(F.split(x, r"\."), F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
     half = _bind(value, lambda v: F.struct(F.shiftright(v, 16).alias("l"), v.bitwiseAND(F.lit(65535).cast("long")).alias("r")))
     for k in range(_ROUNDS):
         half = _ip_round(half, key, k)
     ip = _bind(half, lambda s: F.concat_ws(".", *[F.shiftright(s[p], n).bitwiseAND(F.lit(255).cast("long")).cast("string") for p in ("l", "r") for n in (8, 0)]))
-    title = F.regexp_extract(x, rf"^((?:{_TITLES})\.?) ", 1)
-    bare = F.regexp_replace(title, r"\.", "")
-    ending = F.when(bare.isin(*_FEMALE), F.lit("na")).when(bare.isin(*_MALE), F.lit("n")).otherwise(F.lit("so"))
-    name = F.concat_ws(" ", title, F.array_join(F.transform(F.split(F.substring(x, F.length(title) + 2, F.length(x)), " "), lambda w: _name_word(w, ending, key, syllables)), " "))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", _refill(x, _card(digits, f"{key}|card"))).when(kind == "name", name)
+    out = F.when(kind == "email", _email(x, key, syllables)).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", _refill(x, _card(digits, f"{key}|card"))).when(kind == "name", _name(x, key, syllables)).when(kind == "iban", _iban(x, key))
     return out.otherwise(_refill(x, permute_digits(digits, f"{key}|id")))
 
 
@@ -143,8 +183,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", keep: li
     """Columns of keep (all by default), __text (with surrogates) and __entities (kind, number) for each row.
 
     Digits are permuted with the key within their format (so distinct numbers stay distinct), a card's check digit
-    stays as valid as it was, and a phone's country code stays; addresses of one mail domain share a domain; a name
-    after a title keeps title, gender and script. Mentions of one entity share a surrogate in all documents.
+    stays as valid as it was, and a phone's country code stays; addresses of one mail domain share a domain, and keep
+    the local part's separators; a name
+    after a title keeps title, gender and script, and bearers of a family name share its surrogate; IBAN check digits
+    stay as valid as they were. Mentions of one entity share a surrogate in all documents.
 
     All surrogates are compared before use: if two entities share one, or an address or name equals a true one, all are
     drawn anew under the next key and with longer names, until none does. (Numbers are permuted among themselves, so in
@@ -158,8 +200,11 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", keep: li
     known = docs.select(F.explode(F.array_distinct(found)).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
     known = known.select("x", kind_of(F.col("x")).alias("kind"))
     known = cut(known.select("kind", _canonical(F.col("x"), F.col("kind")).alias("who"), "x"))
+    n = known.count()
+    known = known.repartition(max(1, -(-n // PER_TASK)), "x")  # small rows, but each takes many steps
+    syllables = max(syllables, -(-(2 * n.bit_length() + 6) // 4))  # so that few are alike
     for draw in range(most_draws):
-        drawn, long = f"{key}|{draw}", syllables + 3 * draw
+        drawn, long = f"{key}|{draw}", min(60, syllables + 3 * draw)
         made = known.withColumn("s", surrogate(F.col("x"), F.col("kind"), drawn, long))
         shared = made.groupBy(F.lower("s").alias("s")).agg(F.min("who").alias("a"), F.max("who").alias("b")).filter("a <> b").limit(1).count()
         if not shared and not made.filter("kind IN ('email', 'name')").select("s").join(known.select(F.col("x").alias("s")), "s", "left_semi").limit(1).count():
