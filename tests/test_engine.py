@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import episodes, joins, labels, quality, timeline
-from tidemark.plans import alarms, evaluation, features, scoring
+from tidemark.functions import quantiles, stats
+from tidemark.plans import alarms, evaluation, features, models, scoring
 from tidemark.schema import HOUR_US, VIEW
 
 S = 1_000_000
@@ -117,7 +118,7 @@ def test_alarms_fire_when_severity_rises(spark):
     s = alarms.status(d, F.lit(2.0), F.lit(4.0))
     assert [r.status for r in s.orderBy("ws").collect()] == ["healthy", "alert", "alert", "critical", "critical", "healthy", "alert"]
     assert [(r.idx, r.level) for r in alarms.alarms(s).orderBy("idx").collect()] == [(1, "alert"), (3, "critical"), (6, "alert")]
-    assert s.select(alarms.suspected_fault(F.lit("nothing"))).first()[0] == "unspecified"
+    assert s.select(alarms.suspected_fault(F.lit("nothing"))).first()[0] == "abnormal behavior"
 
 
 def test_mahalanobis_and_forecast_have_the_expected_order(spark):
@@ -128,3 +129,111 @@ def test_mahalanobis_and_forecast_have_the_expected_order(spark):
     assert condition < 1e3 and out.orderBy(F.desc("mahalanobis")).first().ws == 60
     f = scoring.forecast_residual(d, "x", lags=3)
     assert f.filter("ws < 3").agg(F.max("forecast_residual")).first()[0] == 0 and f.orderBy(F.desc("forecast_residual")).first().ws == 60
+
+
+def test_quantiles_and_ranks_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    data = [(g, None if v == 3 else float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, 200)]
+    d = spark.createDataFrame(data, "g string, v double").repartition(5)
+    probs = (0.0, 0.1, 0.25, 0.5, 0.97, 1.0)
+    for r in quantiles.quantiles(d, ["g"], "v", probs).collect():
+        assert np.allclose(r.q, np.quantile([v for g, v in data if g == r.g and v is not None], probs))
+    whole = [v for _, v in data if v is not None]
+    assert np.allclose(quantiles.quantiles(d, [], "v", probs).first().q, np.quantile(whole, probs))
+    assert quantiles.quantiles(d.limit(0), ["g"], "v", probs).count() == 0 and timeline.median_lag(timeline.with_lag(rows(spark, [5]))) is None
+    ranks = {r.v: r.v_rank for r in stats.average_ranks(d.select("v"), ["v"]).distinct().collect()}
+    ordered = sorted(whole)
+    assert ranks == {v: (ordered.index(v) + 1 + len(ordered) - ordered[::-1].index(v)) / 2 for v in set(whole)} | {None: None}
+    n = quantiles.numbered(spark.range(100).withColumn("k", -F.col("id")).repartition(7), ["k"], "n").collect()
+    assert sorted((r.n, r.id) for r in n) == [(i, 99 - i) for i in range(100)]
+
+
+def test_previous_rows_cross_buckets(spark):
+    d = timeline.lagged_many(rows(spark, [i * 7 * S for i in range(50)]), ["event_id"], 3, "past", VIEW, bucket_us=20 * S)
+    for r in d.collect():
+        assert [x.event_id for x in r.past] == [k for k in range(r.event_id - 1, r.event_id - 4, -1) if k >= 0]
+
+
+def test_time_filter_reaches_the_scan(spark, tmp_path, capsys):
+    spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, id) AS ts, unix_micros(timestamp'2024-01-01 00:00:00' + make_dt_interval(0, id)) AS us FROM range(100)").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    lo = d.agg(F.min("us")).first()[0] + 10 * HOUR_US
+    out = stats.between(d, lo, lo + HOUR_US // 2).filter((F.col("us") >= lo) & (F.col("us") < lo + HOUR_US // 2))
+    assert out.count() == 1
+    out.explain("formatted")
+    assert "GreaterThanOrEqual(ts" in capsys.readouterr().out
+
+
+def windows(spark, n=80, seed=4):
+    """Scored windows of one series: healthy, but for some before and in two failures."""
+    rng = np.random.default_rng(seed)
+    fails = [labels.Failure("A", "x", 30 * HOUR_US, 36 * HOUR_US, None), labels.Failure("B", "x", 60 * HOUR_US, 66 * HOUR_US, None)]
+    data = []
+    for i in range(n):
+        bad = any(f.start - 4 * HOUR_US <= i * HOUR_US <= f.end for f in fails)
+        x, y = rng.normal(size=2)
+        data.append(("S1", 0, i, i * HOUR_US, (i + 1) * HOUR_US, 60, "prefail" if bad else "healthy", float(x + 4 * bad), float(y), float(2 * x), "idle", bool(bad)))
+    d = spark.createDataFrame(data, "series_id string, seg int, win int, ws long, we long, n_samples int, label string, x double, y double, z double, cycling_regime string, frozen boolean")
+    return d, fails
+
+
+def test_matrix_is_numeric_and_guards_raise(spark):
+    d, _ = windows(spark, 5)
+    m = models.matrix(d)
+    assert m.columns[-3:] == ["regime_cycling", "regime_idle", "regime_locked"] and dict(m.dtypes)["frozen"] == "int"
+    assert m.first().regime_idle == 1 and models.numeric_columns(m, ("regime", "frozen")) == ["x", "y", "z"]
+    with pytest.raises(ValueError, match="not numeric"):
+        models.matrix(d.withColumn("odd", F.lit("a")))
+    with pytest.raises(ValueError, match="without any value"):
+        features.guard(d.withColumn("none", F.lit(None).cast("double")), ["x", "none"])
+    with pytest.raises(ValueError, match="twice"):
+        features.guard(d.select("x", "x"), [])
+
+
+def test_forest_and_residual_find_the_outliers(spark):
+    d, _ = windows(spark)
+    split = scoring.time_split(d)
+    out = models.isolation_forest(split, ("x", "y")).collect()
+    bad, good = ([r.iforest for r in out if (r.label == "prefail") == b] for b in (True, False))
+    assert all(0 < r.iforest < 1 for r in out) and np.mean([b > g for b in bad for g in good]) > 0.9
+    assert models.isolation_forest(split.limit(0), ("x", "y")).count() == 0
+    r = models.anchored_residual(d, ("x",), ("x", "z")).collect()  # z tells x, but not in the failures
+    bad, good = ([v.anchored_residual for v in r if (v.label == "prefail") == b] for b in (True, False))
+    assert np.std(good) > 0 and np.mean([b > g for b in bad for g in good]) > 0.9
+
+
+def test_held_out_failures_are_told_by_the_others(spark):
+    d, fails = windows(spark)
+    out = models.leave_one_out(d, columns=("x", "y"), failures=fails, hours=4).collect()
+    assert {(r.model, r.target) for r in out} == {(m, t) for m in models.LEARNERS for t in ("A", "B")}
+    assert all(r.roc_auc > 0.8 and r.n_pos == 11 for r in out)
+    assert models.leave_one_out(d, columns=("x", "y"), failures=fails[:1], hours=4).count() == 0
+    imp = {r["column"]: r.importance for r in models.permutation_importance(d, ("x", "y"), fails, 4).collect()}
+    assert imp["x"] > 0.2 > imp["y"]
+
+
+def test_spectrum_equals_least_squares(spark):
+    rng = np.random.default_rng(9)
+    t = np.sort(rng.integers(0, 3600, 120))
+    y = (np.sin(2 * np.pi * t / 300) > 0).astype(int)
+    data = [("S1", 0, 0, int(a) * S, int(b)) for a, b in zip(t, y, strict=True)] + [("S1", 0, 1, i * S, 1) for i in range(50)]
+    got = {r.win: r for r in features.spectral(spark.createDataFrame(data, "series_id string, seg int, win int, us long, dv int")).collect()}
+    assert got[1].dominant_freq is None
+    freq, power = np.linspace(1 / 3600, 1 / 60, 200), []
+    for f in freq:
+        base = np.stack([np.ones(len(t)), np.cos(2 * np.pi * f * t), np.sin(2 * np.pi * f * t)], axis=1)
+        rest = y - base @ np.linalg.lstsq(base, y, rcond=None)[0]
+        power.append(1 - (rest @ rest) / ((y - y.mean()) @ (y - y.mean())))
+    p = np.array(power) / sum(power)
+    assert abs(got[0].dominant_freq - freq[int(np.argmax(power))]) < 1e-12 and abs(got[0].spectral_entropy + (p * np.log(p + 1e-12)).sum()) < 1e-6
+
+
+def test_stuck_instrument_and_first_crossing(spark):
+    hours = 24
+    d = rows(spark, [i * HOUR_US // 4 for i in range(4 * hours)], dv=[0] * (4 * hours), a2=[5.0 if 24 <= i < 60 else float(i) for i in range(4 * hours)])
+    stuck = d.withColumn("comp", F.when(F.col("event_id").between(24, 59), 0).otherwise(1))
+    e = episodes.state_episodes(stuck, episodes.stuck_instrument(), 0, hours * HOUR_US, 6 * HOUR_US, HOUR_US).collect()
+    assert [(r.episode_start, r.episode_end) for r in e] == [(6 * HOUR_US, 15 * HOUR_US)]
+    z, fails = spark.createDataFrame([("S1", i * HOUR_US, float(i % 7), i == 20) for i in range(40)], "series_id string, ws long, zmax double, alert boolean"), [labels.Failure("A", "x", 30 * HOUR_US, 31 * HOUR_US, None)]
+    r = alarms.first_crossing(z, fails).first()
+    assert (r.n, r.first_alert, r.lead_h) == (38, 20 * HOUR_US, 10.0)

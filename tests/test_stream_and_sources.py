@@ -2,12 +2,14 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import pipeline
-from tidemark.operators import quality
+from tidemark.operators import labels, quality
+from tidemark.plans import scoring
 from tidemark.schema import SensorSchema
 from tidemark.sources import files
 from tidemark.streaming import streams
@@ -44,12 +46,60 @@ def test_sessions_split_at_gaps(spark, folder, tmp_path):
     assert sorted(r.n for r in got.collect()) == [200, 340]
 
 
-def test_coverage_and_score(spark):
-    w = spark.createDataFrame([("S1", 0, 10, 9.0, 0.5), ("S1", 1, 2, 1.0, 0.5)], "series_id string, ws long, n long, duty double, oil_std double")
-    kept = streams.covered(w, 10)
-    assert [r.ws for r in kept.collect()] == [0]
-    scaler = spark.createDataFrame([(1.0, 2.0, 0.5, 1.0)], "mu_duty double, sd_duty double, mu_oil_std double, sd_oil_std double")
-    assert streams.scored(kept, scaler, ["duty", "oil_std"], F.lit(3.0)).first().zmax == 4.0
+def test_sliding_windows_equal_the_batch(spark, folder, tmp_path):
+    got = run(spark, streams.window_features(streams.timed(streams.replay(spark, folder, SCHEMA, 10), late="1 day"), "1 hour", "5 minutes"), tmp_path, "sliding", "complete")
+    want = streams.window_features(spark.read.schema(SCHEMA).parquet(folder).withColumn("time", F.timestamp_micros("us")), "1 hour", "5 minutes")
+    key = lambda df: sorted((r.ws, r.n, round(r.duty, 9)) for r in df.collect())
+    assert key(got) == key(want) and len({k[0] for k in key(want)}) > 100
+
+
+def test_coverage_and_stored_scaler_on_a_stream(spark, folder, tmp_path):
+    batch = streams.window_features(spark.read.schema(SCHEMA).parquet(folder).withColumn("time", F.timestamp_micros("us")))
+    scaler = scoring.scaler(batch.withColumn("is_train", F.lit(True)), ["duty", "oil_std"])
+    scaler.write.parquet(str(tmp_path / "scaler"))
+    windows = streams.covered(streams.window_features(streams.timed(streams.replay(spark, folder, SCHEMA), late="1 minute")), 60, 0.9)
+    live = streams.scored(windows, spark.read.parquet(str(tmp_path / "scaler")), ["duty", "oil_std"], F.lit(1.0))
+    got = {r.ws: (r.zmax, r.alert) for r in run(spark, live.select("ws", "zmax", "alert"), tmp_path, "live").collect()}
+    mean, sd = (batch.agg(*[f(c) for c in ("duty", "oil_std")]).first() for f in (F.avg, F.stddev_samp))
+    full = [r for r in batch.collect() if r.n >= 54]
+    want = {r.ws: max(abs(r.duty - mean[0]) / sd[0], abs(r.oil_std - mean[1]) / sd[1]) for r in full}
+    # The last window stays open until the watermark passes its end.
+    assert len(full) - 1 <= len(got) < batch.count() and all(abs(got[k][0] - want[k]) < 1e-9 and got[k][1] == (want[k] > 1.0) for k in got)
+
+
+def test_late_and_repeated_rows_are_dropped(spark, tmp_path):
+    path, at = str(tmp_path / "late"), 1_704_067_200 * S
+    minutes = [[0, 1, 2], [2, 3, 30], [31], [4, 31], [60]]  # 4 comes when the watermark has passed it, and a batch has seen that
+    for k, part in enumerate(minutes):
+        spark.createDataFrame([("S1", m, at + m * 60 * S, 0.5, 0.5, 0, 1) for m in part], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+    rows = streams.without_repeats(streams.timed(streams.replay(spark, path, SCHEMA), late="10 minutes"), ["series_id", "event_id"])
+    assert sorted(r.event_id for r in run(spark, rows.select("event_id"), tmp_path, "once").collect()) == [0, 1, 2, 3, 30, 31, 60]
+    wins = streams.window_features(streams.timed(streams.replay(spark, path, SCHEMA), late="10 minutes"), "10 minutes")
+    got = {(r.ws - at) // (600 * S): r.n for r in run(spark, wins, tmp_path, "windows").collect()}
+    assert got[0] == 5 and got[3] == 3  # 0, 1, 2, 2, 3; 30, 31, 31
+
+
+def test_escalations_keep_state_between_batches(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    path, z = str(tmp_path / "z"), [0.0, 5.0, 5.0, 5.0, 5.0, 1.0, 5.0]
+    for k in range(len(z)):
+        spark.createDataFrame([("S1", k, z[k])], "series_id string, ws long, zmax double").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        found = run(spark, streams.escalations(streams.replay(spark, path, "series_id string, ws long, zmax double"), 2.0, 4.0), tmp_path, "levels").collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert sorted((r.ws, r.level) for r in found) == [(1, "alert"), (3, "critical"), (6, "alert")]
+
+
+def test_failures_are_read_as_dates(spark, tmp_path):
+    fails = [labels.Failure("F1", "leak", 1_704_067_200 * S, 1_704_070_800 * S, None), labels.Failure("F2", "leak", 1_704_167_200 * S, 1_704_170_800 * S, 1_704_180_000 * S)]
+    files.write_failures(spark, fails, str(tmp_path / "f.csv"))
+    assert "2024-01-01 00:00:00" in "".join(p.read_text() for p in (tmp_path / "f.csv").glob("*.csv"))
+    assert [tuple(r) for r in files.read_failures(spark, str(tmp_path / "f.csv")).orderBy("start").collect()] == [(f.failure_id, f.fault_type, f.start, f.end, f.maintenance) for f in fails]
 
 
 @pytest.fixture(scope="module")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import counted, quantiles
 from tidemark.operators.labels import FAILURES
 from tidemark.operators.timeline import lagged, series_runs
 from tidemark.schema import HOUR_US, VIEW, Roles
@@ -18,8 +21,9 @@ def unpivoted(df: DataFrame, keep: list[str], columns: list[str], name: str = "s
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles and max of each column; percentiles are exact and interpolate."""
     long = unpivoted(df.select(*[F.col(c).cast("double") for c in columns]), [], columns)
-    q = lambda p: F.percentile("value", p)
-    return long.groupBy("signal").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max("value").alias("max"))
+    sums = long.groupBy("signal").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(long, ["signal"], "value", (0.25, 0.5, 0.75))
+    return sums.join(q, "signal", "left").select("signal", "n", "mean", "std", "min", *[F.get("q", i).alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,7 +58,7 @@ def histogram(df: DataFrame, column: str, bins: int = 60) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges, and the number of values beyond."""
-    q = df.agg(*[F.percentile(column, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    q = quantiles(df.select(F.col(column).cast("double").alias("v")), [], "v", (0.25, 0.5, 0.75)).select(*[F.get("q", i).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     d = df.crossJoin(F.broadcast(q))  # one row
     inside = (F.col(column) >= lo) & (F.col(column) <= hi)
@@ -69,19 +73,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds {column}_rank, averaged over ties, from the counts of distinct values.
-
-    Ranks come from range partitions of the values: a running sum within each, after the sums of the partitions before.
-    """
+    """Adds {column}_rank, averaged over ties, from the running counts of distinct values."""
     for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        bounds = counts.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1024)).otherwise(0)
-        dealt = counts.crossJoin(F.broadcast(bounds)).withColumn("_part", part).drop("lo", "hi")  # one row
-        sums = dealt.groupBy("_part").agg(F.sum("_n").alias("_s"))
-        before = sums.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 1025 rows at most
-        upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        ranks = dealt.join(F.broadcast(before), "_part").select("_v", (F.col("_before") + upto - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
+        ranks = counted(df.select(F.col(c).alias("_v")), [], "_v").select("_v", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(f"{c}_rank"))
         df = df.join(ranks, df[c] == ranks["_v"], "left").drop("_v")
     return df
 
@@ -91,9 +85,18 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     return correlations(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in columns]), columns)
 
 
+def between(df: DataFrame, lo: int, hi: int, r: Roles = VIEW, time: str = "ts") -> DataFrame:
+    """Rows whose timestamp lies in the seconds that [lo, hi] touches, so that the scan reads those alone; all where the
+    table has no timestamp."""
+    if time not in df.columns:
+        return df
+    at = lambda us: F.lit(datetime.fromtimestamp(us, timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz")
+    return df.filter((F.col(time) >= at(lo // 1_000_000)) & (F.col(time) < at(hi // 1_000_000 + 1)))
+
+
 def toggles_per_hour(df: DataFrame, signal: str, lo: int, hi: int, r: Roles = VIEW) -> DataFrame:
     """Changes of a signal on [lo, hi) per hour; the first row counts as one."""
-    d = lagged(df.filter((F.col(r.us) >= lo) & (F.col(r.us) < hi)), {signal: "_prev"}, r)
+    d = lagged(between(df, lo, hi, r).filter((F.col(r.us) >= lo) & (F.col(r.us) < hi)), {signal: "_prev"}, r)
     return d.agg((F.sum((~F.col(signal).eqNullSafe(F.col("_prev"))).cast("int")) / ((F.max(r.us) - F.min(r.us)) / HOUR_US)).alias("toggles_per_hour"))
 
 
@@ -109,7 +112,10 @@ def effect_sizes(df: DataFrame, group: Column, features: list[str], reference: s
     extra = extra or []
     long = unpivoted(df.select(*extra, group.alias("_g"), *[F.col(f).cast("double") for f in features]), [*extra, "_g"], features, "feature", "x")
     of = lambda g: F.when(F.col("_g") == g, F.col("x"))
-    s = long.groupBy(*extra, "feature").agg(F.avg(of(reference)).alias("mr"), F.avg(of(other)).alias("mg"), *[F.percentile(of(reference), p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))], F.percentile(of(other), 0.5).alias("qg"))
+    s = long.groupBy(*extra, "feature").agg(F.avg(of(reference)).alias("mr"), F.avg(of(other)).alias("mg"))
+    for g, names in ((reference, ("q1", "q2", "q3")), (other, (None, "qg", None))):
+        q = quantiles(long.filter(F.col("_g") == g), [*extra, "feature"], "x", (0.25, 0.5, 0.75))
+        s = s.join(q.select(*extra, "feature", *[F.get("q", i).alias(n) for i, n in enumerate(names) if n]), [*extra, "feature"], "left")
     binary = F.col("feature").isin(*digital) if digital else F.lit(False)
     iqr = F.col("q3") - F.col("q1")
     effect = F.when(binary, F.bround(F.col("mg") - F.col("mr"), 3)).when(iqr != 0, F.bround((F.col("qg") - F.col("q2")) / iqr, 2))

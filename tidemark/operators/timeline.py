@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles
 from tidemark.schema import DAY_US, HOUR_US, VIEW, Roles
 
 
@@ -25,6 +26,19 @@ def lagged(df: DataFrame, columns: dict[str, str], roles: Roles = VIEW, bucket_u
     return d.drop("_bucket", "_carry", "_first")
 
 
+def lagged_many(df: DataFrame, columns: list[str], k: int, name: str, roles: Roles = VIEW, bucket_us: int = DAY_US) -> DataFrame:
+    """Adds name: the structs of columns of the series' k previous rows, the latest first; fewer at the start."""
+    s, us, seq = roles.series, roles.us, roles.seq
+    d = df.withColumn("_bucket", F.floor(F.col(us) / bucket_us)).withColumn("_it", F.struct(*columns))
+    latest = F.slice(F.sort_array(F.collect_list(F.struct(us, seq, F.col("_it"))), asc=False), 1, k)  # of one bucket
+    last = d.groupBy(s, "_bucket").agg(F.transform(latest, lambda x: x["_it"]).alias("_last"))
+    before = Window.partitionBy(s).orderBy(F.desc("_bucket")).rowsBetween(1, k)  # each bucket has a row at least
+    carry = last.select(s, "_bucket", F.slice(F.flatten(F.collect_list("_last").over(before)), 1, k).alias("_carry"))
+    within = Window.partitionBy(s, "_bucket").orderBy(F.desc(us), F.desc(seq)).rowsBetween(1, k)
+    d = d.join(carry, [s, "_bucket"]).withColumn(name, F.slice(F.concat(F.collect_list("_it").over(within), "_carry"), 1, k))
+    return d.drop("_bucket", "_carry", "_it")
+
+
 def running_count(df: DataFrame, flag: Column, name: str, roles: Roles = VIEW, bucket_us: int = DAY_US) -> DataFrame:
     """Adds the number of rows of the series up to this one for which flag holds."""
     s, us, seq = roles.series, roles.us, roles.seq
@@ -43,7 +57,8 @@ def with_lag(df: DataFrame, roles: Roles = VIEW) -> DataFrame:
 
 def median_lag(lags: DataFrame) -> float:
     """Median time between rows: one number, on the driver."""
-    return lags.agg(F.percentile("dus", 0.5)).first()[0]
+    found = quantiles(lags.select(F.col("dus").cast("double").alias("dus")), [], "dus", (0.5,)).first()
+    return found["q"][0] if found and found["q"] else None
 
 
 def gaps(lags: DataFrame, threshold_us: float, roles: Roles = VIEW) -> DataFrame:

@@ -1,13 +1,48 @@
-"""DuckDB SQL of the registered queries, written from their definitions and sharing only constants with them."""
+"""DuckDB SQL of the registered queries, written from their definitions. Nothing is taken from the engine."""
 
 from __future__ import annotations
 
-from tidemark.operators.labels import DEGRADED, FAILURES, INVALID
-from tidemark.plans.alarms import FAULTS
-from tidemark.plans.features import FILLED, SCORED
-from tidemark.schema import DAY_US, HOUR_US
+from datetime import datetime, timezone
+from typing import NamedTuple
 
-H = HOUR_US
+H = 3_600_000_000
+DAY_US = 24 * H
+
+
+def _us(text: str) -> int:
+    return int(datetime.fromisoformat(text).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+
+
+class _Failure(NamedTuple):
+    failure_id: str
+    start: int
+    end: int
+    maintenance: int | None
+
+
+#: The known events of the sensor view, and the columns that are scored and filled.
+FAILURES = (
+    _Failure("F1", _us("2024-01-08 00:00"), _us("2024-01-08 23:59"), None),
+    _Failure("F2", _us("2024-01-14 23:30"), _us("2024-01-15 06:00"), _us("2024-01-10 12:00")),
+    _Failure("F3", _us("2024-01-19 10:00"), _us("2024-01-21 14:30"), _us("2024-01-22 16:00")),
+    _Failure("F4", _us("2024-01-26 14:30"), _us("2024-01-26 19:00"), _us("2024-01-27 00:00")),
+)
+DEGRADED = ((_us("2024-01-08 00:00"), _us("2024-01-12 00:00")),)
+INVALID = ((_us("2024-01-09 04:45"), _us("2024-01-10 01:30")),)
+SCORED = (
+    "duty", "frac_off", "frac_offloaded", "tp3_decay_slope", "cycles_per_hour", "oil_median", "oil_trend", "oil_std", "tp3_std",
+    "duty_std", "cycle_dur_cv", "cycle_dur_trend", "longest_load_stretch", "antiphase_share", "oil_residual",
+)
+FILLED = (
+    "duty", "frac_off", "frac_offloaded", "frac_loaded", "tp3_decay_slope", "oil_median", "oil_trend", "oil_std", "tp3_std",
+    "duty_std", "cycle_dur_cv", "cycle_dur_trend", "frac_continuous_load", "antiphase_share", "oil_residual",
+)
+_FAULT = """CASE driver WHEN 'tp3_decay_slope' THEN 'air leak (pressure decaying during idle)'
+ WHEN 'oil_median' THEN 'overwork heating (compensating for a leak)' WHEN 'oil_std' THEN 'unstable thermal behavior'
+ WHEN 'oil_trend' THEN 'rising oil temperature' WHEN 'duty' THEN 'abnormal load (compressor overworking)'
+ WHEN 'cycles_per_hour' THEN 'abnormal cycling rate' WHEN 'cycle_dur_cv' THEN 'erratic cycling (short-cycling)'
+ WHEN 'longest_load_stretch' THEN 'sustained load without rest' WHEN 'antiphase_share' THEN 'valve/pressure signal anomaly'
+ ELSE 'abnormal behavior' END"""
 _W = "OVER (ORDER BY us, event_id)"
 
 
@@ -168,7 +203,9 @@ ORACLES: dict[str, str] = {
     "a40_antiphase_sums": f"WITH {_V} SELECT dv + comp AS total, count(*) AS n FROM v GROUP BY 1",
     "a41_label_month_rollup": f"WITH {_LAB} SELECT label, month, count(*) AS n, round(avg(a1), 6) AS a1_mean FROM (SELECT label, CAST(month(ts) AS INTEGER) AS month, a1 FROM lb) GROUP BY ROLLUP (label, month)",
     "q7_checks": f"""WITH {_L}, {_MODAL}, bs AS (SELECT count(*) FILTER (us <= p) AS n FROM (SELECT us, lag(us) OVER (ORDER BY event_id) AS p FROM v)), rg AS (SELECT count(*) FILTER (a1 < 0 OR a1 > 90) + count(*) FILTER (a2 < 0 OR a2 > 100) AS n FROM v)
- SELECT 'timestamps_increasing' AS "check", n = 0 AS passed, CAST(n AS DOUBLE) AS detail FROM bs UNION ALL SELECT 'modal_interval', modal_us = 10000000, round(modal_us / 1e6, 6) FROM modal UNION ALL SELECT 'digitals_binary', true, 0.0 UNION ALL SELECT 'twin_sensors', true, 0.0
+ SELECT 'timestamps_increasing' AS "check", n = 0 AS passed, CAST(n AS DOUBLE) AS detail FROM bs UNION ALL SELECT 'modal_interval', modal_us = 10000000, round(modal_us / 1e6, 6) FROM modal 
+ UNION ALL SELECT 'digitals_binary', n = 0, CAST(n AS DOUBLE) FROM (SELECT count(*) FILTER (dv NOT IN (0, 1)) + count(*) FILTER (comp NOT IN (0, 1)) AS n FROM v)
+ UNION ALL SELECT 'twin_sensors', avg(d) < 0.01 AND max(d) < 0.5, round(avg(d), 6) FROM (SELECT abs(a1 - floor(a1 * 50) / 50) AS d FROM v)
  UNION ALL SELECT 'valve_antiphase', abs(avg(comp + dv) - 1) < 0.02, round(avg(comp + dv), 6) FROM v UNION ALL SELECT 'analog_ranges', n = 0, CAST(n AS DOUBLE) FROM rg""",
     "w1_lag": f"WITH {_L} SELECT event_id, us, prev_us, dus FROM l",
     "w2_gap_inventory": f"WITH {_GAPS} SELECT gap_start, gap_end, round(gap_minutes, 6) AS gap_minutes FROM gaps",
@@ -214,7 +251,7 @@ ORACLES: dict[str, str] = {
     "d1_status": f"WITH {_STATUS} {_F6}status FROM st",
     "d2_alarms": f"WITH {_STATUS} SELECT idx, ws, level FROM al",
     "d3_alarm_groups": f"WITH {_STATUS} SELECT CASE {' '.join(f'WHEN ws BETWEEN {f.start - 14 * DAY_US} AND {f.end} THEN {f.failure_id!r}' for f in FAILURES)} ELSE 'other' END AS failure, level, count(*) AS n FROM al GROUP BY ALL",
-    "d4_suspected_faults": f"WITH {_STATUS} SELECT CASE driver {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in FAULTS.items())} ELSE 'unspecified' END AS fault, count(*) AS n FROM al GROUP BY 1",
+    "d4_suspected_faults": f"WITH {_STATUS} SELECT {_FAULT} AS fault, count(*) AS n FROM al GROUP BY 1",
     "d5_alarm_counts": f"WITH {_STATUS} SELECT idx, count(*) OVER (ORDER BY idx) AS n_events, CAST(sum(CASE WHEN level IN ('alert', 'critical') THEN 1 ELSE 0 END) OVER (ORDER BY idx) AS BIGINT) AS n_alerts FROM al",
     "d7_failure_timeline": f"WITH {_SCORE} SELECT ws, {_R('zmax', 5)}, alert FROM scored WHERE ws BETWEEN {FAILURES[3].start - 3 * DAY_US} AND {FAILURES[3].end + 6 * H}",
     "r1_hash_join_rollup": "SELECT n_name, c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_custkey) AS n_customers FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)",
@@ -225,3 +262,64 @@ ORACLES: dict[str, str] = {
     "r6_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 4) AS disc FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "r7_top_parts": "SELECT p_partkey, p_brand, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 ORDER BY revenue DESC, p_partkey LIMIT 50",
 }
+
+
+def _describe(columns: dict[str, str], src: str, digits: int) -> str:
+    one = """SELECT '{n}' AS signal, count({c}) AS n, round(avg({c}), {k}) AS mean, round(stddev_samp({c}), {k}) AS std, round(min({c}), {k}) AS min,
+ round(quantile_cont({c}, 0.25), {k}) AS p25, round(quantile_cont({c}, 0.5), {k}) AS p50, round(quantile_cont({c}, 0.75), {k}) AS p75,
+ round(max({c}), {k}) AS max FROM {src}"""
+    return " UNION ALL ".join(one.format(n=n, c=c, src=src, k=digits) for n, c in columns.items())
+
+
+def _rows(names: str, values: list[tuple]) -> str:
+    return f"(VALUES {', '.join(str(v) for v in values)}) x({names})"
+
+
+_AT = "make_timestamp(ws)"
+_IDX = f"{_SCORE}, n AS (SELECT *, row_number() OVER (ORDER BY ws, seg, win) - 1 AS idx FROM scored)"
+_FAMILY = ("duty", "tp3_decay_slope", "oil_residual", "cycle_dur_cv", "antiphase_share")
+_CIRCLE = ", ".join(
+    f"round({f}(2 * pi() / {n} * {c}), 5) AS {name}_{f}" for name, c, n in (("hour", "hour(t)", 24), ("dow", "(isodow(t) - 1)", 7)) for f in ("sin", "cos")
+)
+ORACLES |= {
+    "a11_healthy_hours": f"""WITH {_LAB}, h AS (SELECT CAST(hour(ts) AS INTEGER) AS hour, avg(dv) AS duty, count(*) AS n FROM lb WHERE label = 'healthy' GROUP BY 1)
+ SELECT hour, round(duty, 6) AS duty, n, round(max(duty) OVER () - min(duty) OVER (), 6) AS spread FROM h""",
+    "a23_effect_matrix": f"""WITH {_FEAT}, u AS ({" UNION ALL ".join(f"SELECT ws, label, '{c}' AS feature, {c} AS x FROM f" for c in _FAMILY)}),
+ b AS (SELECT feature, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM u WHERE label = 'healthy' AND x IS NOT NULL GROUP BY feature),
+ p AS (SELECT failure, feature, quantile_cont(u.x, 0.5) AS m FROM u, {_rows("failure, lo, hi", [(f.failure_id, f.start - 48 * H, f.start) for f in FAILURES])}
+  WHERE ws >= lo AND ws < hi AND u.x IS NOT NULL GROUP BY failure, feature)
+ SELECT failure, feature, round((m - q2) / CASE WHEN q3 = q1 THEN 1.0 ELSE q3 - q1 END, 5) AS shift FROM p JOIN b USING (feature)""",
+    "a27_density": f"""WITH {_V}, m AS (SELECT min(a1) AS lo, max(a1) AS hi, count(a1) AS a FROM v),
+ h AS (SELECT CAST(least(floor((a1 - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS bin, count(*) AS n FROM v, m GROUP BY 1)
+ SELECT bin, n, round(n / (a * ((hi - lo) / 50)), 8) AS density, round(log10(n), 8) AS log10_n FROM h, m""",
+    "a38_span_details": f"""WITH {_GAPS}, s AS (SELECT failure, avg(a2) FILTER (dv = 1) AS motor, min(us) AS a, max(us) AS b FROM v,
+  {_rows("failure, lo, hi", [(f.failure_id, f.start - DAY_US, f.end + DAY_US) for f in FAILURES])} WHERE us >= lo AND us < hi GROUP BY failure)
+ SELECT failure, round(motor, 6) AS motor_loaded, (SELECT count(*) FROM gaps WHERE gap_start >= a AND gap_end <= b) AS gaps_inside FROM s""",
+    "a39_describe_scores": f"WITH {_SCORE} {_describe({'zmax': 'zmax', 'zmax_plain': 'zmax_plain'}, 'scored', 5)}",
+    "a40_twin_difference": f"WITH {_V}, t AS (SELECT abs(a1 - floor(a1 * 50) / 50) AS d FROM v) {_describe({'difference': 'd'}, 't', 6)}",
+    "d6_gauge": f"""WITH {_STATUS}, g AS (SELECT *, greatest(1.6 * (thr * 0.8::DOUBLE), 1.25 * zmax, 15.0) AS top FROM sv WHERE idx = 400)
+ SELECT ws, status, round(least(zmax, top), 5) AS value, round(top, 5) AS vmax, round(tw, 5) AS watch_from, round(thr * 0.8::DOUBLE, 5) AS alert_from FROM g""",
+    "d6_timeline": f"""WITH {_STATUS}, t AS (SELECT * FROM sv WHERE idx BETWEEN {600 - 14 * 24} AND 600)
+ SELECT t.idx, t.ws, round(t.zmax, 5) AS zmax, t.idx = 600 AS is_now, al.level AS alarm, round(greatest(max(t.zmax) OVER (), max(t.thr * 0.8::DOUBLE) OVER ()) * 1.15::DOUBLE, 5) AS top
+ FROM t LEFT JOIN al USING (idx)""",
+    "d6_driver_bars": f"""WITH {_SCORE}, w AS (SELECT * FROM scored WHERE ws = (SELECT min(ws) FROM scored WHERE ws >= {FAILURES[2].start})),
+ u AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS col, abs(z_{c}) AS z FROM w" for i, c in enumerate(SCORED))})
+ SELECT col AS "column", round(z, 5) AS z, CASE WHEN z >= 3 THEN 3 WHEN z >= 2 THEN 2 WHEN z >= 1 THEN 1 ELSE 0 END AS band FROM u ORDER BY z DESC NULLS LAST, i LIMIT 6""",
+    "d7_first_crossings": f"""WITH {_SCORE} SELECT failure, count(*) AS n, round(max(zmax), 5) AS peak, min(ws) FILTER (alert AND ws < s) AS first_alert,
+ round((max(s) - min(ws) FILTER (alert AND ws < s)) / {H}.0::DOUBLE, 5) AS lead_h FROM scored,
+ {_rows("failure, s, e", [(f.failure_id, f.start, f.end) for f in FAILURES])} WHERE ws >= s - {3 * DAY_US} AND ws <= e + {6 * H} GROUP BY failure""",
+    "ev10_false_alarm_list": f"WITH {_SCORE} SELECT ws, {_R('zmax', 5)}, driver FROM scored WHERE is_val AND alert",
+    "ev10_high_healthy": f"WITH {_SCORE} SELECT CAST(month({_AT}) AS INTEGER) AS month, count(*) AS n, min(ws) AS first_ws FROM scored WHERE is_val AND zmax > thr * 0.75::DOUBLE GROUP BY 1",
+    "j10_window_of_key": f"WITH {_STATUS} SELECT f.ws, round(f.duty, 4) AS duty, round(f.oil_median, 4) AS oil_median, f.label FROM f JOIN al ON f.ws = al.ws WHERE level = 'critical'",
+    "w12_tail": f"WITH {_IDX} SELECT idx, ws, {_R('zmax', 5)} FROM n WHERE idx BETWEEN {500 - 14 * 24} AND 500",
+    "m1_matrix": f"""WITH {_FEAT} SELECT seg, win, CAST(motor_frozen AS INTEGER) AS motor_frozen, CAST(tp3_frozen AS INTEGER) AS tp3_frozen,
+ {", ".join(f"CAST(cycling_regime = '{r}' AS INTEGER) AS regime_{r}" for r in ("cycling", "idle", "locked"))}, rising_edges, round(duty, 4) AS duty FROM f""",
+    "fe12_calendar": f"""WITH {_FEAT}, c AS (SELECT *, {_AT} AS t FROM f), b AS (SELECT hour(t) AS h, avg(duty) AS base FROM c WHERE label = 'healthy' GROUP BY 1)
+ SELECT seg, win, {_CIRCLE}, round(duty - base, 5) AS duty_residual FROM c LEFT JOIN b ON hour(t) = h""",
+    "o8_without_second": f"""WITH {_SCORE}, k AS (SELECT driver, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, driver NULLS FIRST) AS INTEGER) AS k FROM scored GROUP BY driver)
+ SELECT driver, n, k FROM k WHERE k <> 2 ORDER BY k LIMIT 3""",
+    "s1_series_gaps": f"""WITH l AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dus FROM events)
+ SELECT CAST(user_id AS VARCHAR) AS series_id, count(*) AS n, count(*) FILTER (dus > {DAY_US}) + 1 AS n_segments, max(dus) AS longest_us FROM l GROUP BY user_id""",
+    "r8_strings": """SELECT upper(substr(c_mktsegment, 1, 4)) AS segment, suffix(c_name, '7') AS ends_with_7, count(*) AS n, max(lower(c_mktsegment) || '/' || c_name) AS last
+ FROM customer GROUP BY 1, 2""",
+}

@@ -40,7 +40,7 @@ def preprocess(spark: SparkSession, config: Config, on_fail: str = "raise") -> D
 
 def build_features(spark: SparkSession, config: Config) -> DataFrame:
     rows = files.read_parquet(spark, config.paths["processed"])
-    out = features.build(rows, config.gap_threshold_seconds * 1e6, r=roles(config), failures=config.failures, degraded=config.degraded, invalid=config.invalid)
+    out = features.build(rows, config.gap_threshold_seconds * 1e6, r=roles(config), strict=True, failures=config.failures, degraded=config.degraded, invalid=config.invalid)
     files.write_parquet(out, config.paths["features"])
     return out
 

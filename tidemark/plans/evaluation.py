@@ -55,6 +55,7 @@ def evaluate(scored: DataFrame, models: list[str], q: float = 0.99, failures=FAI
         F.when(F.col("target") != "degraded", F.coalesce(F.bround((F.max("start") - first) / HOUR_US, 1), F.lit(0.0))).alias("lead_h"),
         (F.avg(F.when(F.col("y") == 0, F.col("hit"))) * (24 / window_hours)).alias("fa_per_day"),
     )
+    at = at.filter("recall IS NOT NULL")  # a target without windows has no row
     counts = by_score(long.filter("score IS NOT NULL"))
     return at.join(roc_auc(counts), ["model", "target"], "left").join(average_precision(counts), ["model", "target"], "left")
 

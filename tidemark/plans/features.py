@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import lookback
 from tidemark.operators.labels import label, majority
-from tidemark.operators.timeline import grid, islands, segmented, segments, windowed, with_lag
+from tidemark.operators.timeline import grid, islands, lagged, segmented, segments, windowed, with_lag
 from tidemark.schema import HOUR_US, VIEW, Roles
 from tidemark.storage import stored
 
@@ -134,18 +138,75 @@ def prepared(features: DataFrame, scope: Column | None = None) -> DataFrame:
     return d.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in FILLED}).drop(*[f"_m_{c}" for c in FILLED])
 
 
-def build(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Roles = VIEW, **known) -> DataFrame:
-    """The feature table: families, oil residual, regime."""
+def build(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Roles = VIEW, strict: bool = False, **known) -> DataFrame:
+    """The feature table: families, oil residual, regime. Strict raises if a scored column has no value at all."""
     tiles, rows = window_table(view, gap_us, width_us, r)
     base = stored(base_features(tiles, rows, r, **known))  # a row for each window; the raw rows are read once
     out = with_regime(with_oil_residual(base))
-    if len(set(out.columns)) != len(out.columns):
-        raise ValueError("a feature column appears twice")
+    guard(out, SCORED if strict else ())
     return out
 
 
+def guard(features: DataFrame, columns) -> None:
+    """Raises if a column appears twice, or if one of columns is null in all of the rows that there are."""
+    twice = sorted({c for c in features.columns if features.columns.count(c) > 1})
+    if twice:
+        raise ValueError(f"columns that appear twice: {twice}")
+    row = features.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in columns]).first()  # one row
+    empty = [c for c in columns if row["_rows"] and not row[c]]
+    if empty:
+        raise ValueError(f"columns without any value: {empty}")
+
+
 def multiscale_cycles(view: DataFrame, tiles: DataFrame, span_us: int = 6 * HOUR_US, r: Roles = VIEW) -> DataFrame:
-    """Cycle statistics over (end - span, end] of each window; the look-back crosses gaps."""
-    seen = lookback(view.select(r.series, r.us, r.seq, r.load), tiles.select(r.series, "seg", "win", "we"), [r.series], r.us, span_us)
-    stats = cycle_stats(load_cycles(seen, keys(r), r), keys(r), "_6h")
-    return tiles.join(stats.drop("rising_edges_6h"), keys(r), "left")
+    """Cycle statistics over (end - span, end] of each window; the look-back crosses gaps.
+
+    Rising edges are found once; only they are spread over the windows that look back on them. An edge counts if the row
+    before it lies in the look-back too.
+    """
+    rows = lagged(view.select(r.series, r.us, r.seq, r.load), {r.load: "_load", r.us: "_us"}, r)
+    edges = rows.filter(F.col(r.load) - F.col("_load") == 1)
+    seen = lookback(edges, tiles.select(r.series, "seg", "win", "we"), [r.series], r.us, span_us).filter(F.col("_us") > F.col("we") - span_us)
+    at = Window.partitionBy(*keys(r)).orderBy(r.us, r.seq)
+    timed = seen.withColumn("dur", (F.col(r.us) - F.lag(r.us).over(at)) / 1e6).withColumn("idx", F.row_number().over(at) - 2).withColumn("edge", F.lit(1))
+    return tiles.join(cycle_stats(timed, keys(r), "_6h").drop("rising_edges_6h"), keys(r), "left")
+
+
+def spectral(rows: DataFrame, r: Roles = VIEW, least: int = 30, n: int = 200) -> DataFrame:
+    """dominant_freq and spectral_entropy of each window's load signal: Lomb-Scargle power with a floating mean at n
+    frequencies from one an hour to one a minute; null with fewer rows than least or a constant signal.
+
+    A window's sums of sines and cosines are formed where its rows lie; a window holds an hour of one series.
+    """
+    freq = np.linspace(1 / 3600, 1 / 60, n)
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.slice(0, 1)
+        order = np.argsort(table.column(r.us).to_numpy(), kind="stable")
+        t, y = table.column(r.us).to_numpy()[order] / 1e6, table.column(r.load).to_numpy()[order].astype(float)
+        best = entropy = None
+        if len(y) >= least and y.std() > 0:
+            y = y - y.mean()
+            angle = 2 * np.pi * freq[:, None] * (t - t[0])
+            c, s = np.cos(angle), np.sin(angle)
+            cm, sm = c - c.mean(axis=1, keepdims=True), s - s.mean(axis=1, keepdims=True)  # the mean floats
+            cc, ss, cs, yc, ys = (cm * cm).sum(axis=1), (sm * sm).sum(axis=1), (cm * sm).sum(axis=1), cm @ y, sm @ y
+            power = (ss * yc**2 - 2 * cs * yc * ys + cc * ys**2) / ((cc * ss - cs**2) * (y @ y))
+            p = power / power.sum()
+            best, entropy = float(freq[np.argmax(power)]), float(-(p * np.log(p + 1e-12)).sum())
+        return pa.table([*[key.column(k) for k in keys(r)], pa.array([best], pa.float64()), pa.array([entropy], pa.float64())], [*keys(r), "dominant_freq", "spectral_entropy"])
+
+    given = rows.select(*keys(r), r.us, r.load)
+    kinds = ", ".join(f"{k} {t}" for k, t in given.select(*keys(r)).dtypes)
+    return given.groupBy(*keys(r)).applyInArrow(run, f"{kinds}, dominant_freq double, spectral_entropy double")
+
+
+def calendar(features: DataFrame) -> DataFrame:
+    """Hour and weekday as points on a circle, and the duty beyond what healthy windows have at that hour."""
+    at = F.timestamp_micros("ws")
+    turn = lambda x, n: x * F.lit(2 * math.pi / n)
+    d = features.withColumns({"hour": F.hour(at), "dow": F.weekday(at)})
+    base = d.filter("label = 'healthy'").groupBy("hour").agg(F.avg("duty").alias("_base"))  # 24 rows
+    d = d.join(F.broadcast(base), "hour", "left")
+    circle = {"hour_sin": F.sin(turn(F.col("hour"), 24)), "hour_cos": F.cos(turn(F.col("hour"), 24)), "dow_sin": F.sin(turn(F.col("dow"), 7)), "dow_cos": F.cos(turn(F.col("dow"), 7))}
+    return d.withColumns(circle | {"duty_residual": F.col("duty") - F.col("_base")}).drop("_base")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import FAILURES
+from tidemark.operators.timeline import lagged_many, running_count
 from tidemark.plans.features import SCORED, prepared
-from tidemark.schema import HOUR_US
+from tidemark.schema import DAY_US, HOUR_US, Roles
 from tidemark.storage import stored
 
 
+#: Windows by time; a series has one at a time. Buckets of them hold a month.
+BY_TIME = Roles(us="ws", seq="win")
+MONTH_US = 30 * DAY_US
+
+
 def time_split(features: DataFrame, train_fraction: float = 0.6) -> DataFrame:
     """Adds is_train and is_val (healthy windows, the earliest first), is_eval_fail, is_eval_degr."""
-    order = Window.partitionBy("healthy").orderBy("ws", "seg", "win")
-    d = features.withColumn("healthy", F.col("label") == "healthy")
-    d = d.withColumn("_rank", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("healthy")))
-    train = F.col("healthy") & (F.col("_rank") < F.floor(F.col("_n") * train_fraction))
-    return d.withColumns({"is_train": train, "is_val": F.col("healthy") & ~train, "is_eval_fail": F.col("label").isin("prefail", "infail"), "is_eval_degr": F.col("label") == "degraded"}).drop("_rank", "_n", "healthy")
+    d = features.withColumn("healthy", F.col("label") == "healthy").withColumn("_tie", F.struct("seg", "win"))
+    d = running_count(d, F.col("healthy"), "_rank", Roles(series="healthy", us="ws", seq="_tie"), MONTH_US)
+    d = d.crossJoin(F.broadcast(features.agg(F.count_if(F.col("label") == "healthy").alias("_n"))))  # one row
+    train = F.col("healthy") & (F.col("_rank") - 1 < F.floor(F.col("_n") * train_fraction))
+    return d.withColumns({"is_train": train, "is_val": F.col("healthy") & ~train, "is_eval_fail": F.col("label").isin("prefail", "infail"), "is_eval_degr": F.col("label") == "degraded"}).drop("_rank", "_n", "_tie", "healthy")
 
 
 def scaler(split: DataFrame, columns=SCORED) -> DataFrame:
@@ -44,8 +50,8 @@ def driver(columns=SCORED) -> Column:
 
 
 def top_drivers(columns=SCORED, k: int = 6) -> Column:
-    """The k columns of largest |z|, as structs (z, column)."""
-    ranked = F.array_sort(F.array(*[F.struct((-F.abs(f"z_{c}")).alias("m"), F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"z_{c}").alias("z")) for i, c in enumerate(columns)]))
+    """The k columns of largest |z|, nulls last, as structs (z, column)."""
+    ranked = F.array_sort(F.array(*[F.struct(F.col(f"z_{c}").isNull().alias("none"), (-F.abs(f"z_{c}")).alias("m"), F.lit(i).alias("i"), F.lit(c).alias("column"), F.col(f"z_{c}").alias("z")) for i, c in enumerate(columns)]))
     return F.slice(ranked, 1, k)
 
 
@@ -74,8 +80,8 @@ def forecast_residual(features: DataFrame, signal: str, lags: int = 6, alpha: fl
     """
     import numpy as np
 
-    order = Window.partitionBy("series_id").orderBy("ws", "seg", "win")
-    d = features.withColumns({f"_lag{k}": F.lag(signal, k).over(order) for k in range(1, lags + 1)}).withColumn("_seg", F.lag("seg", lags).over(order))
+    d = lagged_many(features, [signal, "seg"], lags, "_lags", BY_TIME, MONTH_US)
+    d = d.withColumns({f"_lag{k}": F.get("_lags", k - 1)[signal] for k in range(1, lags + 1)}).withColumn("_seg", F.get("_lags", lags - 1)["seg"]).drop("_lags")
     names = [f"_lag{k}" for k in range(1, lags + 1)]
     usable = (F.col("_seg") == F.col("seg")) & F.col(signal).isNotNull()
     for c in names:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.operators import episodes, joins, labels, quality, timeline
 from tidemark.operators.labels import FAILURES, failure_table
-from tidemark.plans import alarms, evaluation, features, scoring
+from tidemark.functions.quantiles import quantiles
+from tidemark.plans import alarms, evaluation, features, models, scoring
 from tidemark.schema import DAY_US, HOUR_US, sensor_view
+from tidemark.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,22 +40,48 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def gap_us(lags: DataFrame, factor: int) -> float:
-    return factor * timeline.median_lag(lags)
+_kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def kept(make: Query) -> Query:
+    """Stores a table once for each application and input; input files are taken not to change meanwhile."""
+
+    @functools.wraps(make)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d, make.__name__)
+        if key not in _kept:
+            _kept[key] = stored(make(spark, d))
+        return _kept[key]
+
+    return run
+
+
+@kept
+def grid_gap(spark: SparkSession, d: str) -> DataFrame:
+    """One row: the median lag."""
+    lags = timeline.with_lag(view(spark, d).select("series_id", "us", "event_id"))
+    return spark.createDataFrame([(timeline.median_lag(lags),)], "lag double")
+
+
+@kept
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    v = view(spark, d)
-    return features.build(v, gap_us(timeline.with_lag(v.select("series_id", "us", "event_id")), GRID_FACTOR))
+    return features.build(view(spark, d), GRID_FACTOR * grid_gap(spark, d).first()["lag"])
 
 
+@kept
 def score_table(spark: SparkSession, d: str) -> DataFrame:
     return scoring.scored(feature_table(spark, d))
 
 
+@kept
+def tiles_table(spark: SparkSession, d: str) -> DataFrame:
+    lags = timeline.with_lag(view(spark, d))
+    return timeline.grid(timeline.segments(timeline.segmented(lags, GRID_FACTOR * grid_gap(spark, d).first()["lag"])))
+
+
 def found_gaps(spark: SparkSession, d: str) -> DataFrame:
     lags = timeline.with_lag(view(spark, d).select("series_id", "us", "event_id"))
-    return timeline.gaps(lags, gap_us(lags, GAP_FACTOR))
+    return timeline.gaps(lags, GAP_FACTOR * grid_gap(spark, d).first()["lag"])
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +99,7 @@ def p2_range_scan(spark, d):
 
 @query
 def p3_closed_range(spark, d):
-    return view(spark, d).filter((F.col("us") >= FAILURES[2].start) & (F.col("us") <= FAILURES[2].end)).select("event_id", "us", "a1")
+    return stats.between(view(spark, d), FAILURES[2].start, FAILURES[2].end + 1).filter((F.col("us") >= FAILURES[2].start) & (F.col("us") <= FAILURES[2].end)).select("event_id", "us", "a1")
 
 
 @query
@@ -119,7 +148,7 @@ def a6_digital_summary(spark, d):
 @query
 def a7_duty_and_antiphase(spark, d):
     """Duty, antiphase share and conditional motor mean of named spans."""
-    v = view(spark, d)
+    v = stats.between(view(spark, d), min(f.start for f in FAILURES) - 2 * DAY_US, max(f.end for f in FAILURES))
     spans = F.array(*[F.struct(F.lit(f.failure_id).alias("span"), F.lit(f.start - 2 * DAY_US).alias("lo"), F.lit(f.end).alias("hi")) for f in FAILURES])
     rows = v.withColumn("s", F.explode(spans)).filter("us >= s.lo AND us < s.hi")
     return rounded(rows.groupBy(F.col("s.span").alias("span")).agg(F.count(F.lit(1)).alias("n"), F.avg("dv").alias("duty"), features.share(F.col("dv") + F.col("comp") == 1).alias("antiphase"), F.avg(F.when(F.col("dv") == 1, F.col("a2"))).alias("motor_loaded")))
@@ -132,7 +161,11 @@ def a9_toggles(spark, d):
 
 @query
 def a10_label_stats(spark, d):
-    return rounded(labelled(spark, d).groupBy("label").agg(F.percentile("a1", 0.5).alias("a1_median"), F.percentile("a2", 0.5).alias("a2_median"), F.avg("dv").alias("duty"), F.count(F.lit(1)).alias("n")))
+    v = labelled(spark, d)
+    out = v.groupBy("label").agg(F.avg("dv").alias("duty"), F.count(F.lit(1)).alias("n"))
+    medians = quantiles(stats.unpivoted(v.select("label", "a1", "a2"), ["label"], SENSORS), ["label", "signal"], "value", (0.5,))
+    medians = medians.groupBy("label").agg(*[F.max(F.when(F.col("signal") == c, F.get("q", 0))).alias(f"{c}_median") for c in SENSORS])  # two rows
+    return rounded(out.join(medians, "label").select("label", "a1_median", "a2_median", "duty", "n"))
 
 
 @query
@@ -151,7 +184,7 @@ def a11_duty_by_weekday(spark, d):
 def a16_window_labels(spark, d):
     v = view(spark, d)
     lags = timeline.with_lag(v)
-    rows = timeline.segmented(lags, gap_us(lags, GRID_FACTOR))
+    rows = timeline.segmented(lags, GRID_FACTOR * grid_gap(spark, d).first()["lag"])
     segs = timeline.segments(rows)
     inside = timeline.windowed(rows, segs).withColumn("_label", labels.label(F.col("us")))
     per = inside.groupBy("series_id", "seg", "win").agg(labels.majority("_label", F.count(F.lit(1))).alias("label"), F.count(F.lit(1)).alias("n"))
@@ -294,7 +327,7 @@ def a41_label_month_rollup(spark, d):
 def q7_checks(spark, d):
     v = view(spark, d)
     lags = timeline.with_lag(v)
-    checks = [quality.increasing(v), quality.modal(lags, 10_000_000), quality.binary(v, SIGNALS), quality.twins(v, "a2", "a2", 0.01, 0.5), quality.antiphase(v, 0.02), quality.ranges(v, {"a1": (0.0, 90.0), "a2": (0.0, 100.0)}, SENSORS)]
+    checks = [quality.increasing(v), quality.modal(lags, 10_000_000), quality.binary(v, SIGNALS), quality.twins(v.withColumn("twin", F.floor(F.col("a1") * 50) / 50), "a1", "twin", 0.01, 0.5), quality.antiphase(v, 0.02), quality.ranges(v, {"a1": (0.0, 90.0), "a2": (0.0, 100.0)}, SENSORS)]
     return rounded(quality.run_checks(checks, on_fail="ignore"))
 
 
@@ -314,13 +347,12 @@ def w2_gap_inventory(spark, d):
 @query
 def w3_segments(spark, d):
     lags = timeline.with_lag(view(spark, d))
-    return timeline.segments(timeline.segmented(lags, gap_us(lags, GRID_FACTOR))).drop("series_id")
+    return timeline.segments(timeline.segmented(lags, GRID_FACTOR * grid_gap(spark, d).first()["lag"])).drop("series_id")
 
 
 @query
 def w4_window_grid(spark, d):
-    lags = timeline.with_lag(view(spark, d))
-    return timeline.grid(timeline.segments(timeline.segmented(lags, gap_us(lags, GRID_FACTOR)))).drop("series_id")
+    return tiles_table(spark, d).drop("series_id")
 
 
 @query
@@ -345,8 +377,7 @@ def e4_run_episodes(spark, d):
 @query
 def j1_asof(spark, d):
     v = view(spark, d)
-    lags = timeline.with_lag(v)
-    tiles = timeline.grid(timeline.segments(timeline.segmented(lags, gap_us(lags, GRID_FACTOR)))).withColumn("at", F.col("ws") + 90_000_000)
+    tiles = tiles_table(spark, d).withColumn("at", F.col("ws") + 90_000_000)
     return joins.asof(tiles, v.withColumn("right_us", F.col("us")), "at", "us", ["series_id"], ["a1", "right_us"], "event_id").select("seg", "win", "at", "a1", "right_us")
 
 
@@ -369,9 +400,7 @@ def j4_episode_nearest(spark, d):
 
 @query
 def j5_failure_rows(spark, d):
-    s = feature_table(spark, d).select("series_id", "ws", "seg", "win")
-    order = Window.partitionBy("series_id").orderBy("ws", "seg", "win")
-    return joins.nearest_row(s.withColumn("idx", F.row_number().over(order) - 1), failure_table(spark), "ws", "idx")
+    return joins.nearest_row(alarms.indexed(feature_table(spark, d).select("series_id", "ws", "seg", "win")), failure_table(spark), "ws", "idx")
 
 
 @query
@@ -385,8 +414,7 @@ def j6_inside_outside(spark, d):
 @query
 def j8_lookback_cycles(spark, d):
     v = view(spark, d)
-    lags = timeline.with_lag(v)
-    tiles = timeline.grid(timeline.segments(timeline.segmented(lags, gap_us(lags, GRID_FACTOR))))
+    tiles = tiles_table(spark, d)
     return rounded(features.multiscale_cycles(v, tiles).select("seg", "win", "cycle_dur_cv_6h", "cycle_dur_trend_6h"), 4)
 
 
@@ -525,6 +553,7 @@ def ev11_descriptive(spark, d):
 # --- status and alarms
 
 
+@kept
 def status_table(spark: SparkSession, d: str) -> DataFrame:
     s = score_table(spark, d)
     return alarms.status(s.withColumn("t_watch", F.col("thr") * 0.6), F.col("t_watch"), F.col("thr") * 0.8)
@@ -552,10 +581,7 @@ def d4_suspected_faults(spark, d):
 
 @query
 def d5_alarm_counts(spark, d):
-    a = alarms.alarms(status_table(spark, d))
-    upto = Window.partitionBy("series_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    high = F.col("level").isin("alert", "critical").cast("int")
-    return a.select("idx", F.count(F.lit(1)).over(upto).alias("n_events"), F.sum(high).over(upto).alias("n_alerts"))
+    return alarms.alarm_counts(alarms.alarms(status_table(spark, d))).select("idx", "n_events", "n_alerts")
 
 
 @query
@@ -565,6 +591,207 @@ def d7_failure_timeline(spark, d):
     return rounded(s.filter((F.col("ws") >= f.start - 3 * DAY_US) & (F.col("ws") <= f.end + 6 * HOUR_US)).select("ws", "zmax", "alert"), 5)
 
 
+# --- further tables of the figures, the dashboard and the models
+
+
+@query
+def a11_healthy_hours(spark, d):
+    """Duty of healthy readings by hour, and its spread."""
+    hours = labelled(spark, d).filter("label = 'healthy'").groupBy(F.hour("ts").alias("hour")).agg(F.avg("dv").alias("duty"), F.count(F.lit(1)).alias("n"))
+    spread = hours.agg((F.max("duty") - F.min("duty")).alias("spread"))
+    return rounded(hours.crossJoin(F.broadcast(spread)))  # one row
+
+
+@query
+def a23_effect_matrix(spark, d):
+    """Shift of each family's feature before each failure, in healthy interquartile ranges (1 where that is 0)."""
+    chosen = ["duty", "tp3_decay_slope", "oil_residual", "cycle_dur_cv", "antiphase_share"]
+    f = stats.unpivoted(feature_table(spark, d).select("ws", "label", *chosen), ["ws", "label"], chosen, "feature")
+    base = quantiles(f.filter("label = 'healthy'"), ["feature"], "value", (0.25, 0.5, 0.75)).withColumnRenamed("q", "b")
+    spans = F.explode(F.array(*[F.struct(F.lit(x.failure_id).alias("failure"), F.lit(x.start - 48 * HOUR_US).alias("lo"), F.lit(x.start).alias("hi")) for x in FAILURES]))
+    before = f.withColumn("s", spans).filter("ws >= s.lo AND ws < s.hi").select(F.col("s.failure").alias("failure"), "feature", "value")
+    iqr = F.get("b", 2) - F.get("b", 0)
+    out = quantiles(before, ["failure", "feature"], "value", (0.5,)).join(base, "feature")
+    return rounded(out.select("failure", "feature", ((F.get("q", 0) - F.get("b", 1)) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("shift")), 5)
+
+
+@query
+def a27_density(spark, d):
+    """Histogram as a density, and the logarithm of its counts."""
+    v = view(spark, d)
+    size = v.agg(F.count("a1").alias("all"), ((F.max("a1") - F.min("a1")) / 50).alias("width"))
+    h = stats.histogram(v, "a1", 50).crossJoin(F.broadcast(size))  # one row
+    return rounded(h.select("bin", "n", (F.col("n") / (F.col("all") * F.col("width"))).alias("density"), F.log10("n").alias("log10_n")), 8)
+
+
+@query
+def a38_span_details(spark, d):
+    """Motor reading under load and recording gaps of each failure's span."""
+    spans = F.explode(F.array(*[F.struct(F.lit(x.failure_id).alias("failure"), F.lit(x.start - DAY_US).alias("lo"), F.lit(x.end + DAY_US).alias("hi")) for x in FAILURES]))
+    v = stats.between(view(spark, d), min(f.start for f in FAILURES) - DAY_US, max(f.end for f in FAILURES) + DAY_US)
+    seen = v.withColumn("s", spans).filter("us >= s.lo AND us < s.hi").groupBy(F.col("s.failure").alias("failure")).agg(F.avg(F.when(F.col("dv") == 1, F.col("a2"))).alias("motor_loaded"), F.min("us").alias("lo"), F.max("us").alias("hi"))
+    inside = found_gaps(spark, d).join(F.broadcast(seen), (F.col("gap_start") >= F.col("lo")) & (F.col("gap_end") <= F.col("hi"))).groupBy("failure").agg(F.count(F.lit(1)).alias("n"))  # a row for each failure
+    return rounded(seen.join(inside, "failure", "left").select("failure", "motor_loaded", F.coalesce("n", F.lit(0)).alias("gaps_inside")))
+
+
+def scored_plain(spark: SparkSession, d: str) -> DataFrame:
+    return score_table(spark, d).withColumn("zmax_plain", scoring.zmax([c for c in features.SCORED if not c.startswith("cycle")]))
+
+
+@query
+def a39_describe_scores(spark, d):
+    return rounded(stats.describe(scored_plain(spark, d), ["zmax", "zmax_plain"]), 5)
+
+
+@query
+def a40_twin_difference(spark, d):
+    """How far a sensor and its rounded twin are apart."""
+    v = view(spark, d).select(F.abs(F.col("a1") - F.floor(F.col("a1") * 50) / 50).alias("difference"))
+    return rounded(stats.describe(v, ["difference"]))
+
+
+@query
+def d6_gauge(spark, d):
+    s = status_table(spark, d)
+    return rounded(alarms.gauge(s, 400, F.col("t_watch"), F.col("thr") * 0.8).drop("series_id"), 5)
+
+
+@query
+def d6_timeline(spark, d):
+    return rounded(alarms.timeline_view(status_table(spark, d), F.col("thr") * 0.8, 600).drop("series_id"), 5)
+
+
+@query
+def d6_driver_bars(spark, d):
+    """The largest deviations of the window at which the third failure starts, with their bands."""
+    now = score_table(spark, d).filter(F.col("ws") >= FAILURES[2].start).agg(F.min("ws").alias("ws"))
+    s = score_table(spark, d).join(F.broadcast(now), "ws").withColumn("t", F.explode(scoring.top_drivers()))  # one row
+    return rounded(s.select(F.col("t.column").alias("column"), F.abs("t.z").alias("z"), alarms.band(F.col("t.z")).alias("band")), 5)
+
+
+@query
+def d7_first_crossings(spark, d):
+    return rounded(alarms.first_crossing(score_table(spark, d)), 5)
+
+
+@query
+def ev10_false_alarm_list(spark, d):
+    return rounded(score_table(spark, d).filter("is_val AND alert").select("ws", "zmax", "driver"), 5)
+
+
+@query
+def ev10_high_healthy(spark, d):
+    """Validation windows that score nearly as high as an alarm, by month."""
+    s = score_table(spark, d).filter(F.col("is_val") & (F.col("zmax") > F.col("thr") * 0.75))
+    return s.groupBy(F.month(F.timestamp_micros("ws")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("ws").alias("first_ws"))
+
+
+@query
+def j10_window_of_key(spark, d):
+    """Features of the windows that hold an alarm, by the exact key of their start."""
+    keys = alarms.alarms(status_table(spark, d)).filter("level = 'critical'").select("series_id", "ws")
+    return rounded(feature_table(spark, d).join(keys, ["series_id", "ws"]).select("ws", "duty", "oil_median", "label"), 4)
+
+
+@query
+def w12_tail(spark, d):
+    return rounded(alarms.tail_view(score_table(spark, d), 500).select("idx", "ws", "zmax"), 5)
+
+
+@query
+def m1_matrix(spark, d):
+    x = models.matrix(feature_table(spark, d))
+    return rounded(x.select("seg", "win", "motor_frozen", "tp3_frozen", "regime_cycling", "regime_idle", "regime_locked", "rising_edges", "duty"), 4)
+
+
+@query
+def fe12_calendar(spark, d):
+    return rounded(features.calendar(feature_table(spark, d)).select("seg", "win", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "duty_residual"), 5)
+
+
+@query
+def fe6_spectral(spark, d):
+    lags = timeline.with_lag(view(spark, d))
+    rows = timeline.segmented(lags, GRID_FACTOR * grid_gap(spark, d).first()["lag"])
+    return rounded(features.spectral(timeline.windowed(rows, timeline.segments(rows)), least=10).drop("series_id"), 6)
+
+
+@query
+def o8_without_second(spark, d):
+    """Drivers by how often they lead, without the second, of which the first three."""
+    n = score_table(spark, d).groupBy("driver").agg(F.count(F.lit(1)).alias("n"))
+    k = F.row_number().over(Window.orderBy(F.desc("n"), "driver"))  # a row for each column
+    return n.withColumn("k", k).filter("k <> 2").orderBy("k").limit(3)
+
+
+@query
+def e2_stuck_instrument(spark, d):
+    lo, hi = labels.us("2024-01-01 00:00"), labels.us("2024-01-31 00:00")
+    return episodes.state_episodes(view(spark, d), episodes.stuck_instrument(var_eps=900.0, anti_eps=0.6), lo, hi)
+
+
+@query
+def m16_condition(spark, d):
+    _, number = scoring.mahalanobis(scoring.time_split(scoring.prepared(feature_table(spark, d))))
+    return rounded(spark.createDataFrame([(number,)], "condition double"), 2)
+
+
+@query
+def m7_isolation_forest(spark, d):
+    return rounded(models.isolation_forest(score_table(spark, d)).select("seg", "win", "iforest"), 5)
+
+
+@query
+def m9_anchored_residual(spark, d):
+    return rounded(models.anchored_residual(score_table(spark, d)).select("seg", "win", "anchored_residual"), 4)
+
+
+@query
+def m10_leave_one_out(spark, d):
+    return rounded(models.leave_one_out(score_table(spark, d), {"logreg": models.LEARNERS["logreg"], "tree": models.LEARNERS["tree"]}), 4)
+
+
+@query
+def m11_classifiers(spark, d):
+    """All learners on the last failure, with the others to learn from."""
+    s = score_table(spark, d)
+    return rounded(models.leave_one_out(s, {k: models.LEARNERS[k] for k in ("rf", "gbm", "svm")}), 4)
+
+
+@query
+def m12_importance(spark, d):
+    return rounded(models.permutation_importance(score_table(spark, d), columns=("duty", "oil_median", "oil_std", "antiphase_share"), repeats=1), 4)
+
+
+@query
+def m12_importance_before(spark, d):
+    return rounded(models.permutation_importance(score_table(spark, d), columns=("duty", "oil_median", "oil_std", "antiphase_share"), infail=False, repeats=1), 4)
+
+
+@query
+def m14_lookback(spark, d):
+    """ROC-AUC with cycle columns of one hour and of six."""
+    f = feature_table(spark, d)
+    six = features.multiscale_cycles(view(spark, d), tiles_table(spark, d)).select("series_id", "seg", "win", F.col("cycle_dur_cv_6h"), F.col("cycle_dur_trend_6h"))
+    swapped = f.drop("cycle_dur_cv", "cycle_dur_trend").join(six, ["series_id", "seg", "win"]).withColumnsRenamed({"cycle_dur_cv_6h": "cycle_dur_cv", "cycle_dur_trend_6h": "cycle_dur_trend"})
+    long = evaluation.long_table(score_table(spark, d).withColumn("zmax_1h", F.col("zmax")), ["zmax_1h"]).unionByName(evaluation.long_table(scoring.scored(swapped).withColumn("zmax_6h", F.col("zmax")), ["zmax_6h"]))
+    return rounded(evaluation.roc_auc(evaluation.by_score(long)))
+
+
+@query
+def s1_series_gaps(spark, d):
+    """Each user as a series of its own: rows, segments at gaps of a day, and the longest lag."""
+    lags = timeline.with_lag(sensor_view(table(spark, d, "events"), series="user_id"))
+    rows = timeline.segmented(lags, DAY_US)
+    return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), (F.max("seg") + 1).alias("n_segments"), F.max("dus").alias("longest_us"))
+
+
+@query
+def r8_strings(spark, d):
+    c = table(spark, d, "customer")
+    return c.groupBy(F.upper(F.substring("c_mktsegment", 1, 4)).alias("segment"), F.col("c_name").endswith("7").alias("ends_with_7")).agg(F.count(F.lit(1)).alias("n"), F.max(F.concat_ws("/", F.lower("c_mktsegment"), F.col("c_name"))).alias("last"))
+
+
 # --- relational operators
 
 

@@ -47,14 +47,20 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+_TIMES = ("start", "end", "maintenance")
+
+
 def write_failures(spark: SparkSession, failures: list[Failure], path: str) -> DataFrame:
+    """The known failures as CSV, times as dates; returns the typed table."""
     out = failure_table(spark, failures)
-    write_report(out, path)
+    write_report(out.withColumns({c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd HH:mm:ss") for c in _TIMES}), path)
     return out
 
 
 def read_failures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("failure_id string, fault_type string, start long, end long, maintenance long").option("header", True).csv(path)
+    """A CSV of failures with dates, as microseconds."""
+    raw = spark.read.schema(", ".join(["failure_id string", "fault_type string", *[f"{c} timestamp_ntz" for c in _TIMES]])).option("header", True).option("mode", "FAILFAST").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return raw.withColumns({c: micros(F.col(c)) for c in _TIMES})
 
 
 def read_if_there(spark: SparkSession, path: str, order: str) -> DataFrame | None:

@@ -11,5 +11,7 @@ def stored(df: DataFrame) -> DataFrame:
     """The table, computed once and kept in spark.checkpoint.dir (a temporary folder where none is set, as in tests)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint(eager=True)
