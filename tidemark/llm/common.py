@@ -37,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch where rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, where they are as large as Spark has them by default, so that a task holds
+    few texts at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The table, written as compressed Parquet in the shared folder and read again column by column."""
     names = [f"c{i}" for i in range(len(df.columns))]

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import shielded
+from tidemark.llm.common import shielded, small_batches
 
 WINDOW = 10
 #: Bytes of test items that are sent to the executors at once; more items take further passes over the documents. As
 #: numbers of words and a list of distinct words they are smaller than as text.
 TEST_BYTES = 8 << 20
 #: Words of a shard. A longer document is a shard of its own.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Pairs of places in tests and documents whose matches are measured at once.
 PAIRS = 1 << 21
 #: Lower-cases A-Z and turns what no word holds into spaces: all below x80 but digits and letters.
@@ -237,6 +237,7 @@ def contamination(
     Documents don't move: each task sorts the suffixes of a bounded number of words at a time and searches them for all
     suffixes of the tests. The tests are sent in blocks of bounded size, one pass over the documents for each.
     """
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias("__bytes"))
     fields = [docs.schema[c] for c in keep]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import shielded
+from tidemark.llm.common import shielded, small_batches
 
 #: Bounds of the training sample: labelled documents of a language and of all (each language has one at least), and words
 #: of a document (whole windows spread over all of its text). All languages that the labels name are learned.
@@ -265,6 +265,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     Repeated rows are alike. An empty table gives no rows.
     """
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 

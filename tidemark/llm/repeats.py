@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, small_batches
 
 LEAST = 50
 GRAM = 20
@@ -574,6 +574,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count against each other, and copies of a text are the text of the smallest id. Texts under LEAST bytes stay whole.
     An empty table gives no rows. Ids are integers. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
     rows = cut(source.select("id", "sha", "n"))
     total = rows.filter(F.col("id").isNotNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shielded
+from tidemark.llm.common import shielded, small_batches
 
 #: Rules by version: kind, pattern, the group whose length counts, the least length. Ledgers name the versions; a
 #: changed rule is a new version.
@@ -72,6 +72,7 @@ def scan(docs: DataFrame, text_col: str = "text", ledger: DataFrame | None = Non
     A blob is the SHA-256 of a text in UTF-8 (null: of no bytes). Blobs without findings get rows too, so that they are
     not scanned again.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     blobs = docs.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text")).mapInArrow(_first_in_task, "blob binary, packed binary")
     seen = None if ledger is None else ledger.groupBy("blob").agg(F.collect_set("version").alias("seen"))  # few versions

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.similar import nodes_of, similar_documents
 
@@ -243,6 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Nulls: a null text has no words, so fingerprint 0, and is linked to other such texts; a row with a null id is
     grouped, but no group takes its name from it. Repeated rows are each returned. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
