@@ -206,10 +206,10 @@ def permutation_importance(features: DataFrame, columns=SCORED, failures=FAILURE
     base = precision(d, "base").select(F.col("pr_auc").alias("base"))
     falls = None
     for r in range(repeats):
-        deal = numbered(d.select("_row", F.xxhash64(F.lit(seed + r), "_row").alias("_h"), *[F.col(c).alias(f"_{c}") for c in columns]), ["_h", "_row"], "_to")
+        deal = numbered(d.select("_row", F.xxhash64(F.lit(seed + r), "_row").alias("_h"), *[F.col(c).alias(f"_new_{c}") for c in columns]), ["_h", "_row"], "_to")
         dealt = stored(d.join(deal.drop("_row", "_h").withColumnRenamed("_to", "_row"), "_row"))
         for c in columns:
-            one = precision(dealt.withColumn(c, F.col(f"_{c}")), c)
+            one = precision(dealt.withColumn(c, F.col(f"_new_{c}")), c)
             falls = one if falls is None else falls.unionByName(one)
     drop = falls.crossJoin(F.broadcast(base)).groupBy(F.col("target").alias("column"))  # one row
     return drop.agg(F.avg(F.col("base") - F.col("pr_auc")).alias("importance"))
