@@ -303,3 +303,39 @@ def test_stages_equal_brute_force(spark, folder, rows, bench):
     assert placed.columns == [*docs.columns, "shard", "slot"] and plain(placed) == given
     assert placed.select("shard", "slot").distinct().count() == len(given)
     assert placed.groupBy("shard").agg((F.max("slot") + 1 - F.count(F.lit(1))).alias("gap")).filter("gap <> 0").count() == 0
+
+
+def test_texts_longer_than_any_slice(spark, tmp_path):
+    """A text of 3 MB and 430,000 words: over the slices, pieces and shards in which texts are worked on."""
+    rng = random.Random(77)
+    long = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(430_000))
+    item = " ".join(long.split()[-40:-10])
+    docs = [(1, long, "en", "s", 1, "k", 1), (2, long[1_990_000:2_200_000], "en", "s", 1, "k", 1), (3, "short " * 5, "en", "t", 1, "k", 1)]
+    spark.createDataFrame(docs, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("x", item)], "item_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    raw = long.encode()
+    op8 = out("op8_repeats")
+    assert (op8[1].n_removed, op8[2].n_removed, op8[2].n_spans) == (0, 210_000, 1) and op8[1].kept_sha256 == hashlib.sha256(raw).hexdigest()
+    op6 = out("op6_decontamination")
+    assert (op6[1].n_words, op6[1].n_hit, op6[1].n_items, op6[2].n_hit) == (430_000, 30, 1, 0)
+    assert out("op3_language_id")[1].lang_pred == "en" and out("op5_secrets")[1].n_assign == 0
+    op10, op9, op2 = out("op10_quality_rules"), out("op9_sharding"), out("op2_mixing")
+    assert op10[1].n_words == 430_000 and not op10[1].base_failed and op10[3].base_failed
+    assert op9[1]["size"] == len(raw) + 1 and op9[1].text_crc32 == zlib.crc32(raw) and op2[1]["size"] == 430_000
+    w = low(long).encode().split()
+    counts = [0] * 64
+    for i in range(len(w) - 2):
+        v = xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42)
+        for b in range(64):
+            counts[b] += v >> b & 1
+    assert out("op1_simhash")[1].fingerprint == f"{sum(1 << b for b in range(64) if 2 * counts[b] > len(w) - 2):016x}"
+
+
+def test_archives_roll_over(spark, tmp_path):
+    """Payloads of 90 MB in all, in one task: more than an archive holds."""
+    pages = [(i, f"http://x/{i}", chr(97 + i) * 18_000_000) for i in range(4)] + [(9, "http://x/9", "b" * 18_000_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got_ = {r.page_id: r for r in QUERIES["op4_warc"](spark, str(tmp_path)).collect()}
+    assert {i: (r.payload_bytes, r.record_type, r.refers_to) for i, r in got_.items()} == {i: (18_000_000, "response", None) for i in range(4)} | {9: (18_000_000, "revisit", 1)}
+    assert got_[9].payload_digest == base64.b32encode(hashlib.sha1(b"b" * 18_000_000).digest()).decode()
