@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint_dir
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.filteraudit import audit
 from tidemark.llm.langid import fit, identify
 from tidemark.llm.mixing import mix
 from tidemark.llm.quality import quality
@@ -18,6 +19,8 @@ from tidemark.llm.secrets import BASE_KINDS, find_secrets
 from tidemark.llm.sharding import kd_shards
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.surrogates import KINDS, replace_entities
+from tidemark.llm.tokencounts import token_counts
+from tidemark.llm.vectorcodes import product_codes
 from tidemark.llm.warc import round_trip
 from tidemark.session import ship
 
@@ -92,6 +95,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = product_codes(_table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return out.select("vec_id", *[F.col(f"__{n}").alias(n) for n in ("code", "error", "label_error")], F.col("__codebooks").alias("codebooks_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Counts by word_bpe_49k.json, unless the path of another tokenizer is given."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    out = token_counts(_table(spark, sf_dir, "documents"), tokenizer, keep=["doc_id"])
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in ("n_bytes", "n_tokens", "over_limit")])
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -103,11 +125,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
+
+
+def _op11_rounds() -> str:
+    """Assignment and update of the entries (e0, e1, e2), then the final assignment a2."""
+    near = "SELECT id, j, CAST(min(d * 64 + k) % 64 AS INTEGER) AS k, min(d * 64 + k) // 64 AS d FROM (SELECT x.id, x.j, e.k, sum((x.v - e.v) * (x.v - e.v)) AS d FROM x JOIN e{0} e USING (j, i) GROUP BY ALL) GROUP BY id, j"
+    floor = "CAST(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS HUGEINT)"
+    moved = f"SELECT e.j, e.k, e.i, coalesce(m.v, e.v) AS v FROM e{{0}} e LEFT JOIN (SELECT j, k, i, {floor} AS v FROM (SELECT j, k, i, sum(v) AS s, count(*) AS n FROM x JOIN a{{0}} USING (id, j) GROUP BY ALL)) m USING (j, k, i)"
+    return ", ".join([f"a{r} AS MATERIALIZED ({near.format(r)}), e{r + 1} AS MATERIALIZED ({moved.format(r)})" for r in (0, 1)] + [f"a2 AS MATERIALIZED ({near.format(2)})"])
+
+
 #: DuckDB SQL where it can express a query. The others rest on XXH64, regular expressions with places, learned weights,
 #: base32 or trees of medians; tests/llm holds them against brute force.
 ORACLES: dict[str, str] = {
@@ -129,4 +164,23 @@ ORACLES: dict[str, str] = {
  c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS x FROM h) GROUP BY doc_id),
  m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op11_vector_codes": f"""WITH r AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ w AS (SELECT CAST(ceil(max(len(v)) / 16.0) AS BIGINT) AS w FROM r),
+ x AS MATERIALIZED (SELECT id, p // w AS j, p % w AS i, CAST(floor(256 * CAST(coalesce(v[p + 1], 0) AS DOUBLE)) AS HUGEINT) AS v FROM (SELECT id, v, w, unnest(range(16 * w)) AS p FROM r, w)),
+ e0 AS MATERIALIZED (SELECT j, id - 1 AS k, i, v FROM x WHERE id <= 64), {_op11_rounds()},
+ b AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY j, k, i)) AS h FROM e2),
+ c AS (SELECT id, string_agg(printf('%02x', k), '' ORDER BY j) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY id)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r JOIN c USING (id), b""",
+    "op13_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+ f AS (SELECT doc_id, part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS INT)
+  + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > first, false) AS INT) AS mask FROM w),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+ fs AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c), o AS (SELECT a.c || b.c || d.c || e.c || g.c AS o FROM fs a, fs b, fs d, fs e, fs g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+ s AS (SELECT o, k, 1 << (ascii(o[k]) - 65) AS bit, coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(o[i]) - 65))), 0)::INT AS pre FROM o, (SELECT unnest(range(1, 6)) AS k)),
+ g AS (SELECT part, o, k, CAST(sum(n) FILTER (mask & (pre | bit) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & pre = 0 AND mask & bit <> 0) AS BIGINT) AS removed, CAST(sum(n) FILTER (mask & pre <> 0 AND mask & bit <> 0) AS BIGINT) AS redundant,
+  CAST(sum(n) FILTER (mask = bit) AS BIGINT) AS unique_fails, CAST(sum(good) FILTER (mask & pre = 0 AND mask & bit <> 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & pre = 0 AND mask & bit <> 0) AS BIGINT) AS toxic_lost FROM m, s GROUP BY ALL)
+ SELECT part, o AS filter_order, CAST(k AS INT) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, o[k]), 0) AS BIGINT) AS shapley FROM g""",
 }
