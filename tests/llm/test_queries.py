@@ -54,6 +54,12 @@ def folder(spark, rows, bench, tmp_path_factory):
     spark.createDataFrame(bench, "item_id string, text string").coalesce(1).write.parquet(f"{d}/benchmark.parquet")
     pages = [(i, f"http://x/{i}", t) for i, t in enumerate(["<a>", "<a>", None, "", "<b>é"])] + [(None, None, "<b>é"), (9, "http://x/9", "<a>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2).write.parquet(f"{d}/pages.parquet")
+    rng, inf = random.Random(8), float("inf")
+    vectors = [(i, [rng.gauss(0, 1 + i % 3) for _ in range(40 if i % 7 else 37)], rng.choice((0, 1, None)), i) for i in range(150, 0, -1)]
+    vectors += [(0, None, 1, 0), (500, [1.0, None], 1, 0), (501, [float("nan")] * 40, 1, 0), (502, [0.0, -inf], 1, 0), (3, vectors[5][1], 1, 0), (None, vectors[9][1], None, 0), (77, [], 0, 0), (9, [2.5] * 40, 0, 0), vectors[3]]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, `__code` int").repartition(3).write.parquet(f"{d}/embeddings.parquet")
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 80, 3)] + [(3, 1, 1), (6, None, None), (None, 1, 1), (999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(2).write.parquet(f"{d}/labels.parquet")
     return d
 
 
@@ -242,7 +248,7 @@ def test_op10_columns(spark, folder, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_of_queries(spark, folder, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     cur = c.execute(ORACLES[name])
     names = [x[0] for x in cur.description]
@@ -250,7 +256,7 @@ def test_sql_of_queries(spark, folder, name):
 
 
 def test_empty_tables_give_no_rows(spark, folder, tmp_path):
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "labels"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in QUERIES.items():
         out = query(spark, str(tmp_path))
