@@ -43,6 +43,8 @@ _FAULT = """CASE driver WHEN 'tp3_decay_slope' THEN 'air leak (pressure decaying
  WHEN 'cycles_per_hour' THEN 'abnormal cycling rate' WHEN 'cycle_dur_cv' THEN 'erratic cycling (short-cycling)'
  WHEN 'longest_load_stretch' THEN 'sustained load without rest' WHEN 'antiphase_share' THEN 'valve/pressure signal anomaly'
  ELSE 'abnormal behavior' END"""
+_MANY = f"""many AS (SELECT CAST(key AS VARCHAR) AS failure_id, s, e, CASE WHEN k % 3 = 0 THEN e + {H} END AS m FROM (SELECT *, s + CASE WHEN key % 5000 = 0 THEN {6 * H} ELSE key * 7919 % 20000000 END AS e
+ FROM (SELECT k, event_id * 30 + k AS key, epoch_us(ts) + k * 3000000 AS s FROM events, (SELECT unnest(range(30)) AS k))))"""
 _W = "OVER (ORDER BY us, event_id)"
 
 
@@ -307,6 +309,16 @@ ORACLES: dict[str, str] = {
     "j5_failure_rows": f"WITH {_SEG}, n AS (SELECT ws, row_number() OVER (ORDER BY ws, seg, win) - 1 AS idx FROM grid) " + " UNION ALL ".join(f"SELECT '{f.failure_id}' AS failure_id, (SELECT idx FROM n ORDER BY abs(ws - {f.start}), idx LIMIT 1) AS idx" for f in FAILURES),
     "j6_inside_outside": f"""WITH {_V} SELECT 'left_semi' AS side, count(*) AS n, round(avg(a1), 6) AS a1_mean FROM v
  WHERE {_INSIDE} UNION ALL SELECT 'left_anti', count(*), round(avg(a1), 6) FROM v WHERE NOT ({_INSIDE})""",
+    "j2_gaps_near_many": f"""WITH {_GAPS}, {_MANY} SELECT failure_id, gap_start, gap_end, round_even(gap_minutes, 1) AS gap_minutes, round_even((gap_start - e) / {H}.0::DOUBLE, 1) AS start_vs_window_end_h,
+ round_even((gap_end - m) / {H}.0::DOUBLE, 1) AS end_vs_maint_h FROM gaps JOIN many ON gap_end >= s AND gap_start <= e""",
+    "j3_nearest_of_many": f"""WITH {_MANY}, ev AS (SELECT s AS t, 0 AS k, failure_id AS f, failure_id || '-failure_start' AS name FROM many UNION ALL SELECT e, 1, failure_id, failure_id || '-failure_end' FROM many UNION ALL SELECT m, 2, failure_id, failure_id || '-maintenance' FROM many WHERE m IS NOT NULL),
+ u AS (SELECT t, k, f, name FROM ev QUALIFY row_number() OVER (PARTITION BY t ORDER BY k, f) = 1), r AS (SELECT event_id, epoch_us(ts) + 130000000 AS a FROM events),
+ c AS (SELECT event_id, a - u.t AS away, k, f, name FROM r ASOF JOIN u ON a >= u.t UNION ALL SELECT event_id, u.t - a, k, f, name FROM r ASOF JOIN u ON a <= u.t)
+ SELECT event_id, name AS nearest_event, round_even(away / {DAY_US}.0::DOUBLE, 1) AS days_away FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY away, k, f) = 1""",
+    "j5_rows_of_many": f"""WITH {_MANY}, u AS (SELECT epoch_us(ts) AS t, min(event_id) AS i FROM events GROUP BY ALL),
+ c AS (SELECT failure_id, s - t AS away, i FROM many ASOF JOIN u ON s >= t UNION ALL SELECT failure_id, t - s, i FROM many ASOF JOIN u ON s <= t) SELECT failure_id, i AS idx FROM c QUALIFY row_number() OVER (PARTITION BY failure_id ORDER BY away, i) = 1""",
+    "j6_members_of_many": f"""WITH {_MANY}, b AS (SELECT t, sum(n) OVER (ORDER BY t) AS begun FROM (SELECT s AS t, count(*) AS n FROM many GROUP BY s)), o AS (SELECT t, sum(n) OVER (ORDER BY t) AS over FROM (SELECT e AS t, count(*) AS n FROM many GROUP BY e)),
+ r AS (SELECT event_id, epoch_us(ts) + 130000000 AS a FROM events), x AS (SELECT event_id, a, coalesce(begun, 0) AS begun FROM r ASOF LEFT JOIN b ON a >= b.t) SELECT event_id, begun > coalesce(over, 0) AS inside FROM x ASOF LEFT JOIN o ON a > o.t""",
     "j8_lookback_cycles": f"""WITH {_SEG}, lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g
  JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p='k_', k='seg, win', src='lk')}
  SELECT g.seg, g.win, round(cv, 4) AS cycle_dur_cv_6h, round(tr, 4) AS cycle_dur_trend_6h FROM grid g LEFT

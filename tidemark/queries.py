@@ -405,10 +405,44 @@ def j5_failure_rows(spark, d):
 
 @query
 def j6_inside_outside(spark, d):
-    v, f = view(spark, d), F.broadcast(failure_table(spark))
-    on = (F.col("us") >= F.col("start")) & (F.col("us") <= F.col("end"))
-    n = lambda how: v.join(f, on, how).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a1"), 6).alias("a1_mean")).withColumn("side", F.lit(how))
-    return n("left_semi").unionByName(n("left_anti"))
+    """Readings inside and outside of all failures, in one pass."""
+    v = joins.inside(view(spark, d), failure_table(spark), "us", "start", "end")
+    return v.groupBy(F.when(F.col("inside"), "left_semi").otherwise("left_anti").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("a1"), 6).alias("a1_mean"))
+
+
+def many_events(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty intervals for each event, as a list of known events that is too long to be sent to all tasks."""
+    k = view(spark, d).select("event_id", "us", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
+    key = F.col("event_id") * 30 + F.col("k")
+    start = F.col("us") + F.col("k") * 3_000_000
+    end = start + F.when(key % 5000 == 0, 6 * HOUR_US).otherwise((key * 7919) % 20_000_000)
+    return k.select(key.cast("string").alias("failure_id"), start.alias("start"), end.alias("end"), F.when(F.col("k") % 3 == 0, end + HOUR_US).alias("maintenance"))
+
+
+@query
+def j2_gaps_near_many(spark, d):
+    """Gaps that overlap any of a long list of intervals."""
+    return joins.interval_overlap(found_gaps(spark, d), many_events(spark, d), pad_us=0)
+
+
+@query
+def j3_nearest_of_many(spark, d):
+    """For each reading the nearest start, end or maintenance of a long list."""
+    v = view(spark, d).select("event_id", (F.col("us") + 130_000_000).alias("at"))
+    return joins.nearest_event(v, many_events(spark, d), "at").select("event_id", "nearest_event", "days_away")
+
+
+@query
+def j5_rows_of_many(spark, d):
+    """For each event of a long list the reading closest to its start."""
+    return joins.nearest_row(view(spark, d), many_events(spark, d), "us", "event_id")
+
+
+@query
+def j6_members_of_many(spark, d):
+    """Whether a time soon after each reading lies in any interval of a long list."""
+    v = view(spark, d).select("event_id", (F.col("us") + 130_000_000).alias("at"))
+    return joins.inside(v, many_events(spark, d), "at", "start", "end").select("event_id", "inside")
 
 
 @query
