@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import pipeline
 from tidemark.operators import labels, quality
-from tidemark.plans import scoring
+from tidemark.plans import alarms, features, scoring
 from tidemark.schema import SensorSchema
 from tidemark.sources import files
 from tidemark.streaming import streams
@@ -95,6 +95,112 @@ def test_escalations_keep_state_between_batches(spark, tmp_path):
     assert sorted((r.ws, r.level) for r in found) == [(1, "alert"), (3, "critical"), (6, "alert")]
 
 
+@pytest.fixture
+def rocks(spark):
+    pytest.importorskip("google.protobuf")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    streams.stateful(spark)
+    yield
+    spark.conf.set(key, old)
+
+
+def test_stream_alarms_equal_the_batch(spark, tmp_path, rocks):
+    """Untrusted windows, persistence over the edges of batches, two assets."""
+    rng, path, schema = random.Random(3), str(tmp_path / "z"), "series_id string, seg long, win int, ws long, zmax double, quality_bad boolean, driver string"
+    data = [(s, 0, k, k * 3600 * S, rng.choice((0.0, 2.5, 5.0, 6.0)), rng.random() < 0.2, "duty") for s in ("A", "B") for k in range(80)]
+    cuts = [0, 3, 4, 20, 21, 50, 80]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        spark.createDataFrame([r for r in data if a <= r[2] < b], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    got = run(spark, streams.escalations(streams.replay(spark, path, schema), 2.0, 4.0), tmp_path, "all_levels").collect()
+    batch = alarms.alarms(alarms.status(spark.createDataFrame(data, schema), F.lit(2.0), F.lit(4.0))).collect()
+    assert sorted((r.series_id, r.ws, r.level, r.zmax) for r in got) == sorted((r.series_id, r.ws, r.level, r.zmax) for r in batch) and len({r.level for r in batch}) == 3
+
+
+def sensor_rows(assets=("A", "B"), n=900):
+    """Minutes with jitter, gaps of 3 (no window's break) and 30 minutes, a window without rows, equal times."""
+    rng, out = random.Random(9), []
+    for a in assets:
+        t = 1_704_067_200 * S + rng.randrange(60) * S
+        for i in range(n):
+            t += rng.choice((50, 60, 60, 70)) * S + (1800 * S if i % 300 == 299 else 1100 * S if i % 170 == 169 else 0) * (1 + (i == 599)) - (60 * S if i % 91 == 90 else 0)
+            load = int(i // 9 % 2)
+            out.append((a, i, t, 60 + 5 * load + rng.random(), rng.random() * 90 * (0.3 + 0.7 * load), load, 1 - load if i % 40 else load))
+    return out
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[2], r[0], r[1]))
+
+
+def drained(spark, path, batches):
+    for part in batches:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+
+
+def test_segment_windows_equal_the_batch_after_a_restart(spark, tmp_path, rocks):
+    """Features of windows that are anchored at segments: rows out of order within the delay, rows that come too late,
+    a stop and a start from the checkpoint, an asset that sends nothing at the end."""
+    gap, width, rng = 20 * 60 * S, 900 * S, random.Random(2)
+    rows = in_order(sensor_rows())
+    end = max(r[2] for r in rows)
+    parts = [rows[k : k + 240] for k in range(0, len(rows), 240)]
+    for k in range(len(parts) - 1):  # the last 8 rows of each batch come with the next one, shuffled
+        parts[k + 1], parts[k] = parts[k][-8:] + parts[k + 1], parts[k][:-8]
+    for part in parts:
+        rng.shuffle(part)
+    late = [("A", 10_000 + i, rows[0][2] + i * S, 1.0, 1.0, 0, 1) for i in range(7)]
+    path, out = str(tmp_path / "rows"), str(tmp_path / "windows")
+    finish = lambda d: features.with_regime(d)
+
+    def go():
+        stream = streams.timed(streams.replay(spark, path, SCHEMA), late="15 minutes")
+        closed = streams.segment_windows(streams.observed(stream, "minutes", loaded=F.sum("dv")), gap, width, silence_us=86_400 * S)
+        q = streams.write_windows(closed, out, finish, failures=(), degraded=(), invalid=()).queryName("segments").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(300)
+
+    listener = streams.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        drained(spark, path, parts[:4])
+        go()
+        drained(spark, path, [*parts[4:], late])
+        drained(spark, path, [[("Z", 0, end + 3 * 86_400 * S, 0.0, 0.0, 0, 1)], [("Z", 1, end + 3 * 86_400 * S + 1, 0.0, 0.0, 0, 1)]])
+        go()
+        for _ in range(60):
+            if listener.read.get("segments", 0) >= len(rows) + 9:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.dropped["segments"] == 7
+    assert listener.read["segments"] == len(rows) + 9 == listener.seen["minutes"]["rows"] and listener.seen["minutes"]["loaded"] == sum(r[5] for r in rows)
+
+    given = spark.createDataFrame(rows, SCHEMA)
+    tiles, inside = features.window_table(given, gap, width)
+    want = finish(features.base_features(tiles, inside, failures=(), degraded=(), invalid=()))
+    got = spark.read.parquet(out).drop("batch").select(want.columns)
+    plain = lambda d: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in d.collect()), key=str)
+    assert plain(got) == plain(want) and got.count() > 60
+    assert want.filter("n_samples = 0").count() > 0 and want.select("seg").distinct().count() > 2
+
+
+def test_silent_assets_are_forgotten(spark, tmp_path, rocks):
+    """After its silence an asset's segments are numbered anew; a timer lets its last windows go without any row of it."""
+    path, at = str(tmp_path / "quiet"), 1_704_067_200 * S
+    minutes = [("A", m, at + m * 60 * S, 0.5, 0.5, 0, 1) for m in range(31)]
+    later = [("A", 100 + m, at + 90_000 * S + m * 60 * S, 0.5, 0.5, 0, 1) for m in range(21)]
+    drained(spark, path, [minutes, [("Z", 0, at + 80_000 * S, 0.5, 0.5, 0, 1)], [("Z", 1, at + 80_100 * S, 0.5, 0.5, 0, 1)], later, [("Z", 2, at + 200_000 * S, 0.5, 0.5, 0, 1)], [("Z", 3, at + 200_001 * S, 0.5, 0.5, 0, 1)]])
+    seen = {}
+    for silence in (7200 * S, 10**6 * S):
+        closed = streams.segment_windows(streams.timed(streams.replay(spark, path, SCHEMA), late="1 minute"), 600 * S, 600 * S, silence)
+        seen[silence] = run(spark, closed, tmp_path, f"quiet{silence}").filter("series_id = 'A'").groupBy("seg", "win").count().collect()
+    assert sorted(tuple(r) for r in seen[7200 * S]) == [(0, 0, 20), (0, 1, 20), (0, 2, 10)]
+    assert sorted(tuple(r) for r in seen[10**6 * S]) == [(0, 0, 10), (0, 1, 10), (0, 2, 10), (1, 0, 10), (1, 1, 10)]
+
+
 def test_failures_are_read_as_dates(spark, tmp_path):
     fails = [labels.Failure("F1", "leak", 1_704_067_200 * S, 1_704_070_800 * S, None), labels.Failure("F2", "leak", 1_704_167_200 * S, 1_704_170_800 * S, 1_704_180_000 * S)]
     files.write_failures(spark, fails, str(tmp_path / "f.csv"))

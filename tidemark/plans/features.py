@@ -117,9 +117,14 @@ def quadratic_fit(features: DataFrame, x: str, y: str, where: Column) -> DataFra
     )
 
 
-def with_oil_residual(features: DataFrame, scope: Column | None = None) -> DataFrame:
-    """Adds the oil temperature's distance from its quadratic in the duty, fitted on healthy windows (or on scope)."""
-    fit = quadratic_fit(features, "duty", "oil_median", (F.col("label") == "healthy") if scope is None else scope)
+def oil_fit(features: DataFrame, scope: Column | None = None) -> DataFrame:
+    """One row: the quadratic of the oil temperature in the duty, fitted on healthy windows (or on scope)."""
+    return quadratic_fit(features, "duty", "oil_median", (F.col("label") == "healthy") if scope is None else scope)
+
+
+def with_oil_residual(features: DataFrame, scope: Column | None = None, fit: DataFrame | None = None) -> DataFrame:
+    """Adds the oil temperature's distance from its quadratic in the duty, fitted here or before."""
+    fit = oil_fit(features, scope) if fit is None else fit
     d = F.col("duty") - F.col("mx")
     return features.crossJoin(F.broadcast(fit)).withColumn("oil_residual", F.col("oil_median") - (F.col("b0") + F.col("b1") * d + F.col("b2") * d * d)).drop("b0", "b1", "b2", "mx")  # one row
 
