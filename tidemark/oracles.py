@@ -43,6 +43,7 @@ _FAULT = """CASE driver WHEN 'tp3_decay_slope' THEN 'air leak (pressure decaying
  WHEN 'cycles_per_hour' THEN 'abnormal cycling rate' WHEN 'cycle_dur_cv' THEN 'erratic cycling (short-cycling)'
  WHEN 'longest_load_stretch' THEN 'sustained load without rest' WHEN 'antiphase_share' THEN 'valve/pressure signal anomaly'
  ELSE 'abnormal behavior' END"""
+_PASSED = f"passed AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - {H} AS wm FROM events)"
 _MANY = f"""many AS (SELECT CAST(key AS VARCHAR) AS failure_id, s, e, CASE WHEN k % 3 = 0 THEN e + {H} END AS m FROM (SELECT *, s + CASE WHEN key % 5000 = 0 THEN {6 * H} ELSE key * 7919 % 20000000 END AS e
  FROM (SELECT k, event_id * 30 + k AS key, epoch_us(ts) + k * 3000000 AS s FROM events, (SELECT unnest(range(30)) AS k))))"""
 _W = "OVER (ORDER BY us, event_id)"
@@ -319,6 +320,15 @@ ORACLES: dict[str, str] = {
  c AS (SELECT failure_id, s - t AS away, i FROM many ASOF JOIN u ON s >= t UNION ALL SELECT failure_id, t - s, i FROM many ASOF JOIN u ON s <= t) SELECT failure_id, i AS idx FROM c QUALIFY row_number() OVER (PARTITION BY failure_id ORDER BY away, i) = 1""",
     "j6_members_of_many": f"""WITH {_MANY}, b AS (SELECT t, sum(n) OVER (ORDER BY t) AS begun FROM (SELECT s AS t, count(*) AS n FROM many GROUP BY s)), o AS (SELECT t, sum(n) OVER (ORDER BY t) AS over FROM (SELECT e AS t, count(*) AS n FROM many GROUP BY e)),
  r AS (SELECT event_id, epoch_us(ts) + 130000000 AS a FROM events), x AS (SELECT event_id, a, coalesce(begun, 0) AS begun FROM r ASOF LEFT JOIN b ON a >= b.t) SELECT event_id, begun > coalesce(over, 0) AS inside FROM x ASOF LEFT JOIN o ON a > o.t""",
+    "st1_tumbling": f"""WITH {_V}, {_PASSED} SELECT series_id, ws, ws + {H} AS we, count(*) AS n, round(avg(dv), 6) AS duty, round(quantile_cont(a1, 0.5), 6) AS oil_median, round(CASE WHEN count(*) > 1 THEN stddev_samp(a1) END, 6) AS oil_std,
+ round(regr_slope(a1, us / 1e6), 6) AS oil_trend, round(avg(CASE WHEN comp + dv = 1 THEN 1 ELSE 0 END), 6) AS antiphase_share FROM (SELECT *, us // {H} * {H} AS ws FROM v), passed WHERE ws + {H} <= wm GROUP BY series_id, ws""",
+    "st2_sliding": f"""WITH {_V}, {_PASSED} SELECT ws, ws + {H} AS we, count(*) AS n, round(avg(dv), 6) AS duty, round(regr_slope(a1, us / 1e6), 6) AS oil_trend
+ FROM (SELECT *, us // {H // 3} * {H // 3} - unnest([0, {H // 3}, {2 * (H // 3)}]) AS ws FROM v), passed WHERE ws + {H} <= wm GROUP BY ws""",
+    "st3_gap_sessions": f"""WITH {_SEG}, {_PASSED} SELECT 'S1' AS series_id, seg_start, seg_end, n FROM segs, med, passed WHERE seg_end + CAST(floor(10 * m) AS BIGINT) <= wm""",
+    "st4_coverage": f"""WITH {_L}, {_PASSED}, x AS (SELECT greatest(1, CAST(round_even({H} / m, 0) AS BIGINT)) AS e FROM med), w AS (SELECT us // {H} * {H} AS ws, count(*) AS n FROM v GROUP BY ALL)
+ SELECT ws, n, round(n / e, 6) AS coverage FROM w, x, passed WHERE ws + {H} <= wm AND n / e >= 0.9""",
+    "st5_segment_windows": f"""WITH {_FEAT}, {_PASSED}, far AS (SELECT seg, max(us) AS last FROM rows_, passed WHERE us <= wm GROUP BY seg)
+ SELECT seg, win, ws, we, n_samples, label, rising_edges, {', '.join(map(_R4, ('duty', 'oil_median', 'oil_std', 'tp3_decay_slope', 'longest_load_stretch')))} FROM f JOIN far USING (seg) WHERE we <= last""",
     "j8_lookback_cycles": f"""WITH {_SEG}, lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g
  JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p='k_', k='seg, win', src='lk')}
  SELECT g.seg, g.win, round(cv, 4) AS cycle_dur_cv_6h, round(tr, 4) AS cycle_dur_trend_6h FROM grid g LEFT

@@ -14,7 +14,9 @@ from tidemark.operators.labels import FAILURES, failure_table
 from tidemark.functions.quantiles import quantiles
 from tidemark.plans import alarms, evaluation, features, models, scoring
 from tidemark.schema import DAY_US, HOUR_US, sensor_view
+from tidemark.session import ship
 from tidemark.storage import stored
+from tidemark.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -452,6 +454,52 @@ def j8_lookback_cycles(spark, d):
     return rounded(features.multiscale_cycles(v, tiles).select("seg", "win", "cycle_dur_cv_6h", "cycle_dur_trend_6h"), 4)
 
 
+# --- streams: what has left them when the watermark, an hour behind the last reading, stops
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "events").schema
+    return streams.timed(sensor_view(streams.replay(spark, f"{d}/events.parque[t]", schema)), late="1 hour")  # a pattern may name a file
+
+
+@query
+def st1_tumbling(spark, d):
+    return rounded(streams.drained(streams.window_features(event_stream(spark, d))))
+
+
+@query
+def st2_sliding(spark, d):
+    return rounded(streams.drained(streams.window_features(event_stream(spark, d), "1 hour", "20 minutes")).select("ws", "we", "n", "duty", "oil_trend"))
+
+
+@query
+def st3_gap_sessions(spark, d):
+    """Segments between gaps of ten median lags."""
+    gap = int(GRID_FACTOR * grid_gap(spark, d).first()["lag"])
+    return streams.drained(streams.gap_sessions(event_stream(spark, d), f"{gap} microseconds"))
+
+
+@query
+def st4_coverage(spark, d):
+    """Hours that hold nine tenths of the readings that the median lag makes one expect."""
+    expected = max(1, round(HOUR_US / grid_gap(spark, d).first()["lag"]))
+    return rounded(streams.drained(streams.covered(streams.window_features(event_stream(spark, d)), expected, 0.9)).select("ws", "n", "coverage"))
+
+
+@query
+def st5_segment_windows(spark, d):
+    """Features of the windows anchored at segments."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    ship(spark)
+    streams.stateful(spark)
+    try:
+        closed = streams.drained(streams.segment_windows(event_stream(spark, d), GRID_FACTOR * grid_gap(spark, d).first()["lag"]))
+    finally:
+        spark.conf.set(key, before)
+    return rounded(streams.window_table(closed).select("seg", "win", "ws", "we", "n_samples", "label", "duty", "oil_median", "oil_std", "tp3_decay_slope", "rising_edges", "longest_load_stretch"), 4)
+
+
 # --- labels and features
 
 
