@@ -79,6 +79,21 @@ def test_checks_can_stop_the_job(spark):
         quality.run_checks([quality.increasing(d)], on_fail="warn")
 
 
+def test_checks_on_the_way_to_a_sink_equal_those_of_a_scan(spark, tmp_path):
+    d = rows(spark, range(0, 50 * S, S), dv=[0, 1] * 25, a1=[float(i % 7) for i in range(50)], a2=[float(i % 5) for i in range(50)])
+    d.write.parquet(str(tmp_path / "given"))
+    d = spark.read.parquet(str(tmp_path / "given"))
+    checks = [quality.binary_check(["dv", "comp"]), quality.twin_check("a1", "a2", 0.1, 9), quality.antiphase_check(0.02), quality.range_check({"a1": (0, 5), "a2": (0, 9)}, ["a1", "a2"])]
+    once = quality.in_one_pass(d, checks)
+    assert once._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    each = [quality.binary(d, ["dv", "comp"]), quality.twins(d, "a1", "a2", 0.1, 9), quality.antiphase(d, 0.02), quality.ranges(d, {"a1": (0, 5), "a2": (0, 9)}, ["a1", "a2"])]
+    want = sorted(tuple(r) for x in each for r in x.collect())
+    assert sorted(map(tuple, once.collect())) == want and {w[1] for w in want} == {True, False}
+    out, measured = quality.watched(d, checks)
+    out.write.parquet(str(tmp_path / "sink"))
+    assert sorted(map(tuple, measured().collect())) == want and spark.read.parquet(str(tmp_path / "sink")).count() == 50
+
+
 def test_quadratic_fit_equals_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.random(60)

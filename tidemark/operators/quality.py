@@ -1,11 +1,18 @@
-"""Data-quality checks; each is a row (check, passed, detail), and all are evaluated in one pass each."""
+"""Data-quality checks; each is a row (check, passed, detail).
+
+Checks of order need the previous row; all others are aggregates, which share one pass or are observed while a table is
+written.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import modal_interval, unpivoted
+from tidemark.functions.stats import modal_interval
 from tidemark.operators.timeline import lagged
 from tidemark.schema import VIEW, Roles
 
@@ -26,29 +33,74 @@ def modal(lags: DataFrame, expected_us: int) -> DataFrame:
     return modal_interval(lags).select(F.lit("modal_interval").alias("check"), (F.col("modal_us") == expected_us).alias("passed"), (F.col("modal_us") / 1e6).alias("detail"))
 
 
-def binary(df: DataFrame, signals: list[str]) -> DataFrame:
-    bad = unpivoted(df.select(*signals), [], signals).agg(F.count_if(~F.col("value").isin(0, 1) | F.col("value").isNull()).alias("n"))
-    return bad.select(F.lit("digitals_binary").alias("check"), (F.col("n") == 0).alias("passed"), F.col("n").cast("double").alias("detail"))
+class Check(NamedTuple):
+    """A check without order: aggregates of the table, and the row (check, passed, detail) made of their values."""
 
+    measures: list[Column]
+    verdict: Column
 
-def twins(df: DataFrame, a: str, b: str, eps: float, most: float) -> DataFrame:
-    d = df.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("m"), F.max(F.abs(F.col(a) - F.col(b))).alias("x"))
-    return d.select(F.lit("twin_sensors").alias("check"), ((F.col("m") < eps) & (F.col("x") < most)).alias("passed"), F.col("m").alias("detail"))
 
+def _verdict(check: str, passed: Column, detail: Column) -> Column:
+    return F.struct(F.lit(check).alias("check"), passed.alias("passed"), detail.cast("double").alias("detail"))
 
-def antiphase(df: DataFrame, eps: float, r: Roles = VIEW) -> DataFrame:
-    d = df.agg(F.avg(F.col(r.idle) + F.col(r.load)).alias("m"))
-    return d.select(F.lit("valve_antiphase").alias("check"), (F.abs(F.col("m") - 1) < eps).alias("passed"), F.col("m").alias("detail"))
 
+def binary_check(signals: list[str]) -> Check:
+    bad = F.lit(0)
+    for c in signals:
+        bad = bad + F.count_if(~F.col(c).isin(0, 1) | F.col(c).isNull())
+    return Check([bad.alias("not_binary")], _verdict("digitals_binary", F.col("not_binary") == 0, F.col("not_binary")))
 
-def ranges(df: DataFrame, limits: dict[str, tuple[float, float]], sensors: list[str]) -> DataFrame:
+
+def twin_check(a: str, b: str, eps: float, most: float) -> Check:
+    apart = F.abs(F.col(a) - F.col(b))
+    return Check([F.avg(apart).alias("twin_mean"), F.max(apart).alias("twin_most")], _verdict("twin_sensors", (F.col("twin_mean") < eps) & (F.col("twin_most") < most), F.col("twin_mean")))
+
+
+def antiphase_check(eps: float, r: Roles = VIEW) -> Check:
+    return Check([F.avg(F.col(r.idle) + F.col(r.load)).alias("phase_sum")], _verdict("valve_antiphase", F.abs(F.col("phase_sum") - 1) < eps, F.col("phase_sum")))
+
+
+def range_check(limits: dict[str, tuple[float, float]], sensors: list[str]) -> Check:
     """Values out of range; sensors without limits and limits without a sensor count as failures too."""
     drift = len(set(limits) ^ set(sensors))
-    known = [c for c in sensors if c in limits]
     n = F.lit(0)
-    for c in known:
+    for c in (c for c in sensors if c in limits):
         n = n + F.count_if((F.col(c) < limits[c][0]) | (F.col(c) > limits[c][1]))
-    return df.agg(n.alias("n")).select(F.lit("analog_ranges").alias("check"), ((F.col("n") == 0) & F.lit(drift == 0)).alias("passed"), (F.col("n") + drift).cast("double").alias("detail"))
+    return Check([n.alias("out_of_range")], _verdict("analog_ranges", (F.col("out_of_range") == 0) & F.lit(drift == 0), F.col("out_of_range") + drift))
+
+
+def in_one_pass(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """Rows of all checks from one aggregate over the table."""
+    return _judged(df.agg(*[m for c in checks for m in c.measures]), checks)
+
+
+def _judged(measured: DataFrame, checks: list[Check]) -> DataFrame:
+    return measured.select(F.explode(F.array(*[c.verdict for c in checks])).alias("c")).select("c.*")
+
+
+def watched(df: DataFrame, checks: list[Check]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The table, and a function that gives the rows of the checks once the table has been written (or otherwise run as a
+    whole): they are measured on the way, without a scan of their own."""
+    measures = [m for c in checks for m in c.measures]
+    observation = Observation()
+    schema = df.agg(*measures).schema
+    return df.observe(observation, *measures), lambda: _judged(df.sparkSession.createDataFrame([tuple(observation.get[n] for n in schema.names)], schema), checks)
+
+
+def binary(df: DataFrame, signals: list[str]) -> DataFrame:
+    return in_one_pass(df, [binary_check(signals)])
+
+
+def twins(df: DataFrame, a: str, b: str, eps: float, most: float) -> DataFrame:
+    return in_one_pass(df, [twin_check(a, b, eps, most)])
+
+
+def antiphase(df: DataFrame, eps: float, r: Roles = VIEW) -> DataFrame:
+    return in_one_pass(df, [antiphase_check(eps, r)])
+
+
+def ranges(df: DataFrame, limits: dict[str, tuple[float, float]], sensors: list[str]) -> DataFrame:
+    return in_one_pass(df, [range_check(limits, sensors)])
 
 
 def run_checks(checks: list[DataFrame], on_fail: str = "raise") -> DataFrame:

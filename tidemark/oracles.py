@@ -283,7 +283,7 @@ ORACLES: dict[str, str] = {
  SELECT 'modal_interval', modal_us = 10000000, round(modal_us / 1e6, 6) FROM modal 
  UNION ALL SELECT 'digitals_binary', n = 0, CAST(n AS DOUBLE)
  FROM (SELECT count(*) FILTER (dv NOT IN (0, 1)) + count(*) FILTER (comp NOT IN (0, 1)) AS n FROM v)
- UNION ALL SELECT 'twin_sensors', avg(d) < 0.01 AND max(d) < 0.5, round(avg(d), 6) FROM (SELECT abs(a1 - floor(a1 * 50) / 50) AS d FROM v)
+ UNION ALL SELECT 'twin_sensors', avg(d) < 0.01 AND max(d) < 0.5, round(avg(d), 6) FROM (SELECT abs(comp - (1 - dv)) AS d FROM v)
  UNION ALL SELECT 'valve_antiphase', abs(avg(comp + dv) - 1) < 0.02, round(avg(comp + dv), 6) FROM v UNION ALL
  SELECT 'analog_ranges', n = 0, CAST(n AS DOUBLE) FROM rg""",
     "w1_lag": f"WITH {_L} SELECT event_id, us, prev_us, dus FROM l",
@@ -451,7 +451,7 @@ ORACLES |= {
  SELECT failure, round(motor, 6) AS motor_loaded, (SELECT count(*) FROM gaps WHERE gap_start >= a AND gap_end <= b) AS gaps_inside
  FROM s""",
     "a39_describe_scores": f"WITH {_SCORE} {_describe({'zmax': 'zmax', 'zmax_plain': 'zmax_plain'}, 'scored', 5)}",
-    "a40_twin_difference": f"WITH {_V}, t AS (SELECT abs(a1 - floor(a1 * 50) / 50) AS d FROM v) {_describe({'difference': 'd'}, 't', 6)}",
+    "a40_twin_difference": f"WITH {_V} SELECT abs(comp - (1 - dv)) AS difference, count(*) AS n, round(avg(abs(a1 - a2)), 6) AS apart_mean, round(max(abs(a1 - a2)), 6) AS apart_most FROM v GROUP BY ALL",
     "d6_gauge": f"""WITH {_STATUS}, g AS (SELECT *, greatest(1.6 * (thr * 0.8::DOUBLE), 1.25 * zmax, 15.0) AS top FROM sv WHERE idx = 400)
 
  SELECT ws, status, round(least(zmax, top), 5) AS value, round(top, 5) AS vmax, round(tw, 5) AS watch_from, round(thr * 0.8::DOUBLE, 5) AS alert_from

@@ -29,10 +29,11 @@ def roles(config: Config) -> Roles:
 def preprocess(spark: SparkSession, config: Config, on_fail: str = "raise") -> DataFrame:
     schema, r = SensorSchema(), roles(config)
     rows = files.sensor_rows(files.read_raw(spark, config.paths["raw_csv"], schema), schema)
-    files.write_parquet(rows.withColumn("date", F.to_date(schema.timestamp)), config.paths["processed"], ["date"])
-    rows = files.read_parquet(spark, config.paths["processed"])
-    lags = with_lag(rows, r)
-    checks = [quality.increasing(rows, r), quality.modal(lags, config.expected_interval_seconds * 1_000_000), quality.binary(rows, list(schema.digital)), quality.twins(rows, "TP3", "Reservoirs", config.twin_eps, config.twin_max), quality.antiphase(rows, config.antiphase_eps, r), quality.ranges(rows, config.ranges, list(schema.analog))]
+    unordered = [quality.binary_check(list(schema.digital)), quality.twin_check("TP3", "Reservoirs", config.twin_eps, config.twin_max), quality.antiphase_check(config.antiphase_eps, r), quality.range_check(config.ranges, list(schema.analog))]
+    rows, measured = quality.watched(rows.withColumn("date", F.to_date(schema.timestamp)), unordered)
+    files.write_parquet(rows, config.paths["processed"], ["date"])
+    rows = files.read_parquet(spark, config.paths["processed"]).select(r.series, r.us, r.seq)
+    checks = [quality.increasing(rows, r), quality.modal(with_lag(rows, r), config.expected_interval_seconds * 1_000_000), measured()]
     out = quality.run_checks(checks, on_fail)
     files.write_failures(spark, config.failures, config.paths["failure_windows"])
     return out

@@ -327,9 +327,10 @@ def a41_label_month_rollup(spark, d):
 
 @query
 def q7_checks(spark, d):
-    v = view(spark, d)
-    lags = timeline.with_lag(v)
-    checks = [quality.increasing(v), quality.modal(lags, 10_000_000), quality.binary(v, SIGNALS), quality.twins(v.withColumn("twin", F.floor(F.col("a1") * 50) / 50), "a1", "twin", 0.01, 0.5), quality.antiphase(v, 0.02), quality.ranges(v, {"a1": (0.0, 90.0), "a2": (0.0, 100.0)}, SENSORS)]
+    v = view(spark, d).withColumn("unloaded", 1 - F.col("dv"))  # tells the same as comp, but for errors
+    order = v.select("series_id", "us", "event_id")
+    others = [quality.binary_check(SIGNALS), quality.twin_check("comp", "unloaded", 0.01, 0.5), quality.antiphase_check(0.02), quality.range_check({"a1": (0.0, 90.0), "a2": (0.0, 100.0)}, SENSORS)]
+    checks = [quality.increasing(order), quality.modal(timeline.with_lag(order), 10_000_000), quality.in_one_pass(v, others)]
     return rounded(quality.run_checks(checks, on_fail="ignore"))
 
 
@@ -727,9 +728,10 @@ def a39_describe_scores(spark, d):
 
 @query
 def a40_twin_difference(spark, d):
-    """How far a sensor and its rounded twin are apart."""
-    v = view(spark, d).select(F.abs(F.col("a1") - F.floor(F.col("a1") * 50) / 50).alias("difference"))
-    return rounded(stats.describe(v, ["difference"]))
+    """How far the idle channel and the one that should be its opposite are apart, by whether they disagree, and the
+    difference of the readings beside them."""
+    v = view(spark, d).withColumn("difference", F.abs(F.col("comp") - (1 - F.col("dv"))))
+    return rounded(v.groupBy("difference").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("a1") - F.col("a2"))).alias("apart_mean"), F.max(F.abs(F.col("a1") - F.col("a2"))).alias("apart_most")))
 
 
 @query
