@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.quantiles import numbered
 from tidemark.operators.labels import FAILURES
+from tidemark.plans.boosting import Boosted, ada_boost, boost, matrix_of, values
 from tidemark.plans.evaluation import average_precision, by_score, roc_auc
 from tidemark.plans.features import SCORED
 from tidemark.plans.scoring import targets
@@ -137,13 +140,57 @@ def anchored_residual(features: DataFrame, signals=("oil_median", "tp3_decay_slo
 
 # --- classifiers
 
-#: The learners that MLlib has, each with balanced weights.
-LEARNERS: dict[str, Callable[[], Estimator]] = {
-    "logreg": lambda: LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", maxIter=50),
-    "tree": lambda: DecisionTreeClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", maxDepth=5, seed=1),
-    "rf": lambda: RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", numTrees=20, maxDepth=5, seed=1),
-    "gbm": lambda: GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", maxIter=10, maxDepth=3, seed=1),
-    "svm": lambda: LinearSVC(featuresCol="_x", labelCol="_y", weightCol="_weight", maxIter=50),
+class FourierFeatures(Transformer):
+    """Adds output: random features of the vector in input whose products are those of a Gaussian kernel,
+    exp(-gamma * |x - y|^2), up to an error that falls as one over the root of their number (Rahimi and Recht, 2007)."""
+
+    def __init__(self, width: int, gamma: float, size: int = 256, input: str = "_x", output: str = "_phi", seed: int = 1) -> None:
+        super().__init__()
+        rng = np.random.default_rng(seed)
+        self.weights, self.turns = rng.normal(0, np.sqrt(2 * gamma), (size, width)), rng.uniform(0, 2 * np.pi, size)
+        self.input, self.output = input, output
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        waves = F.from_json(F.lit(json.dumps([{"w": w, "b": b} for w, b in zip(self.weights.tolist(), self.turns.tolist(), strict=True)])), "array<struct<w: array<double>, b: double>>")
+        dot = lambda wave: F.aggregate(F.zip_with(wave["w"], F.col("_given"), lambda w, x: w * x), F.lit(0.0), lambda s, v: s + v)
+        phi = F.transform(waves, lambda wave: F.cos(dot(wave) + wave["b"]) * float(np.sqrt(2 / len(self.turns))))
+        return dataset.withColumn("_given", vector_to_array(self.input)).withColumn(self.output, array_to_vector(phi)).drop("_given")
+
+
+class KernelSVC(Estimator):
+    """Support vector classifier with a Gaussian kernel: a linear one over FourierFeatures. Without gamma it is one over
+    the number of columns times the variance of all their values."""
+
+    def __init__(self, gamma: float | None = None, size: int = 256, max_iter: int = 50, seed: int = 1) -> None:
+        super().__init__()
+        self.gamma, self.size, self.max_iter, self.seed = gamma, size, max_iter, seed
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        x = vector_to_array("_x")
+        found = dataset.select(F.size(x).alias("d"), F.explode(x).alias("v")).agg(F.max("d").alias("d"), F.var_pop("v").alias("v")).first()
+        gamma = self.gamma or 1 / (found["d"] * (found["v"] or 1.0))
+        waves = FourierFeatures(found["d"], gamma, self.size, seed=self.seed)
+        linear = LinearSVC(featuresCol="_phi", labelCol="_y", weightCol="_weight", maxIter=self.max_iter, standardization=False)
+        return PipelineModel([waves, linear.fit(waves.transform(dataset))])
+
+
+@dataclass(frozen=True)
+class Together:
+    """A learner that grows the models of all held-out failures at once, from a table with model numbers."""
+
+    fit: Callable[..., Boosted]
+    options: dict
+
+
+#: MLlib's learners, each with balanced weights, and boosted ones.
+LEARNERS: dict[str, Callable[[], Estimator] | Together] = {
+    "logreg": lambda: LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", maxIter=100),
+    "tree": lambda: DecisionTreeClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", maxDepth=10, seed=1),
+    "rf": lambda: RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", numTrees=100, maxDepth=10, seed=1),
+    "gbm": Together(boost, {"trees": 100, "depth": 3, "eta": 0.1, "penalty": 0.0, "least_hessian": 0.0}),
+    "ada": Together(ada_boost, {"rounds": 50}),
+    "svm": KernelSVC,
+    "xgb": Together(boost, {"trees": 100, "depth": 6, "eta": 0.3, "positive_weight": 20.0}),
 }
 
 
@@ -167,49 +214,76 @@ def _margin(scored: DataFrame) -> Column:
     return F.get(vector_to_array(F.col("probability" if "probability" in scored.columns else "rawPrediction")), 1)
 
 
-def leave_one_out(features: DataFrame, learners: dict[str, Callable[[], Estimator]] | None = None, columns=SCORED, failures=FAILURES, hours: int = 48) -> DataFrame:
+def leave_one_out(features: DataFrame, learners: dict[str, Callable[[], Estimator] | Together] | None = None, columns=SCORED, failures=FAILURES, hours: int = 48) -> DataFrame:
     """Rows (model, target, roc_auc, pr_auc, n_pos, n_neg): each failure judged by learners that saw healthy windows and
     the other failures. A failure is left out if there are no windows of it or none of the others."""
     d = assembled(features.withColumn("fail_of", positives("ws", failures, hours)), columns)
-    d = stored(d.withColumn("_y", F.col("fail_of").isNotNull().cast("int")).filter((F.col("label") == "healthy") | (F.col("_y") == 1)).select("ws", "label", "fail_of", "_y", "_x"))
+    d = stored(d.withColumn("_y", F.col("fail_of").isNotNull().cast("int")).filter((F.col("label") == "healthy") | (F.col("_y") == 1)).select("fail_of", "_y", "_x", *columns))
     there = {r["fail_of"]: r["n"] for r in d.filter("_y = 1").groupBy("fail_of").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each failure
+    held = [f.failure_id for f in failures if there.get(f.failure_id) and len(there) > 1]
     rows = None
-    for held in [f.failure_id for f in failures if there.get(f.failure_id) and len(there) > 1]:
-        healthy = F.col("fail_of").isNull()
-        train, test = weighted(d.filter(healthy | (F.col("fail_of") != held))), d.filter(healthy | (F.col("fail_of") == held))
-        for name, make in (learners or LEARNERS).items():
-            out = make().fit(train).transform(test)
-            one = out.select(F.lit(name).alias("model"), F.lit(held).alias("target"), _margin(out).alias("score"), F.col("_y").alias("y"))
-            rows = one if rows is None else rows.unionByName(one)
+    for name, learner in (learners or LEARNERS).items() if held else ():
+        if isinstance(learner, Together):
+            one = [_scores_together(name, learner, d, held, columns)]
+        else:
+            one = [_scores(name, learner(), d, h) for h in held]
+        for part in one:
+            rows = part if rows is None else rows.unionByName(part)
     if rows is None:
         return features.sparkSession.createDataFrame([], "model string, target string, roc_auc double, n_pos long, n_neg long, pr_auc double")
     counts = by_score(rows)
     return roc_auc(counts).join(average_precision(counts), ["model", "target"])
 
 
-def permutation_importance(features: DataFrame, columns=SCORED, failures=FAILURES, hours: int = 48, infail: bool = True, repeats: int = 3, seed: int = 1) -> DataFrame:
-    """Rows (column, importance): by how much the average precision of boosted trees falls, on average, where a column's
-    values are dealt anew; without infail windows from a failure's start on don't count as positive.
+def _scores(name: str, learner: Estimator, d: DataFrame, held: str) -> DataFrame:
+    healthy = F.col("fail_of").isNull()
+    out = learner.fit(weighted(d.filter(healthy | (F.col("fail_of") != held)))).transform(d.filter(healthy | (F.col("fail_of") == held)))
+    return out.select(F.lit(name).alias("model"), F.lit(held).alias("target"), _margin(out).alias("score"), F.col("_y").alias("y"))
 
-    Values are permuted by two numberings of the rows, one by place and one by a hash, that are joined.
+
+def _scores_together(name: str, learner: Together, d: DataFrame, held: list[str], columns) -> DataFrame:
+    each = [(F.col("fail_of").isNull() | (F.col("fail_of") != h), F.col("fail_of").isNull() | (F.col("fail_of") == h)) for h in held]
+    of = lambda side: F.explode(F.array_compact(F.array(*[F.when(pair[side], k) for k, pair in enumerate(each)])))
+    model = learner.fit(d.withColumn("_model", of(0)), columns, model="_model", models=len(held), **learner.options)
+    names = F.array(*[F.lit(h) for h in held])
+    test = d.withColumn("_model", of(1))
+    return test.select(F.lit(name).alias("model"), F.get(names, F.col("_model")).alias("target"), model.score(F.col("_model")).alias("score"), F.col("_y").alias("y"))
+
+
+def permutation_importance(features: DataFrame, columns=SCORED, failures=FAILURES, hours: int = 48, infail: bool = True, repeats: int = 10, trees: int = 200, positive_weight: float | None = None, seed: int = 1) -> DataFrame:
+    """Rows (column, importance): by how much the average precision of second-order boosted trees falls, on average, where
+    a column's values are dealt anew; without infail windows from a failure's start on don't count as positive.
+
+    Values are permuted by numberings of the rows, one by place and one by a hash for each repeat, that are joined. All
+    columns are scored side by side. positive_weight is 20 with infail and 40 without.
     """
+    columns = list(columns)
     y = positives("ws", failures, hours, infail).isNotNull().cast("int")
-    d = weighted(features.withColumn("_y", y).filter((F.col("label") == "healthy") | (F.col("_y") == 1)).select("series_id", "seg", "win", "_y", *[F.col(c).cast("double").alias(c) for c in columns]))
+    d = features.withColumn("_y", y).filter((F.col("label") == "healthy") | (F.col("_y") == 1)).select("series_id", "seg", "win", "_y", *[F.col(c).cast("double").alias(c) for c in columns])
     d = stored(numbered(d, ["series_id", "seg", "win"], "_row"))
-    model = LEARNERS["gbm"]().fit(assembled(d, columns))
-
-    def precision(df: DataFrame, name: str) -> DataFrame:
-        out = model.transform(assembled(df, columns))
-        counts = by_score(out.select(F.lit("gbm").alias("model"), F.lit(name).alias("target"), _margin(out).alias("score"), F.col("_y").alias("y")))
-        return average_precision(counts).select("target", "pr_auc")
-
-    base = precision(d, "base").select(F.col("pr_auc").alias("base"))
-    falls = None
-    for r in range(repeats):
-        deal = numbered(d.select("_row", F.xxhash64(F.lit(seed + r), "_row").alias("_h"), *[F.col(c).alias(f"_new_{c}") for c in columns]), ["_h", "_row"], "_to")
-        dealt = stored(d.join(deal.drop("_row", "_h").withColumnRenamed("_to", "_row"), "_row"))
-        for c in columns:
-            one = precision(dealt.withColumn(c, F.col(f"_new_{c}")), c)
-            falls = one if falls is None else falls.unionByName(one)
-    drop = falls.crossJoin(F.broadcast(base)).groupBy(F.col("target").alias("column"))  # one row
-    return drop.agg(F.avg(F.col("base") - F.col("pr_auc")).alias("importance"))
+    n = d.count()
+    model = boost(d, columns, trees=trees, positive_weight=positive_weight or (20.0 if infail else 40.0))
+    given = d.select("_row", "_y", values(columns).alias("_v"))
+    again = given.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    dealt = numbered(again.select("_r", F.xxhash64(F.lit(seed), "_r", "_row").alias("_h"), "_row", F.col("_v").alias("_new")), ["_r", "_h", "_row"], "_to")
+    dealt = dealt.select("_r", (F.col("_to") - F.col("_r").cast("long") * n).alias("_row"), "_new")
+
+    def score(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for old, new in parts:
+            x, z = matrix_of(old), matrix_of(new)
+            none, out = np.zeros(len(x), int), []
+            for c in range(len(columns)):
+                moved = x.copy()
+                moved[:, c] = z[:, c]
+                out.append(model.sums(none, moved))
+            flat = np.stack(out, axis=1).ravel() if len(x) else np.zeros(0)
+            yield pa.ListArray.from_arrays(np.arange(0, len(x) * len(columns) + 1, len(columns), dtype=np.int32), pa.array(flat))
+
+    scored = again.select("_r", "_row", "_y", "_v").join(dealt, ["_r", "_row"]).select("_r", "_y", F.posexplode(F.arrow_udf(score, "array<double>")("_v", "_new")).alias("_c", "score"))
+    moved = scored.select(F.col("_c").cast("string").alias("model"), F.col("_r").cast("string").alias("target"), "score", F.col("_y").alias("y"))
+    base = d.select(F.lit("all").alias("model"), F.lit("base").alias("target"), model.score().alias("score"), F.col("_y").alias("y"))
+    found = average_precision(by_score(stored(moved.unionByName(base))))
+    before = found.filter("model = 'all'").select(F.col("pr_auc").alias("base"))
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("model").cast("int"))
+    falls = found.filter("model <> 'all'").crossJoin(F.broadcast(before)).groupBy(name.alias("column"))  # one row
+    return falls.agg(F.avg(F.col("base") - F.col("pr_auc")).alias("importance"))
