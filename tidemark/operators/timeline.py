@@ -50,6 +50,21 @@ def running_count(df: DataFrame, flag: Column, name: str, roles: Roles = VIEW, b
     return d.join(totals, [s, "_bucket"]).withColumn(name, (F.col("_before") + F.sum("_flag").over(within)).cast("long")).drop("_bucket", "_flag", "_before")
 
 
+def range_frame(df: DataFrame, span_us: int, aggregates: dict[str, Column], roles: Roles = VIEW, bucket_us: int | None = None) -> DataFrame:
+    """Adds, for each {name: aggregate}, the aggregate of the series' rows in (t - span, t].
+
+    Rows are dealt to buckets of time (four spans long unless given, one span at least); those in the last span of a
+    bucket go to the next one as well, where they are seen but not given out. Each frame lies in its bucket.
+    """
+    s, us = roles.series, roles.us
+    size = max(bucket_us or 4 * span_us, span_us)
+    own = F.floor(F.col(us) / size)
+    reach = F.floor((F.col(us) + span_us - 1) / size)
+    d = df.withColumn("_own", own).withColumn("_bucket", F.explode(F.sequence(own, reach)))
+    frame = Window.partitionBy(s, "_bucket").orderBy(us).rangeBetween(-(span_us - 1), 0)
+    return d.withColumns({name: a.over(frame) for name, a in aggregates.items()}).filter("_bucket = _own").drop("_own", "_bucket")
+
+
 def with_lag(df: DataFrame, roles: Roles = VIEW) -> DataFrame:
     """Adds prev_us and dus, the time since the previous row."""
     return lagged(df, {roles.us: "prev_us"}, roles).withColumn("dus", F.col(roles.us) - F.col("prev_us"))

@@ -329,6 +329,19 @@ ORACLES: dict[str, str] = {
  SELECT ws, n, round(n / e, 6) AS coverage FROM w, x, passed WHERE ws + {H} <= wm AND n / e >= 0.9""",
     "st5_segment_windows": f"""WITH {_FEAT}, {_PASSED}, far AS (SELECT seg, max(us) AS last FROM rows_, passed WHERE us <= wm GROUP BY seg)
  SELECT seg, win, ws, we, n_samples, label, rising_edges, {', '.join(map(_R4, ('duty', 'oil_median', 'oil_std', 'tp3_decay_slope', 'longest_load_stretch')))} FROM f JOIN far USING (seg) WHERE we <= last""",
+    "w14_range_frames": f"""WITH {_V} SELECT event_id, count(*) OVER w AS n, sum(a2) OVER w AS a2_sum, min(a1) OVER w AS a1_low, max(a1) OVER w AS a1_high FROM v
+ WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL {6 * H - 1} MICROSECONDS PRECEDING AND CURRENT ROW)""",
+    "k1_sketched_spans": """WITH s AS (SELECT * FROM (VALUES ('week', DATE '2024-01-01', DATE '2024-01-07'), ('month', DATE '2024-01-01', DATE '2024-01-31'), ('day', DATE '2024-01-08', DATE '2024-01-08')) x(span, lo, hi))
+ SELECT span, 'S1' AS series_id, count(value) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, count(DISTINCT user_id) AS users, true AS ranks_near, true AS hll_near, true AS theta_near FROM s JOIN events ON CAST(ts AS DATE) BETWEEN lo AND hi GROUP BY span""",
+    "t1_alarms_with_subqueries": f"""WITH {_STATUS} SELECT al.idx, al.ws, al.level, count(s.ws) AS n_above, any_value(coalesce(al.ws - p.before <= {6 * H}, false)) AS follows
+ FROM al JOIN scored w ON w.ws = al.ws LEFT JOIN scored s ON s.seg = w.seg AND s.zmax > w.zmax JOIN (SELECT ws, lag(ws) OVER (ORDER BY ws) AS before FROM al) p ON p.ws = al.ws GROUP BY al.idx, al.ws, al.level""",
+    "t2_alarm_chains": f"""WITH {_STATUS} SELECT min(ws) AS chain_start, max(ws) AS chain_end, count(*) AS n_alarms FROM (SELECT ws, sum(nw) OVER (ORDER BY ws) AS chain
+ FROM (SELECT ws, CASE WHEN ws - lag(ws) OVER (ORDER BY ws) <= {6 * H} THEN 0 ELSE 1 END AS nw FROM al)) GROUP BY chain""",
+    "t3_windows_of_leaders": f"""WITH {_STATUS}, c AS (SELECT driver, avg(zmax) AS mean, row_number() OVER (ORDER BY count(*) DESC, driver) AS k FROM scored WHERE alert GROUP BY driver)
+ SELECT ws, driver, round(zmax - mean, 5) AS above FROM scored JOIN c USING (driver) WHERE alert AND k <= 3""",
+    "u1_runs_of_users": """WITH o AS (SELECT CAST(user_id AS VARCHAR) AS series, epoch_us(ts) AS us, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS state FROM events),
+ r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY us) - row_number() OVER (PARTITION BY series, state ORDER BY us) AS g FROM o)
+ SELECT series, state, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM r GROUP BY series, state, g""",
     "j8_lookback_cycles": f"""WITH {_SEG}, lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g
  JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p='k_', k='seg, win', src='lk')}
  SELECT g.seg, g.win, round(cv, 4) AS cycle_dur_cv_6h, round(tr, 4) AS cycle_dur_trend_6h FROM grid g LEFT

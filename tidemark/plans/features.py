@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.operators.joins import lookback
 from tidemark.operators.labels import label, majority
 from tidemark.operators.timeline import grid, islands, lagged, segmented, segments, windowed, with_lag
@@ -92,9 +93,11 @@ def window_table(view: DataFrame, gap_us: float, width_us: int = HOUR_US, r: Rol
 
 
 def base_features(tiles: DataFrame, rows: DataFrame, r: Roles = VIEW, **known) -> DataFrame:
-    """All families for each window, empty ones included, and the windows' labels. known: failures and intervals of the labels."""
+    """All families for each window, registered ones included, of empty windows too, and the windows' labels. known:
+    failures and intervals of the labels."""
     rows = rows.withColumn("_label", label(F.col(r.us), **known)).repartition(*keys(r))
-    simple = rows.groupBy(*keys(r)).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(r.load).alias("cycles_per_hour"), *duty_family(r), *thermal_family(r), *variability_family(r), *instrument_family(r), majority("_label", F.count(F.lit(1))).alias("label"))
+    extra = [c for family in registry.registered("family").values() for c in family(r)]
+    simple = rows.groupBy(*keys(r)).agg(F.count(F.lit(1)).alias("n_samples"), F.sum(r.load).alias("cycles_per_hour"), *duty_family(r), *thermal_family(r), *variability_family(r), *instrument_family(r), majority("_label", F.count(F.lit(1))).alias("label"), *extra)
     out = tiles.join(simple, keys(r), "left")
     for part in (decay_slopes(rows, r), cycle_stats(load_cycles(rows, keys(r), r), keys(r)), load_stretches(rows, r)):
         out = out.join(part, keys(r), "left")

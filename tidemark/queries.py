@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark.functions import sketches, stats
 from tidemark.operators import episodes, joins, labels, quality, timeline
 from tidemark.operators.labels import FAILURES, failure_table
 from tidemark.functions.quantiles import quantiles
-from tidemark.plans import alarms, evaluation, features, models, scoring
+from tidemark.plans import alarms, evaluation, features, models, scoring, views
 from tidemark.schema import DAY_US, HOUR_US, sensor_view
 from tidemark.session import ship
 from tidemark.storage import stored
@@ -864,6 +864,69 @@ def m14_lookback(spark, d):
     return rounded(evaluation.roc_auc(evaluation.by_score(long)))
 
 
+# --- time frames, sketches, SQL text, table functions
+
+
+@query
+def w14_range_frames(spark, d):
+    """Number, sum and extremes of the readings in the six hours up to each."""
+    v = view(spark, d).select("series_id", "event_id", "us", "a1", "a2")
+    made = {"n": F.count(F.lit(1)), "a2_sum": F.sum("a2"), "a1_low": F.min("a1"), "a1_high": F.max("a1")}
+    return timeline.range_frame(v, 6 * HOUR_US, made).select("event_id", *made)
+
+
+@query
+def k1_sketched_spans(spark, d):
+    """Spans of days from stored daily sketches, beside the exact numbers: quantiles' ranks and distinct users within the
+    stated bounds (three standard deviations for the counts)."""
+    rows = view(spark, d).join(table(spark, d, "events").select("event_id", "user_id"), "event_id")
+    days = stored(sketches.daily(rows, "a1", "user_id"))
+    probs, out = (0.1, 0.5, 0.9), None
+    for name, lo, hi in (("week", 19723, 19729), ("month", 19723, 19753), ("day", 19730, 19730)):
+        guess = sketches.answers(sketches.spans(days, F.lit(lo), F.lit(hi), ["series_id"]), probs)
+        real = rows.filter((F.col("us") >= lo * DAY_US) & (F.col("us") < (hi + 1) * DAY_US))
+        d2 = real.join(F.broadcast(guess.select("series_id", "q")), "series_id")  # a row for each series
+        ranks = d2.groupBy("series_id").agg(F.count_distinct("user_id").alias("users"), *[F.avg((F.col("a1") <= F.get("q", i)).cast("int")).alias(f"rank{i}") for i in range(3)])
+        near = F.lit(True)
+        for i, p in enumerate(probs):
+            near = near & (F.abs(F.col(f"rank{i}") - p) <= sketches.rank_error() + 1 / F.col("n"))
+        one = guess.join(ranks, "series_id").select(
+            F.lit(name).alias("span"), "series_id", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "users", near.alias("ranks_near"),
+            (F.abs(F.col("n_items") - F.col("users")) <= 3 * 1.04 / 64 * F.col("users") + 1).alias("hll_near"), (F.abs(F.col("n_keys") - F.col("users")) <= 3 / 64 * F.col("users") + 1).alias("theta_near"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def alarm_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"alarms": alarms.alarms(status_table(spark, d)), "scores": score_table(spark, d)}
+
+
+@query
+def t1_alarms_with_subqueries(spark, d):
+    return views.sql(spark, views.ABOVE_ALARM, alarm_tables(spark, d), back=6 * HOUR_US)
+
+
+@query
+def t2_alarm_chains(spark, d):
+    """Alarms within six hours of the one before, by a recursive query."""
+    return views.sql(spark, views.CHAINS, alarm_tables(spark, d), back=6 * HOUR_US)
+
+
+@query
+def t3_windows_of_leaders(spark, d):
+    return views.sql(spark, views.LEADERS, alarm_tables(spark, d))
+
+
+@query
+def u1_runs_of_users(spark, d):
+    """Runs of the load signal of each user, by a table function."""
+    views.register_functions(spark)
+    ship(spark)
+    sensor_view(table(spark, d, "events"), "user_id").select(F.col("series_id").alias("series"), "us", F.col("dv").alias("state")).createOrReplaceTempView("tidemark_states")
+    return spark.sql("SELECT * FROM tidemark_runs(TABLE(tidemark_states) PARTITION BY series ORDER BY us)")
+
+
 @query
 def s1_series_gaps(spark, d):
     """Each user as a series of its own: rows, segments at gaps of a day, and the longest lag."""
