@@ -227,6 +227,16 @@ def test_held_out_failures_are_told_by_the_others(spark):
     assert imp["x"] > 0.2 > imp["y"]
 
 
+def test_two_assets_are_kept_apart(spark):
+    a = rows(spark, [i * HOUR_US for i in range(48)], dv=[0 if 6 <= i < 18 else 1 for i in range(48)])
+    b = rows(spark, [i * HOUR_US for i in range(48)], dv=[0 if 30 <= i < 36 else 1 for i in range(48)]).withColumn("series_id", F.lit("S2"))
+    both = a.unionByName(b)
+    e = episodes.state_episodes(both, episodes.mostly_off("dv"), 0, 48 * HOUR_US, 6 * HOUR_US, HOUR_US).collect()
+    assert sorted(map(tuple, e)) == [("S1", 6 * HOUR_US, 18 * HOUR_US), ("S2", 30 * HOUR_US, 36 * HOUR_US)]
+    got = {r.series_id: r.toggles_per_hour for r in stats.toggles_per_hour(both, "dv", 0, 48 * HOUR_US).collect()}
+    assert got == {"S1": 3 / 47, "S2": 3 / 47}
+
+
 def test_spectrum_equals_least_squares(spark):
     rng = np.random.default_rng(9)
     t = np.sort(rng.integers(0, 3600, 120))

@@ -95,9 +95,9 @@ def between(df: DataFrame, lo: int, hi: int, r: Roles = VIEW, time: str = "ts")
 
 
 def toggles_per_hour(df: DataFrame, signal: str, lo: int, hi: int, r: Roles = VIEW) -> DataFrame:
-    """Changes of a signal on [lo, hi) per hour; the first row counts as one."""
+    """Changes of a signal on [lo, hi) per hour, for each series; the first row counts as one."""
     d = lagged(between(df, lo, hi, r).filter((F.col(r.us) >= lo) & (F.col(r.us) < hi)), {signal: "_prev"}, r)
-    return d.agg((F.sum((~F.col(signal).eqNullSafe(F.col("_prev"))).cast("int")) / ((F.max(r.us) - F.min(r.us)) / HOUR_US)).alias("toggles_per_hour"))
+    return d.groupBy(r.series).agg((F.sum((~F.col(signal).eqNullSafe(F.col("_prev"))).cast("int")) / ((F.max(r.us) - F.min(r.us)) / HOUR_US)).alias("toggles_per_hour"))
 
 
 def run_summary(df: DataFrame, signals: list[str], state: int = 0, r: Roles = VIEW) -> DataFrame:

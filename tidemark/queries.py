@@ -42,15 +42,16 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
 
 
 def kept(make: Query) -> Query:
-    """Stores a table once for each application and input; input files are taken not to change meanwhile."""
+    """Stores a table once for each application and state of the input files: a changed file makes it anew."""
 
     @functools.wraps(make)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, d, make.__name__)
+        files = table(spark, d, "events").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
+        key = (spark.sparkContext.applicationId, d, make.__name__, tuple(sorted(map(tuple, files))))
         if key not in _kept:
             _kept[key] = stored(make(spark, d))
         return _kept[key]
@@ -58,6 +59,11 @@ def kept(make: Query) -> Query:
     return run
 
 
+def forget() -> None:
+    """Drops the stored tables."""
+    _kept.clear()
+
+
 @kept
 def grid_gap(spark: SparkSession, d: str) -> DataFrame:
     """One row: the median lag."""
@@ -158,7 +164,7 @@ def a7_duty_and_antiphase(spark, d):
 
 @query
 def a9_toggles(spark, d):
-    return rounded(stats.toggles_per_hour(view(spark, d), "dv", FAILURES[0].start, FAILURES[0].start + 7 * DAY_US))
+    return rounded(stats.toggles_per_hour(view(spark, d), "dv", FAILURES[0].start, FAILURES[0].start + 7 * DAY_US).drop("series_id"))
 
 
 @query
@@ -366,7 +372,7 @@ def w5_runs(spark, d):
 @query
 def e1_state_episodes(spark, d):
     lo, hi = labels.us("2024-01-01 00:00"), labels.us("2024-01-31 00:00")
-    return episodes.state_episodes(view(spark, d), episodes.mostly_off("dv", 0.6), lo, hi)
+    return episodes.state_episodes(view(spark, d), episodes.mostly_off("dv", 0.6), lo, hi).drop("series_id")
 
 
 @query
@@ -811,7 +817,7 @@ def o8_without_second(spark, d):
 @query
 def e2_stuck_instrument(spark, d):
     lo, hi = labels.us("2024-01-01 00:00"), labels.us("2024-01-31 00:00")
-    return episodes.state_episodes(view(spark, d), episodes.stuck_instrument(var_eps=900.0, anti_eps=0.6), lo, hi)
+    return episodes.state_episodes(view(spark, d), episodes.stuck_instrument(var_eps=900.0, anti_eps=0.6), lo, hi).drop("series_id")
 
 
 @query
