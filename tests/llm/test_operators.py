@@ -379,6 +379,22 @@ def test_surrogates_find_phone_and_card_formats(spark):
         assert {x: n for x, n in out[k]["__entities"].items() if n} == {kind: 1, "ip": 1}
 
 
+def test_surrogates_of_long_entities_and_of_one_phone_in_two_forms(spark):
+    """Texts of a megabyte of each shape end; local parts that agree in 36 digits stay apart; phones by their digits."""
+    n = 1_000_000
+    shapes = ["x@" + "a." * (n // 2) + "com", "x@" + "a" * n + ".com", "a" * n + "@b.com", "+" + "1" * n, "1 " * (n // 2), "1-" * (n // 2), "DE12" + " ABCD" * (n // 5), "1.1." * (n // 4), "Mr A" + "b" * n, "Mr " * (n // 3), "(" * n, "x@" + "é𐐀." * (n // 4) + "org"]
+    ones, mails = "1" * 36, ["1" * 41 + "@b.com", "1" * 36 + "22222" + "@b.com", "1" * 80 + "@b.com"]
+    rows = [(i, t) for i, t in enumerate(shapes)] + [(100 + i, m) for i, m in enumerate(mails)] + [(200, "+4930901820"), (201, "+49 30 901820"), (202, "+49 (30) 90-18-20"), (203, "x@" + "ab." * 126 + "com end"), (204, "+1 415 555 0199"), (205, "+1(415)555-0199")]
+    out = {r.doc_id: r["__text"] for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(out) == len(rows) and out[10] == shapes[10]
+    made = [out[100 + i].split("@") for i in range(3)]
+    assert [len(m[0]) for m in made] == [41, 41, 80] and len({m[0] for m in made}) == 3 and all(ones not in m[0] for m in made) and len({m[1] for m in made}) == 1
+    digits = {"".join(c for c in out[i] if c.isdigit()) for i in (200, 201, 202)}
+    assert len(digits) == 1 and digits.pop()[:2] == "49" and out[201][:4] == "+49 " and out[200] != "+4930901820"
+    assert "".join(c for c in out[204] if c.isdigit()) == "".join(c for c in out[205] if c.isdigit()) != "14155550199" and out[204].startswith("+1 ")
+    assert out[203].endswith(".example end") and "ab." not in out[203]
+
+
 def test_repeats_equal_brute_force(docs, rows, empty):
     seen, want = {}, []
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):

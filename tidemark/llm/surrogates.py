@@ -13,15 +13,21 @@ _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "Господ
 _NEUTRAL = ("Dr", "Prof", "Mx")
 _TITLES = "|".join(_FEMALE + _MALE + _NEUTRAL)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kinds in the order in which they are tried at a place.
+#: Letters and digits in a lookbehind. The letter beyond 16 bits makes Java look back by whole characters; else each place
+#: after such a letter would be tried as a start.
+_WORD = "\\p{L}\\p{N}\U00010400"
+#: Country codes of phone numbers (fixed values); codes that begin otherwise have three digits.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Kinds in the order in which they are tried at a place. No group repeats without a bound, as each repetition takes
+#: stack: a mail domain has 127 labels at the most, which is the limit of domain names.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": rf"(?<![{_WORD}._%+-])[\p{{L}}\p{{N}}._%+-]++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+){{0,125}}\.\p{{L}}{{2,}}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": rf"(?<![{_WORD}])" + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+(?=(?:[ .()-]{{0,3}}\d){{7,15}}(?!\d))\d{{1,3}}(?:[ .-]?\(\d{{1,5}}\))?(?:[ .-]?(?!(?<!\d)\d{{4}}(?:[ -]?\d{{4}}){{3}})(?!(?<!\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d))\d){{3,14}}|\(\d{{3,5}}\) ?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?!\d|[.]\d)",
+    "phone": rf"(?<![{_WORD}+])(?:\+(?=(?:[ .()-]{{0,3}}\d){{7,15}}(?!\d))\d{{1,3}}(?:[ .-]?\(\d{{1,5}}\))?(?:[ .-]?(?!(?<!\d)\d{{4}}(?:[ -]?\d{{4}}){{3}})(?!(?<!\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d))\d){{3,14}}|\(\d{{3,5}}\) ?\d{{3,4}}[ .-]?\d{{3,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?!\d|[.]\d)",
     "card": rf"(?<!\d)(?:\d(?:[ -]?(?!(?<!\d)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d))\d){{12,18}}(?![ -]?\d)|\d{{4}}(?:[ -]?\d{{4}}){{3}}|\d{{4}}[ -]?\d{{6}}[ -]?\d{{5}}|\d{{13,19}})(?!\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![{_WORD}])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 KINDS = tuple(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -67,6 +73,12 @@ def permute_digits(digits: Column, key: str) -> Column:
     return _bind(state, lambda s: F.concat(digit(s["l"], a), digit(s["r"], b)))
 
 
+def permute_long(digits: Column, key: str) -> Column:
+    """A keyed permutation of strings of digits of any length: blocks of 36 are permuted one by one."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(digits) - 1) / 36).cast("int"))
+    return F.array_join(F.transform(blocks, lambda i: permute_digits(F.substring(digits, i * 36 + 1, F.lit(36)), key)), "")
+
+
 def _bind(value: Column, use) -> Column:
     """use(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
@@ -126,7 +138,7 @@ def _email(x: Column, key: str, syllables: int) -> Column:
     """Made-up words and permuted digits between the separators of the local part; a domain of its own, under .example."""
     local, domain = F.substring_index(F.lower(x), "@", 1), F.substring_index(F.lower(x), "@", -1)
     whole = F.sha2(F.concat_ws("|", F.lit(key), local, domain), 256)
-    run = lambda w: F.when(w.rlike("^[0-9]+$"), permute_digits(F.substring(w, 1, 36), f"{key}|mail")).when(w.rlike(r"^[\p{L}\p{M}]+$"), _pseudo_word(F.concat(w, whole), F.lit(""), key, syllables)).otherwise(w)
+    run = lambda w: F.when(w.rlike("^[0-9]+$"), permute_long(w, f"{key}|mail")).when(w.rlike(r"^[\p{L}\p{M}]+$"), _pseudo_word(F.concat(w, whole), F.lit(""), key, syllables)).otherwise(w)
     parts = F.regexp_extract_all(local, F.lit(r"[0-9]+|[\p{L}\p{M}]+|[^\p{L}\p{M}0-9]+"), F.lit(0))
     return F.concat(F.array_join(F.transform(parts, run), ""), F.lit("@"), _pseudo_word(domain, F.lit(""), key, syllables), F.lit(".example"))
 
@@ -152,7 +164,7 @@ def _iban(x: Column, key: str) -> Column:
 def surrogate(x: Column, kind: Column, key: str, syllables: int) -> Column:
     """The replacement of entity x."""
     digits = F.regexp_replace(x, "[^0-9]", "")
-    country = F.regexp_extract(x, r"^\+(\d{1,3})(?=[ .(-])", 1)
+    country = F.when(x.startswith("+"), F.regexp_extract(digits, _COUNTRY, 1)).otherwise("")
     phone = _refill(x, F.concat(country, permute_digits(F.substring(digits, F.length(country) + 1, F.length(digits)), f"{key}|phone")))
     value = F.aggregate(F.split(x, r"\."), F.lit(0).cast("long"), lambda s, o: s * 256 + o.cast("long"))
     half = _bind(value, lambda v: F.struct(F.shiftright(v, 16).alias("l"), v.bitwiseAND(F.lit(65535).cast("long")).alias("r")))
@@ -175,7 +187,7 @@ def _ip_round(half: Column, key: str, k: int) -> Column:
 
 def _canonical(x: Column, kind: Column) -> Column:
     """What two mentions of one entity share."""
-    return F.when(kind.isin("email", "name"), F.lower(x)).otherwise(x)
+    return F.when(kind.isin("email", "name"), F.lower(x)).when(kind.isin("phone", "card", "iban"), F.regexp_replace(x, "[^0-9A-Z+]", "")).otherwise(x)
 
 
 @shielded
@@ -183,7 +195,7 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text", keep: li
     """Columns of keep (all by default), __text (with surrogates) and __entities (kind, number) for each row.
 
     Digits are permuted with the key within their format (so distinct numbers stay distinct), a card's check digit
-    stays as valid as it was, and a phone's country code stays; addresses of one mail domain share a domain, and keep
+    stays as valid as it was, and a phone's country code stays, however the number is written; addresses of one mail domain share a domain, and keep
     the local part's separators; a name
     after a title keeps title, gender and script, and bearers of a family name share its surrogate; IBAN check digits
     stay as valid as they were. Mentions of one entity share a surrogate in all documents.
