@@ -32,6 +32,19 @@ def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return parts.withColumn("_upto", upto).join(before, same).select(*keys, value, "_n", (F.col("_before") + F.col("_upto")).alias("_upto"))
 
 
+def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds, for each of columns, {column}_upto: its sum over the keys' rows up to this one in the order, by range parts.
+    No two rows of the keys are equal in the order; keys and columns have no nulls."""
+    parts = range_parts(df, [*keys, order])
+    sums = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_w_{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"_w_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in columns])  # a row for each part
+    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = parts.withColumns({f"{c}_upto": F.sum(c).over(within) for c in columns})
+    d = own.join(before, [*keys, "_part"])
+    return d.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_b_{c}") for c in columns}).drop("_part", *[f"_b_{c}" for c in columns])
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: tuple[float, ...]) -> DataFrame:
     """Rows (keys, q): for each keys the exact quantiles at probs, interpolated, of the values that aren't null.
 

@@ -103,7 +103,9 @@ def toggles_per_hour(df: DataFrame, signal: str, lo: int, hi: int, r: Roles = VI
 def run_summary(df: DataFrame, signals: list[str], state: int = 0, r: Roles = VIEW) -> DataFrame:
     """Lengths of the runs of a state, in minutes of samples."""
     runs = series_runs(df, signals, r).filter(F.col("state") == state).withColumn("mins", F.col("n") * r.sample_seconds / 60)
-    return runs.groupBy("signal").agg(F.count(F.lit(1)).alias("n_runs"), F.bround(F.percentile("mins", 0.5), 2).alias("median_min"), F.bround(F.percentile("mins", 0.9), 2).alias("p90_min"), F.bround(F.max("mins"), 1).alias("max_min"), F.bround(F.sum("mins"), 1).alias("total_min"), F.count_if(F.col("mins") > 60).alias("n_runs_over_1h"))
+    sums = runs.groupBy("signal").agg(F.count(F.lit(1)).alias("n_runs"), F.max("mins").alias("_max"), F.sum("mins").alias("_sum"), F.count_if(F.col("mins") > 60).alias("n_runs_over_1h"))
+    d = sums.join(quantiles(runs, ["signal"], "mins", (0.5, 0.9)), "signal")
+    return d.select("signal", "n_runs", F.bround(F.get("q", 0), 2).alias("median_min"), F.bround(F.get("q", 1), 2).alias("p90_min"), F.bround("_max", 1).alias("max_min"), F.bround("_sum", 1).alias("total_min"), "n_runs_over_1h")
 
 
 def effect_sizes(df: DataFrame, group: Column, features: list[str], reference: str, other: str, digital: list[str], extra: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles as exact_quantiles
+from tidemark.functions.quantiles import running_sums
 from tidemark.operators.labels import FAILURES
 from tidemark.plans.scoring import targets
 from tidemark.schema import HOUR_US
@@ -29,25 +31,24 @@ def by_score(long: DataFrame) -> DataFrame:
 
 def roc_auc(counts: DataFrame) -> DataFrame:
     """Chance that a positive outscores a negative; ties count half."""
-    below = Window.partitionBy("model", "target").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    d = counts.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
+    d = running_sums(counts, ["model", "target"], "score", ["neg"])
+    won = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
     return d.groupBy("model", "target").agg(F.try_divide(won, F.sum("pos") * F.sum("neg")).alias("roc_auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def average_precision(counts: DataFrame) -> DataFrame:
     """Sum over thresholds of the step in recall times the precision."""
-    down = Window.partitionBy("model", "target").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    d = counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    return d.groupBy("model", "target").agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.sum("pos")).alias("pr_auc"))
+    d = running_sums(counts.withColumn("_down", -F.col("score")), ["model", "target"], "_down", ["pos", "neg"])
+    step = F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))
+    return d.groupBy("model", "target").agg(F.try_divide(F.sum(step), F.sum("pos")).alias("pr_auc"))
 
 
 def evaluate(scored: DataFrame, models: list[str], q: float = 0.99, failures=FAILURES, hours: int = 48, window_hours: float = 1.0) -> DataFrame:
     """One row for each (model, target)."""
     long = long_table(scored, models, failures, hours)
-    cut = scored.filter("is_val").agg(*[F.percentile(m, q).alias(m) for m in models])
-    thr = cut.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("thr")) for m in models])).alias("x")).select("x.*")  # a row for each model
-    over = long.join(F.broadcast(thr), "model").withColumn("hit", F.coalesce((F.col("score") > F.col("thr")).cast("int"), F.lit(0)))
+    valid = scored.filter("is_val").select(*[F.col(m).cast("double").alias(m) for m in models]).unpivot([], models, "model", "score")
+    thr = exact_quantiles(valid, ["model"], "score", (q,)).select("model", F.get("q", 0).alias("thr"))  # a row for each model
+    over = long.join(F.broadcast(thr), "model", "left").withColumn("hit", F.coalesce((F.col("score") > F.col("thr")).cast("int"), F.lit(0)))
     first = F.min(F.when((F.col("y") == 1) & (F.col("hit") == 1) & (F.col("ws") < F.col("start")), F.col("ws")))
     at = over.groupBy("model", "target").agg(
         F.coalesce(F.try_divide(F.sum(F.col("y") * F.col("hit")), F.sum("hit")), F.lit(0.0)).alias("precision"),
@@ -62,8 +63,8 @@ def evaluate(scored: DataFrame, models: list[str], q: float = 0.99, failures=FAI
 
 def threshold_sweep(scored: DataFrame, score: str = "zmax", quantiles=(0.9, 0.95, 0.99, 0.995, 0.999), failures=FAILURES, hours: int = 48, window_hours: float = 1.0) -> DataFrame:
     """False alarms per day and lead time of each failure at each quantile of the validation scores."""
-    cut = scored.filter("is_val").agg(F.percentile(score, F.array(*[F.lit(q) for q in quantiles])).alias("thrs"))
-    qs = cut.select(F.posexplode("thrs").alias("k", "thr")).withColumn("quantile", F.element_at(F.array(*[F.lit(q) for q in quantiles]), F.col("k") + 1)).select("quantile", "thr")  # a row for each quantile
+    cut = exact_quantiles(scored.filter("is_val"), [], score, tuple(quantiles))
+    qs = cut.select(F.posexplode("q").alias("k", "thr")).withColumn("quantile", F.element_at(F.array(*[F.lit(q) for q in quantiles]), F.col("k") + 1)).select("quantile", "thr")  # a row for each quantile
     near = F.array_compact(F.array(*[F.when((F.col("ws") >= lo) & (F.col("ws") < start), F.struct(F.lit(n).alias("failure"), F.lit(start).alias("start"))) for n, lo, _, start in targets(failures, hours)]))
     d = scored.select(score, "ws", "is_val", near.alias("near")).crossJoin(F.broadcast(qs)).withColumn("hit", F.col(score) > F.col("thr"))
     alarms = d.filter("is_val").groupBy("quantile").agg((F.avg(F.col("hit").cast("int")) * (24 / window_hours)).alias("fa_per_day"))

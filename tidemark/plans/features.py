@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import registry
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators.joins import lookback
 from tidemark.operators.labels import label, majority
 from tidemark.operators.timeline import grid, islands, lagged, segmented, segments, windowed, with_lag
@@ -140,7 +141,9 @@ def with_regime(features: DataFrame, min_cycles: int = 3, locked: float = 0.8, i
 def prepared(features: DataFrame, scope: Column | None = None) -> DataFrame:
     """Adds {column}_missing and fills nulls with the median of healthy windows (or of scope)."""
     where = (F.col("label") == "healthy") if scope is None else scope
-    medians = features.filter(where).agg(*[F.percentile(c, 0.5).alias(f"_m_{c}") for c in FILLED])
+    long = features.filter(where).select(*[F.col(c).cast("double").alias(c) for c in FILLED]).unpivot([], list(FILLED), "name", "value")
+    found = F.map_from_entries(F.collect_list(F.struct("name", F.get("q", 0))))  # an entry for each column
+    medians = quantiles(long, ["name"], "value", (0.5,)).agg(found.alias("_m")).select(*[F.try_element_at("_m", F.lit(c)).alias(f"_m_{c}") for c in FILLED])
     d = features.crossJoin(F.broadcast(medians))  # one row
     d = d.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in FILLED})
     return d.withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in FILLED}).drop(*[f"_m_{c}" for c in FILLED])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import quantiles
 from tidemark.operators.labels import FAILURES
 from tidemark.operators.timeline import lagged_many, running_count
 from tidemark.plans.features import SCORED, prepared
@@ -57,7 +58,7 @@ def top_drivers(columns=SCORED, k: int = 6) -> Column:
 
 def threshold(scored: DataFrame, q: float = 0.99, score: str = "zmax") -> DataFrame:
     """One row: the quantile of the validation windows' scores."""
-    return scored.filter("is_val").agg(F.percentile(score, q).alias("thr"))
+    return quantiles(scored.filter("is_val"), [], score, (q,)).select(F.get("q", 0).alias("thr"))
 
 
 def scored(features: DataFrame, q: float = 0.99, columns=SCORED) -> DataFrame:

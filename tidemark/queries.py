@@ -218,10 +218,11 @@ def a19_gap_context(spark, d):
     for f in FAILURES:
         near = near | ((F.col("gap_end") >= f.start - 3 * DAY_US) & (F.col("gap_start") <= f.end + 3 * DAY_US))
     g = g.withColumn("near", near)
-    med = lambda c: F.bround(F.percentile(F.when(c, F.col("gap_minutes")), 0.5), 1)
-    base = g.agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"), med(F.col("near")).alias("median_near_min"), med(~F.col("near")).alias("median_far_min"), F.bround(F.max(F.when(F.col("near"), F.col("gap_minutes"))), 1).alias("max_near_min"))
+    g = stored(g)
+    halves = quantiles(g, ["near"], "gap_minutes", (0.5,)).agg(*[F.bround(F.max(F.when(F.col("near") == side, F.get("q", 0))), 1).alias(name) for side, name in ((True, "median_near_min"), (False, "median_far_min"))])  # two rows
+    base = g.agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_far"), F.bround(F.max(F.when(F.col("near"), F.col("gap_minutes"))), 1).alias("max_near_min"))
     top = g.orderBy(F.desc("gap_minutes"), "gap_start").limit(20).agg(F.bround(features.share(F.col("near")), 2).alias("share_of_top20_near"))
-    return base.crossJoin(top)  # one row each
+    return base.crossJoin(halves).crossJoin(top)  # one row each
 
 
 @query
@@ -245,7 +246,8 @@ def a24_base_rates(spark, d):
     g = joins.nearest_event(found_gaps(spark, d), failure_table(spark), "gap_start")
     span = view(spark, d).agg(((F.max("us") - F.min("us")) / DAY_US).alias("span_days"))
     n = 3 * len(FAILURES) - sum(f.maintenance is None for f in FAILURES)
-    out = g.agg(features.share(F.col("days_away") <= 3).alias("share_within_3d"), F.percentile("days_away", 0.5).alias("median_days")).crossJoin(span)  # one row each
+    middle = quantiles(g, [], "days_away", (0.5,)).select(F.get("q", 0).alias("median_days"))
+    out = g.agg(features.share(F.col("days_away") <= 3).alias("share_within_3d")).crossJoin(middle).crossJoin(span)  # one row each
     return rounded(out.select("share_within_3d", "median_days", F.least(F.lit(1.0), F.lit(6.0 * n) / F.col("span_days")).alias("chance")))
 
 
@@ -315,7 +317,7 @@ def a36_hourly_probe(spark, d):
 @query
 def a39_score_summary(spark, d):
     s = score_table(spark, d)
-    return rounded(s.agg(*[F.avg(F.when(F.col(c), F.col("zmax"))).alias(f"mean_{c}") for c in ("is_train", "is_val", "is_eval_fail", "is_eval_degr")], F.percentile("zmax", 0.5).alias("median_all")))
+    return rounded(s.agg(*[F.avg(F.when(F.col(c), F.col("zmax"))).alias(f"mean_{c}") for c in ("is_train", "is_val", "is_eval_fail", "is_eval_degr")]).crossJoin(quantiles(s, [], "zmax", (0.5,)).select(F.get("q", 0).alias("median_all"))))  # one row each
 
 
 @query
@@ -636,7 +638,9 @@ def ev10_false_alarms(spark, d):
 @query
 def ev11_descriptive(spark, d):
     s = score_table(spark, d)
-    return rounded(s.filter(F.col("label").isin("healthy", "prefail", "infail")).groupBy("label").agg(F.percentile("zmax", 0.5).alias("median_z"), F.count(F.lit(1)).alias("n")), 5)
+    s = s.filter(F.col("label").isin("healthy", "prefail", "infail"))
+    middle = quantiles(s, ["label"], "zmax", (0.5,)).select("label", F.get("q", 0).alias("median_z"))
+    return rounded(s.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(middle, "label"), 5)
 
 
 # --- status and alarms
