@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.plans import boosting, models
@@ -139,7 +140,10 @@ def test_kernel_features_and_rings(spark):
     x, phi = np.array([[r.c0, r.c1] for r in rows]), np.array([r.p for r in rows])
     exact = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(phi @ phi.T - exact).mean() < 0.02 and np.abs(phi @ phi.T - exact).max() < 0.1
+    seen = Observation()
+    d.observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 400  # from now on the session can't be sent to tasks, nor can models that hold it
     right = {}
     for name, learner in (("linear", models.LinearSVC(featuresCol="_x", labelCol="_y", maxIter=50)), ("kernel", models.KernelSVC())):
-        right[name] = learner.fit(d).transform(d).agg(F.avg((F.col("prediction") == F.col("_y")).cast("int"))).first()[0]
+        right[name] = models.detached(learner.fit(d)).transform(d).agg(F.avg((F.col("prediction") == F.col("_y")).cast("int"))).first()[0]
     assert right["kernel"] > 0.97 > 0.75 > right["linear"]

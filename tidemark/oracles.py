@@ -321,8 +321,8 @@ ORACLES: dict[str, str] = {
     "j6_members_of_many": f"""WITH {_MANY}, b AS (SELECT t, sum(n) OVER (ORDER BY t) AS begun FROM (SELECT s AS t, count(*) AS n FROM many GROUP BY s)), o AS (SELECT t, sum(n) OVER (ORDER BY t) AS over FROM (SELECT e AS t, count(*) AS n FROM many GROUP BY e)),
  r AS (SELECT event_id, epoch_us(ts) + 130000000 AS a FROM events), x AS (SELECT event_id, a, coalesce(begun, 0) AS begun FROM r ASOF LEFT JOIN b ON a >= b.t) SELECT event_id, begun > coalesce(over, 0) AS inside FROM x ASOF LEFT JOIN o ON a > o.t""",
     "st1_tumbling": f"""WITH {_V}, {_PASSED} SELECT series_id, ws, ws + {H} AS we, count(*) AS n, round(avg(dv), 6) AS duty, round(quantile_cont(a1, 0.5), 6) AS oil_median, round(CASE WHEN count(*) > 1 THEN stddev_samp(a1) END, 6) AS oil_std,
- round(regr_slope(a1, (us - ws) / 1e6), 6) AS oil_trend, round(avg(CASE WHEN comp + dv = 1 THEN 1 ELSE 0 END), 6) AS antiphase_share FROM (SELECT *, us // {H} * {H} AS ws FROM v), passed WHERE ws + {H} <= wm GROUP BY series_id, ws""",
-    "st2_sliding": f"""WITH {_V}, {_PASSED} SELECT ws, ws + {H} AS we, count(*) AS n, round(avg(dv), 6) AS duty, round(regr_slope(a1, (us - ws) / 1e6), 6) AS oil_trend
+ round(CASE WHEN count(*) > 1 THEN regr_slope(a1, (us - ws) / 1e6) END, 6) AS oil_trend, round(avg(CASE WHEN comp + dv = 1 THEN 1 ELSE 0 END), 6) AS antiphase_share FROM (SELECT *, us // {H} * {H} AS ws FROM v), passed WHERE ws + {H} <= wm GROUP BY series_id, ws""",
+    "st2_sliding": f"""WITH {_V}, {_PASSED} SELECT ws, ws + {H} AS we, count(*) AS n, round(avg(dv), 6) AS duty, round(CASE WHEN count(*) > 1 THEN regr_slope(a1, (us - ws) / 1e6) END, 6) AS oil_trend
  FROM (SELECT *, us // {H // 3} * {H // 3} - unnest([0, {H // 3}, {2 * (H // 3)}]) AS ws FROM v), passed WHERE ws + {H} <= wm GROUP BY ws""",
     "st3_gap_sessions": f"""WITH {_SEG}, {_PASSED} SELECT 'S1' AS series_id, seg_start, seg_end, n FROM segs, med, passed WHERE seg_end + CAST(floor(10 * m) AS BIGINT) <= wm""",
     "st4_coverage": f"""WITH {_L}, {_PASSED}, x AS (SELECT greatest(1, CAST(round_even({H} / m, 0) AS BIGINT)) AS e FROM med), w AS (SELECT us // {H} * {H} AS ws, count(*) AS n FROM v GROUP BY ALL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, Logisti
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +24,7 @@ from tidemark.plans.boosting import Boosted, ada_boost, boost, matrix_of, values
 from tidemark.plans.evaluation import average_precision, by_score, roc_auc
 from tidemark.plans.features import SCORED
 from tidemark.plans.scoring import targets
-from tidemark.storage import stored
+from tidemark.storage import checkpoint_folder, stored
 
 #: Columns that say which window it is, and don't enter the model matrix.
 BOOKKEEPING = ("series_id", "seg", "win", "ws", "we", "label", "n_samples")
@@ -171,7 +172,17 @@ class KernelSVC(Estimator):
         gamma = self.gamma or 1 / (found["d"] * (found["v"] or 1.0))
         waves = FourierFeatures(found["d"], gamma, self.size, seed=self.seed)
         linear = LinearSVC(featuresCol="_phi", labelCol="_y", weightCol="_weight", maxIter=self.max_iter, standardization=False)
-        return PipelineModel([waves, linear.fit(waves.transform(dataset))])
+        return PipelineModel([waves, detached(linear.fit(waves.transform(dataset)))])
+
+
+def detached(model):
+    """A fitted model as it is when written and read again: without the summary of its training, which holds the session
+    and, once something has been observed in that, can't be sent to tasks."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = f"{checkpoint_folder(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
 
 
 @dataclass(frozen=True)
@@ -237,7 +248,7 @@ def leave_one_out(features: DataFrame, learners: dict[str, Callable[[], Estimato
 
 def _scores(name: str, learner: Estimator, d: DataFrame, held: str) -> DataFrame:
     healthy = F.col("fail_of").isNull()
-    out = learner.fit(weighted(d.filter(healthy | (F.col("fail_of") != held)))).transform(d.filter(healthy | (F.col("fail_of") == held)))
+    out = detached(learner.fit(weighted(d.filter(healthy | (F.col("fail_of") != held))))).transform(d.filter(healthy | (F.col("fail_of") == held)))
     return out.select(F.lit(name).alias("model"), F.lit(held).alias("target"), _margin(out).alias("score"), F.col("_y").alias("y"))
 
 
