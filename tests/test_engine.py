@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.operators import episodes, joins, labels, quality, timeline
 from tidemark.functions import quantiles, stats
-from tidemark.plans import alarms, evaluation, features, models, scoring
+from tidemark.plans import alarms, evaluation, features, models, scorers, scoring
 from tidemark.schema import HOUR_US, VIEW
 
 S = 1_000_000
@@ -133,6 +134,7 @@ def test_alarms_fire_when_severity_rises(spark):
     s = alarms.status(d, F.lit(2.0), F.lit(4.0))
     assert [r.status for r in s.orderBy("ws").collect()] == ["healthy", "alert", "alert", "critical", "critical", "healthy", "alert"]
     assert [(r.idx, r.level) for r in alarms.alarms(s).orderBy("idx").collect()] == [(1, "alert"), (3, "critical"), (6, "alert")]
+    assert [(r.idx, r.level) for r in alarms.alarms(s, 3).orderBy("idx").collect()] == [(1, "alert"), (3, "critical")]  # a replay
     assert s.select(alarms.suspected_fault(F.lit("nothing"))).first()[0] == "abnormal behavior"
 
 
@@ -142,6 +144,13 @@ def test_mahalanobis_and_forecast_have_the_expected_order(spark):
     d = spark.createDataFrame(data, "series_id string, ws long, seg int, win int, label string, x double, y double, z double")
     out, condition = scoring.mahalanobis(scoring.time_split(d), ("x", "y", "z"))
     assert condition < 1e3 and out.orderBy(F.desc("mahalanobis")).first().ws == 60
+    bare = d.withColumns({"none": F.lit(None).cast("double"), "same": F.lit(1.0)})
+    with_null, _ = scoring.mahalanobis(scoring.time_split(bare), ("x", "y", "z", "none"))
+    assert with_null.filter("mahalanobis IS NULL").count() == 0 and with_null.orderBy(F.desc("mahalanobis")).first().ws == 60
+    flat, _ = scoring.mahalanobis(scoring.time_split(bare), ("same",))
+    assert {r.mahalanobis for r in flat.collect()} == {0.0}
+    nothing, number = scoring.mahalanobis(scoring.time_split(d.filter("label = 'prefail'")), ("x", "y"))
+    assert [r.mahalanobis for r in nothing.collect()] == [None] and np.isnan(number)
     f = scoring.forecast_residual(d, "x", lags=3)
     assert f.filter("ws < 3").agg(F.max("forecast_residual")).first()[0] == 0 and f.orderBy(F.desc("forecast_residual")).first().ws == 60
 
@@ -211,12 +220,43 @@ def test_forest_and_residual_find_the_outliers(spark):
     out = models.isolation_forest(split, ("x", "y")).collect()
     bad, good = ([r.iforest for r in out if (r.label == "prefail") == b] for b in (True, False))
     assert all(0 < r.iforest < 1 for r in out) and np.mean([b > g for b in bad for g in good]) > 0.9
+    again = models.isolation_forest(split.repartition(7), ("x", "y")).collect()  # however the rows are dealt
+    assert {(r.win, r.iforest) for r in again} == {(r.win, r.iforest) for r in out}
+    grown = models._trees(split, ("x", "y"), 5, 32, 1).toPandas()
+    assert sorted(grown["tree"].unique()) == list(range(5)) and set(grown["size"]) == {32}
     assert models.isolation_forest(split.limit(0), ("x", "y")).count() == 0
     r = models.anchored_residual(d, ("x",), ("x", "z")).collect()  # z tells x, but not in the failures
     bad, good = ([v.anchored_residual for v in r if (v.label == "prefail") == b] for b in (True, False))
     assert np.std(good) > 0 and np.mean([b > g for b in bad for g in good]) > 0.9
 
 
+def test_scorers_are_judged_side_by_side(spark):
+    d, fails = windows(spark)
+    split = scoring.time_split(d)
+
+    @registry.register("scorer", "sum_of_two")
+    def two(table, columns):
+        return table.withColumn("sum_of_two", F.col("x") + F.col("y"))
+
+    registry.register("scorer", "odd")(lambda table, columns: table.withColumn("other", F.lit(1.0)))
+    try:
+        names = ["zmax", "mahalanobis", "iforest", "sum_of_two"]
+        out = scorers.with_scores(split, names, ("x", "y"))
+        assert out.columns == [*split.columns, *names] and out.count() == split.count()
+        alone = {r.win: r.mahalanobis for r in scoring.mahalanobis(split, ("x", "y"))[0].collect()}
+        assert {r.win: r.mahalanobis for r in out.collect()} == alone
+        table = {(r.model, r.target): r for r in evaluation.evaluate(out, names, failures=fails, hours=4).collect()}
+        assert set(table) == {(m, t) for m in names for t in ("A", "B")} and all(r.roc_auc > 0.7 for r in table.values())
+        assert scorers.with_scores(out, names, ("x", "y")) is out  # what is there stays
+        with pytest.raises(ValueError, match="odd must add"):
+            scorers.with_scores(split, ["odd"], ("x",))
+        with pytest.raises(KeyError, match="no scorer named what"):
+            scorers.with_scores(split, ["what"])
+    finally:
+        registry.unregister("scorer", "sum_of_two")
+        registry.unregister("scorer", "odd")
+
+
 def test_held_out_failures_are_told_by_the_others(spark):
     d, fails = windows(spark)
     out = models.leave_one_out(d, columns=("x", "y"), failures=fails, hours=4).collect()

@@ -237,7 +237,7 @@ def test_typed_scan_and_sinks(spark, raw_csv, tmp_path):
 def test_pipeline_from_end_to_end(spark, raw_csv, tmp_path):
     names = {"processed": "r.parquet", "failure_windows": "f", "features": "feat.parquet", "scores": "s.parquet", "evaluation": "e"}
     raw = {
-        "paths": {"raw_csv": raw_csv, **{k: str(tmp_path / v) for k, v in names.items()}}, "preprocessing": {"expected_interval_seconds": 60, "gap_threshold_seconds": 300},
+        "scorers": ["zmax", "mahalanobis", "forecast_residual"], "paths": {"raw_csv": raw_csv, **{k: str(tmp_path / v) for k, v in names.items()}}, "preprocessing": {"expected_interval_seconds": 60, "gap_threshold_seconds": 300},
         "failure_windows": [{"failure_id": "F1", "fault_type": "leak", "start": "2024-01-04 12:00", "end": "2024-01-04 14:00"}],
     }
     config = tmp_path / "configs" / "config.json"
@@ -245,7 +245,8 @@ def test_pipeline_from_end_to_end(spark, raw_csv, tmp_path):
     config.write_text(json.dumps(raw))
     assert pipeline.main(["--config", str(config)]) == 0
     scores = spark.read.parquet(str(tmp_path / "s.parquet"))
-    assert scores.count() == 49 and scores.filter("zmax IS NULL").count() == 0
+    assert scores.count() == 49 and scores.filter("zmax IS NULL OR mahalanobis IS NULL OR forecast_residual IS NULL").count() == 0
+    assert {r.model for r in spark.read.csv(str(tmp_path / "e"), header=True).collect()} == set(raw["scorers"])
     raw["checks"] = {"analog_ranges": [{"sensor": "TP2", "min": 0, "max": 0.5}]}
     config.write_text(json.dumps(raw))
     assert pipeline.main(["--config", str(config), "--stage", "preprocess"]) == 1

@@ -27,6 +27,8 @@ class Config:
     off_max: float = 1.0
     offloaded_max: float = 4.75
     threshold_q: float = 0.99
+    #: Scores that are computed and judged; alarms go by zmax.
+    scorers: list[str] = field(default_factory=lambda: ["zmax"])
 
     @classmethod
     def of(cls, raw: dict, root: str | Path = ".") -> Config:
@@ -42,7 +44,7 @@ class Config:
             twin_eps=checks.get("tp3_reservoirs_eps", 0.01), twin_max=checks.get("tp3_reservoirs_max", 0.5), antiphase_eps=checks.get("valve_antiphase_eps", 0.02),
             failures=[Failure(f["failure_id"], f["fault_type"], when(f["start"]), when(f["end"]), when(f.get("maintenance"))) for f in raw.get("failure_windows", [])],
             degraded=span(labels.get("degraded_periods", [])), invalid=span(labels.get("invalid_periods", [])),
-            off_max=modes.get("off_max", 1.0), offloaded_max=modes.get("offloaded_max", 4.75), threshold_q=raw.get("threshold_q", 0.99),
+            off_max=modes.get("off_max", 1.0), offloaded_max=modes.get("offloaded_max", 4.75), threshold_q=raw.get("threshold_q", 0.99), scorers=list(raw.get("scorers", ["zmax"])),
         )
 
     @classmethod

@@ -487,7 +487,7 @@ ORACLES |= {
     "ev10_high_healthy": f"""WITH {_SCORE} SELECT CAST(month({_AT}) AS INTEGER) AS month, count(*) AS n, min(ws) AS first_ws
  FROM scored WHERE is_val AND zmax > thr * 0.75::DOUBLE GROUP BY 1""",
     "j10_window_of_key": f"""WITH {_STATUS} SELECT f.ws, round(f.duty, 4) AS duty, round(f.oil_median, 4) AS oil_median, f.label
- FROM f JOIN al ON f.ws = al.ws WHERE level = 'critical'""",
+ FROM f JOIN al ON f.ws = al.ws""",
     "w12_tail": f"WITH {_IDX} SELECT idx, ws, {_R('zmax', 5)} FROM n WHERE idx BETWEEN {500 - 14 * 24} AND 500",
     "m1_matrix": f"""WITH {_FEAT} SELECT seg, win, CAST(motor_frozen AS INTEGER) AS motor_frozen, CAST(tp3_frozen AS INTEGER) AS tp3_frozen,
  {", ".join(f"CAST(cycling_regime = '{r}' AS INTEGER) AS regime_{r}" for r in ("cycling", "idle", "locked"))}, rising_edges, round(duty, 4) AS duty
@@ -507,3 +507,117 @@ ORACLES |= {
     "r8_strings": """SELECT upper(substr(c_mktsegment, 1, 4)) AS segment, suffix(c_name, '7') AS ends_with_7, count(*) AS n, max(lower(c_mktsegment) || '/' || c_name) AS last
  FROM customer GROUP BY 1, 2""",
 }
+
+
+# --- episodes from slices, spectra, matrices
+
+
+def _state_episodes(state: str, lo: int, hi: int, coarse: int = 6 * H, fine: int = H // 4) -> str:
+    def slices(name: str, step: int) -> str:
+        return f"""{name} AS (SELECT k, coalesce(state, false) AS state FROM (SELECT unnest(range({-(-(hi - lo) // step)})) AS k)
+ LEFT JOIN (SELECT (us - {lo}) // {step} AS k, {state} AS state FROM v WHERE us >= {lo} AND us < {hi} GROUP BY 1) USING (k))"""
+
+    return f"""WITH {_V}, {slices("co", coarse)}, {slices("fi", fine)},
+ fl AS (SELECT k, state FROM (SELECT *, coalesce(lag(state) OVER (ORDER BY k), false) AS was FROM co) WHERE state <> was),
+ pl AS (SELECT fl.k, fl.state, coalesce({lo} + min(fi.k) * {fine}, {lo} + fl.k * {coarse}) AS t FROM fl
+ LEFT JOIN fi ON fi.k // {coarse // fine} BETWEEN fl.k - 1 AND fl.k AND fi.state = fl.state GROUP BY fl.k, fl.state),
+ cl AS (SELECT k, state, max(t) OVER (ORDER BY k) AS t FROM pl),
+ nx AS (SELECT *, coalesce(lead(t) OVER (ORDER BY k), {hi}) AS u FROM cl)
+ SELECT t AS episode_start, u AS episode_end FROM nx WHERE state AND u > t"""
+
+
+def _eliminated(name: str, p: int) -> str:
+    """Gauss-Jordan steps on the table {name}0 (i, j, v) of p rows; the last table is {name}{p}."""
+    return ",\n ".join(
+        f"""{name}{k + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN a.i = {k} THEN a.v / d.v ELSE a.v - c.v * r.v / d.v END AS v
+ FROM {name}{k} a JOIN {name}{k} r ON r.i = {k} AND r.j = a.j JOIN {name}{k} c ON c.i = a.i AND c.j = {k}
+ JOIN {name}{k} d ON d.i = {k} AND d.j = {k})"""
+        for k in range(p)
+    )
+
+
+_P = len(SCORED)
+#: Shrunk covariance sh, its inverse inv, and the distances mh of all windows of sp.
+_MAHALANOBIS = f"""cx AS (SELECT seg, win, is_train, unnest(range({_P})) AS i,
+ unnest([{", ".join(f"coalesce({c} - avg({c}) FILTER (is_train) OVER (), 0)" for c in SCORED)}]) AS x FROM sp),
+ q4 AS (SELECT avg(q * q) AS q4, count(*) AS n FROM (SELECT sum(x * x) AS q FROM cx WHERE is_train GROUP BY seg, win)),
+ cv AS MATERIALIZED (SELECT a.i, b.i AS j, avg(a.x * b.x) AS v FROM cx a JOIN cx b USING (seg, win) WHERE a.is_train GROUP BY a.i, b.i),
+ mm AS (SELECT sum(v) / {_P} AS m FROM cv WHERE i = j),
+ dl AS (SELECT sum((v - CASE WHEN i = j THEN m ELSE 0 END) ** 2) / {_P} AS d, sum(v * v) AS fro FROM cv, mm),
+ wt AS (SELECT CASE WHEN d > 0 THEN least((q4 - fro) / (n * {_P}), d) / d ELSE 0 END AS w FROM dl, q4),
+ sh AS MATERIALIZED (SELECT i, j, (1 - w) * v + CASE WHEN i = j THEN w * m ELSE 0 END AS v FROM cv, mm, wt),
+ ge0 AS MATERIALIZED (SELECT * FROM sh UNION ALL SELECT i, i2 + {_P}, CASE WHEN i = i2 THEN 1.0::DOUBLE ELSE 0 END
+ FROM (SELECT unnest(range({_P})) AS i), (SELECT unnest(range({_P})) AS i2)),
+ {_eliminated("ge", _P)},
+ inv AS MATERIALIZED (SELECT i, j - {_P} AS j, v FROM ge{_P} WHERE j >= {_P}),
+ mh AS (SELECT a.seg, a.win, sqrt(greatest(sum(a.x * v * b.x), 0)) AS mahalanobis FROM cx a JOIN cx b USING (seg, win)
+ JOIN inv ON inv.i = a.i AND inv.j = b.i GROUP BY a.seg, a.win)"""
+_LAGS = 6
+#: Distances fr of all windows of p from a ridge regression on the last ones of their segment.
+_FORECAST = f"""lg AS (SELECT *, coalesce(s{_LAGS} = seg AND y IS NOT NULL AND {" AND ".join(f"y{k} IS NOT NULL" for k in range(1, _LAGS + 1))}, false) AS usable FROM
+ (SELECT seg, win, label, oil_median AS y, lag(seg, {_LAGS}) OVER o AS s{_LAGS}, {", ".join(f"lag(oil_median, {k}) OVER o AS y{k}" for k in range(1, _LAGS + 1))}
+ FROM p WINDOW o AS (ORDER BY ws, win))),
+ fx AS (SELECT *, usable AND label = 'healthy' AS fits FROM lg),
+ rx AS (SELECT seg, win, fits, unnest(range({_LAGS + 1})) AS i,
+ unnest([{", ".join(f"{c} - avg({c}) FILTER (fits) OVER ()" for c in [*[f"y{k}" for k in range(1, _LAGS + 1)], "y"])}]) AS x FROM fx),
+ rg0 AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) + CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0 END AS v FROM rx a
+ JOIN rx b USING (seg, win) WHERE a.fits AND a.i < {_LAGS} GROUP BY a.i, b.i),
+ {_eliminated("rg", _LAGS)},
+ fr AS (SELECT seg, win, CASE WHEN usable THEN abs(e) ELSE 0 END AS forecast_residual FROM fx JOIN
+ (SELECT seg, win, sum(CASE WHEN rx.i = {_LAGS} THEN x ELSE -v * x END) AS e FROM rx
+ LEFT JOIN rg{_LAGS} b ON b.i = rx.i AND b.j = {_LAGS} GROUP BY seg, win) USING (seg, win))"""
+
+
+def _top_eigenvalue(name: str, src: str, squarings: int = 24) -> str:
+    """{name} (v): the largest eigenvalue of the positive table src (i, j, v), by squaring it until one direction is left."""
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {src} WHERE i = j) AS v FROM {src})"]
+    for k in range(squarings):
+        steps.append(f"{name}_s{k} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY a.i, b.j)")
+        steps.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM {name}_s{k} WHERE i = j) AS v FROM {name}_s{k})")
+    return ",\n ".join(steps) + f",\n {name} AS (SELECT sum(a.v * b.v) AS v FROM {src} a JOIN {name}_{squarings} b ON a.i = b.j AND a.j = b.i)"
+
+
+_SPECTRUM = f"""WITH {_SEG}, c AS (SELECT seg, win, us / 1e6 - min(us / 1e6) OVER w AS t, dv - avg(dv) OVER w AS y, count(*) OVER w AS n
+ FROM wr WINDOW w AS (PARTITION BY seg, win)),
+ u AS (SELECT seg, win, any_value(n) AS n, sum(y * y) AS yy FROM c GROUP BY seg, win),
+ fq AS (SELECT 1 / 3600::DOUBLE + k * ((1 / 60::DOUBLE - 1 / 3600::DOUBLE) / 199) AS f FROM (SELECT unnest(range(200)) AS k)),
+ a AS (SELECT seg, win, f, y, cos(2 * pi() * f * t) AS co, sin(2 * pi() * f * t) AS si FROM c JOIN u USING (seg, win), fq WHERE u.n >= 10 AND yy > 0),
+ g AS (SELECT seg, win, f, sum(co * co) - sum(co) ** 2 / count(*) AS cc, sum(si * si) - sum(si) ** 2 / count(*) AS ss,
+ sum(co * si) - sum(co) * sum(si) / count(*) AS cs, sum(y * co) - sum(y) * avg(co) AS yc, sum(y * si) - sum(y) * avg(si) AS ys FROM a GROUP BY seg, win, f),
+ w AS (SELECT seg, win, f, (ss * yc ** 2 - 2 * cs * yc * ys + cc * ys ** 2) / (cc * ss - cs ** 2) AS power FROM g),
+ x AS (SELECT seg, win, arg_max(f, power) AS best, -sum(p * ln(p + 1e-12)) AS entropy FROM
+ (SELECT *, power / sum(power) OVER (PARTITION BY seg, win) AS p FROM w) GROUP BY seg, win)
+ SELECT seg, win, round(best, 6) AS dominant_freq, round(entropy, 6) AS spectral_entropy FROM u LEFT JOIN x USING (seg, win)"""
+_MONTH = (_us("2024-01-01 00:00"), _us("2024-01-31 00:00"))
+
+
+def _lookback_rocs() -> str:
+    """ROC-AUC with cycle columns of the window and of the six hours up to its end."""
+    six = f"""lk AS (SELECT g.seg, g.win, v.us, v.event_id, v.dv FROM grid g JOIN v ON v.us > g.we - {6 * H} AND v.us <= g.we){_CYC.format(p="k_", k="seg, win", src="lk")},
+ f6 AS (SELECT f.* REPLACE (k.cv AS cycle_dur_cv, k.tr AS cycle_dur_trend) FROM f LEFT JOIN k_cyc k USING (seg, win))"""
+    one = f"WITH {_long()}{_ROC} SELECT 'zmax_1h' AS model, target, {_R('roc_auc')}, n_pos, n_neg FROM roc"
+    medians, filled = _PREP.removeprefix(_FEAT), f"WITH {_long()}{_ROC} SELECT 'zmax_6h' AS model, target, {_R('roc_auc')}, n_pos, n_neg FROM roc"
+    swapped = f", {six}{medians.replace('FROM f WHERE', 'FROM f6 WHERE').replace('FROM f, md', 'FROM f6, md')}"
+    return f"SELECT * FROM ({one}) UNION ALL SELECT * FROM ({filled.replace(medians, swapped)})"
+
+
+_THREE = ("zmax", "mahalanobis", "forecast_residual")
+_ALL_SCORES = _long(_THREE).replace(_SCORE, f"{_SCORE.replace(' scored AS (', ' scored0 AS (')}, {_MAHALANOBIS},\n {_FORECAST},\n scored AS (SELECT * FROM scored0 LEFT JOIN mh USING (seg, win) LEFT JOIN fr USING (seg, win))")
+ORACLES |= {
+    "e1_state_episodes": _state_episodes("avg(CASE WHEN dv = 0 THEN 1 ELSE 0 END) > 0.6::DOUBLE", *_MONTH),
+    "e2_stuck_instrument": _state_episodes("var_samp(a2) < 800 AND avg(CASE WHEN comp + dv = 1 THEN 1 ELSE 0 END) < 0.8::DOUBLE", *_MONTH),
+    "fe6_spectral": _SPECTRUM,
+    "m6_mahalanobis": f"WITH {_PREP}, {_split('p')}, {_MAHALANOBIS} SELECT seg, win, {_R4('mahalanobis')} FROM mh",
+    "m8_forecast_residual": f"WITH {_PREP}, {_FORECAST} SELECT seg, win, {_R4('forecast_residual')} FROM fr",
+    "m14_lookback": _lookback_rocs(),
+    "m16_condition": f"""WITH {_PREP}, {_split('p')}, {_MAHALANOBIS}, {_top_eigenvalue('big', 'sh')}, {_top_eigenvalue('low', 'inv')}
+ SELECT round(big.v * low.v, 2) AS condition FROM big, low""",
+    "d2_alarms_replayed": f"WITH {_STATUS} SELECT idx, ws, level FROM al WHERE idx <= 400",
+    "ev12_scorers": f"""WITH {_ALL_SCORES}{_ROC}{_AP},
+ cut AS ({" UNION ALL ".join(f"SELECT '{m}' AS model, quantile_cont({m}, CAST(0.99 AS DOUBLE)) AS cut FROM scored WHERE is_val" for m in _THREE)}),
+ per_target AS (SELECT model, target, coalesce(sum(y * hit) / CAST(nullif(sum(hit), 0) AS DOUBLE), 0) AS precision, sum(y * hit) / CAST(nullif(sum(y), 0) AS DOUBLE) AS recall,
+ CASE WHEN target <> 'degraded' THEN coalesce(round_even((max(start) - min(ws) FILTER (y = 1 AND hit = 1 AND ws < start)) / {H}.0::DOUBLE, 1), 0) END AS lead_h, avg(hit) FILTER (y = 0) * 24 AS fa_per_day
+ FROM (SELECT long.*, CASE WHEN score > cut THEN 1 ELSE 0 END AS hit FROM long JOIN cut USING (model)) GROUP BY model, target)
+ SELECT model, target, {", ".join(map(_R, ("precision", "recall", "lead_h", "fa_per_day", "roc_auc")))}, n_pos, n_neg, {_R("pr_auc")}
+ FROM per_target LEFT JOIN roc USING (model, target) LEFT JOIN ap USING (model, target) WHERE recall IS NOT NULL""",
+}

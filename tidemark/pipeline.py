@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Config
 from tidemark.operators import quality
 from tidemark.operators.timeline import with_lag
-from tidemark.plans import evaluation, features, scoring
+from tidemark.plans import evaluation, features, scorers, scoring
 from tidemark.schema import Roles, SensorSchema
 from tidemark.session import session
 from tidemark.sources import files
@@ -47,13 +47,13 @@ def build_features(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def score(spark: SparkSession, config: Config) -> DataFrame:
-    out = scoring.scored(files.read_parquet(spark, config.paths["features"]), config.threshold_q)
+    out = scorers.with_scores(scoring.scored(files.read_parquet(spark, config.paths["features"]), config.threshold_q), config.scorers)
     files.write_parquet(out, config.paths["scores"])
     return out
 
 
 def evaluate(spark: SparkSession, config: Config) -> DataFrame:
-    out = evaluation.evaluate(files.read_parquet(spark, config.paths["scores"]), ["zmax"], config.threshold_q, config.failures)
+    out = evaluation.evaluate(files.read_parquet(spark, config.paths["scores"]), config.scorers, config.threshold_q, config.failures)
     files.write_report(out, config.paths["evaluation"])
     return out
 

@@ -44,9 +44,10 @@ def severity(column: str = "status") -> Column:
     return F.when(F.col(column) == "watch", 1).when(F.col(column) == "alert", 2).when(F.col(column) == "critical", 3).otherwise(0)
 
 
-def alarms(with_status: DataFrame) -> DataFrame:
-    """Windows at which the severity rises, with their position idx in the series."""
+def alarms(with_status: DataFrame, up_to: int | None = None) -> DataFrame:
+    """Windows at which the severity rises, with their position idx in the series; of a replay, those up to a position."""
     d = lagged(indexed(with_status).withColumn("_now", severity()), {"_now": "_before"}, BY_TIME, MONTH_US)
+    d = d if up_to is None else d.filter(F.col("idx") <= up_to)
     return d.filter(F.col("_now") > F.coalesce("_before", F.lit(0))).select("series_id", "idx", "ws", "win", F.col("status").alias("level"), "zmax", "driver")
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, Logisti
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,20 +84,42 @@ def _mean_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
+def _trees(split: DataFrame, columns, trees: int, sample: int, seed: int) -> DataFrame:
+    """Isolation trees as rows (tree, size, node, column, cut, left, right, path), each grown by one task.
+
+    Of the training rows, trees * sample at most are taken, those of least hash; of these, each tree has the sample rows
+    of least hash with the tree's number. Nulls count as 0.
+    """
+    at = ("series_id", "seg", "win")
+    x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns])
+    rows = split.filter("is_train").select(F.xxhash64(F.lit(seed), *at).alias("h"), *at, x.alias("x"))
+    rows = rows.orderBy("h", *at).limit(trees * sample)  # a number of rows that doesn't grow
+    each = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "h"), "h", *at)
+    drawn = each.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("tree", "k", "x")
+
+    def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        tree, table = key[0].as_py(), table.sort_by("k")
+        v = np.array(table.column("x").to_pylist(), float)
+        nodes = _grow(v, np.random.default_rng([seed, tree]), max(1, int(np.ceil(np.log2(max(2, len(v)))))))
+        parts = [pa.array(c) for c in zip(*nodes, strict=True)]
+        return pa.table([pa.array([tree] * len(nodes), pa.int32()), pa.array([len(v)] * len(nodes), pa.int32()), pa.array(range(len(nodes)), pa.int32()), parts[0].cast(pa.int32()), parts[1].cast(pa.float64()), parts[2].cast(pa.int32()), parts[3].cast(pa.int32()), parts[4].cast(pa.float64())], ["tree", "size", "node", "column", "cut", "left", "right", "path"])
+
+    return drawn.groupBy("tree").applyInArrow(grow, "tree int, size int, node int, column int, cut double, left int, right int, path double")
+
+
 def isolation_forest(split: DataFrame, columns=SCORED, trees: int = 100, sample: int = 256, seed: int = 1) -> DataFrame:
     """Adds iforest, from 0 to 1: rows that few random cuts isolate score high (Liu et al., 2008).
 
-    Each tree sees sample training windows; all trees together see trees * sample at most, drawn by a hash of the window,
-    so the forest has a fixed size. Scores are computed where the windows are.
+    Each tree is grown by one task from sample training rows, drawn by hashes: the same rows give the same forest,
+    however they are partitioned. The forest, of 2 * trees * sample nodes at most, is sent to the tasks that score.
+    Without training rows the score is null.
     """
-    key = F.xxhash64(F.lit(seed), "series_id", "seg", "win")
-    train = split.filter("is_train").select(key.alias("k"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    rows = [r["x"] for r in train.orderBy("k").limit(trees * sample).collect()]  # a top-k of fixed size
-    if not rows:
+    grown = _trees(split, columns, trees, sample, seed).toPandas().sort_values(["tree", "node"])  # a model of fixed size
+    if grown.empty:
         return split.withColumn("iforest", F.lit(None).cast("double"))
-    rng, x = np.random.default_rng(seed), np.nan_to_num(np.array(rows, float))
-    size = min(sample, len(x))
-    forest = [np.array(_grow(x[rng.choice(len(x), size, replace=False)], rng, max(1, int(np.ceil(np.log2(max(2, size))))))) for _ in range(trees)]
+    size = int(grown["size"].iloc[0])
+    forest = [t[["column", "cut", "left", "right", "path"]].to_numpy(float) for _, t in grown.groupby("tree")]
     norm = _mean_path(size) or 1.0
 
     names = list(split.columns)

@@ -106,7 +106,8 @@ def forecast_residual(features: DataFrame, signal: str, lags: int = 6, alpha: fl
 def mahalanobis(split: DataFrame, columns=SCORED) -> tuple[DataFrame, float]:
     """Adds mahalanobis, the distance from the training mean under a Ledoit-Wolf covariance; and its condition number.
 
-    Moments come from two aggregates of fixed width; the matrix is inverted on the driver.
+    Moments come from two aggregates of fixed width; the matrix is inverted on the driver. A null counts as the mean; a
+    column without any training value tells nothing. Without training windows the distance is null.
     """
     import numpy as np
 
@@ -114,7 +115,9 @@ def mahalanobis(split: DataFrame, columns=SCORED) -> tuple[DataFrame, float]:
     p = len(columns)
     row = train.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()  # one row
     n, mu = row[0], row[1:]
-    x = [F.col(c) - F.lit(m) for c, m in zip(columns, mu, strict=True)]
+    if not n:
+        return split.withColumn("mahalanobis", F.lit(None).cast("double")), float("nan")
+    x = [F.coalesce(F.col(c) - F.lit(m), F.lit(0.0)) if m is not None else F.lit(0.0) for c, m in zip(columns, mu, strict=True)]
     square = sum((v * v for v in x[1:]), x[0] * x[0])
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = train.agg(F.sum(square * square), *[F.sum(x[i] * x[j]) for i, j in pairs]).first()  # one row
@@ -125,6 +128,6 @@ def mahalanobis(split: DataFrame, columns=SCORED) -> tuple[DataFrame, float]:
     delta = ((s - m * np.eye(p)) ** 2).sum() / p
     beta = min((sums[0] / n - (s**2).sum()) / (n * p), delta)
     shrunk = (beta / delta if delta else 0.0) * m * np.eye(p) + (1 - (beta / delta if delta else 0.0)) * s
-    inverse = np.linalg.inv(shrunk)
+    inverse = np.linalg.pinv(shrunk, hermitian=True)  # constant columns alone leave it singular
     total = sum((F.lit(float(inverse[i, j]) * (1 if i == j else 2)) * x[i] * x[j] for i, j in pairs[1:]), F.lit(float(inverse[0, 0])) * x[0] * x[0])
     return split.withColumn("mahalanobis", F.sqrt(F.greatest(total, F.lit(0.0)))), float(np.linalg.cond(shrunk))

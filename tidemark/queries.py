@@ -12,7 +12,7 @@ from tidemark.functions import sketches, stats
 from tidemark.operators import episodes, joins, labels, quality, timeline
 from tidemark.operators.labels import FAILURES, failure_table
 from tidemark.functions.quantiles import quantiles
-from tidemark.plans import alarms, evaluation, features, models, scoring, views
+from tidemark.plans import alarms, evaluation, features, models, scorers, scoring, views
 from tidemark.schema import DAY_US, HOUR_US, sensor_view
 from tidemark.session import ship
 from tidemark.storage import stored
@@ -662,6 +662,12 @@ def d2_alarms(spark, d):
     return alarms.alarms(status_table(spark, d)).select("idx", "ws", "level")
 
 
+@query
+def d2_alarms_replayed(spark, d):
+    """Alarms that a replay has raised when it stands at window 400."""
+    return alarms.alarms(status_table(spark, d), 400).select("idx", "ws", "level")
+
+
 @query
 def d3_alarm_groups(spark, d):
     return alarms.grouped_by_failure(alarms.alarms(status_table(spark, d))).groupBy("failure", "level").agg(F.count(F.lit(1)).alias("n"))
@@ -783,7 +789,7 @@ def ev10_high_healthy(spark, d):
 @query
 def j10_window_of_key(spark, d):
     """Features of the windows that hold an alarm, by the exact key of their start."""
-    keys = alarms.alarms(status_table(spark, d)).filter("level = 'critical'").select("series_id", "ws")
+    keys = alarms.alarms(status_table(spark, d)).select("series_id", "ws")
     return rounded(feature_table(spark, d).join(keys, ["series_id", "ws"]).select("ws", "duty", "oil_median", "label"), 4)
 
 
@@ -821,7 +827,7 @@ def o8_without_second(spark, d):
 @query
 def e2_stuck_instrument(spark, d):
     lo, hi = labels.us("2024-01-01 00:00"), labels.us("2024-01-31 00:00")
-    return episodes.state_episodes(view(spark, d), episodes.stuck_instrument(var_eps=900.0, anti_eps=0.6), lo, hi).drop("series_id")
+    return episodes.state_episodes(view(spark, d), episodes.stuck_instrument(var_eps=800.0, anti_eps=0.8), lo, hi).drop("series_id")
 
 
 @query
@@ -832,6 +838,7 @@ def m16_condition(spark, d):
 
 @query
 def m7_isolation_forest(spark, d):
+    ship(spark)
     return rounded(models.isolation_forest(score_table(spark, d)).select("seg", "win", "iforest"), 5)
 
 
@@ -874,6 +881,21 @@ def m14_lookback(spark, d):
     return rounded(evaluation.roc_auc(evaluation.by_score(long)))
 
 
+@query
+def ev12_scorers(spark, d):
+    """Three scores of all windows, judged alike."""
+    names = ["zmax", "mahalanobis", "forecast_residual"]
+    return rounded(evaluation.evaluate(scorers.with_scores(score_table(spark, d), names), names))
+
+
+@query
+def ev12_tree_scorers(spark, d):
+    """The scores that random and boosted trees give."""
+    ship(spark)
+    names = ["iforest", "anchored_residual"]
+    return rounded(evaluation.evaluate(scorers.with_scores(score_table(spark, d), names), names))
+
+
 # --- time frames, sketches, SQL text, table functions
 
 
