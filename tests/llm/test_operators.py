@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with nulls, empty and long texts, ties, repeats, clashing names."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -246,6 +247,83 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def _foreign(names_files=True):
+    """An archive that others might have written: two members of records, a gzip index of two members, a deflated one,
+    lines out of order, a plain record, a warcinfo, a record without digest."""
+    import io
+    import json
+    import zipfile
+    import zlib
+
+    def record(kind, i, body, digest=True, gz=True, http=True):
+        block = (b"HTTP/1.1 200 OK\r\nContent-Length: 1\r\n\r\n" if http else b"") + body
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-{i:012d}>\r\nContent-Length: {len(block)}\r\n"
+        head += f"WARC-Target-URI: http://x/{i}\r\n" + ("Content-Type: application/http; msgtype=response\r\n" if http else "Content-Type: text/plain\r\n")
+        head += f"WARC-Payload-Digest: sha1:{warc.payload_digest(body)}\r\n" if digest and kind != "revisit" else ""
+        raw = head.encode() + b"\r\n" + block + b"\r\n\r\n"
+        squeeze = zlib.compressobj(9, zlib.DEFLATED, 31)
+        return squeeze.compress(raw) + squeeze.flush() if gz else raw
+
+    one = [record("warcinfo", 0, b"software: x", http=False), record("response", 1, b"first"), record("revisit", 2, b"")]
+    two = [record("response", 3, b"third " * 9, digest=False, gz=False), record("response", 4, b"fourth", gz=False)]
+    lines = []
+    for name, records in (("a.warc.gz", one), ("b.warc", two)):
+        at = 0
+        for k, r in enumerate(records):
+            lines.append(f"com,x)/{k} 2024 " + json.dumps({"offset": str(at), "length": len(r)} | ({"filename": name} if names_files else {})) + "\n")
+            at += len(r)
+    lines.reverse()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc.gz", b"".join(one))
+        z.writestr("archive/b.warc", b"".join(two))
+        z.writestr("indexes/index.cdx.gz", gzip.compress(b"!meta 0 {}\n" + lines[0].encode()) + gzip.compress("".join(lines[1:3]).encode()))
+        z.writestr("indexes/more.cdxj", "".join(lines[3:]), zipfile.ZIP_DEFLATED)
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def test_foreign_archives_are_read_by_their_indexes(spark, tmp_path):
+    (tmp_path / "a.wacz").write_bytes(_foreign())
+    archives = lambda name: spark.createDataFrame([(str(tmp_path / name),)], "archive string")
+    got = {r.url[-1]: r for r in warc.read_archives(archives("a.wacz"), with_payload=True).collect()}
+    assert {k: (r.record_type, r.payload_bytes, r.payload and bytes(r.payload), r.page_id) for k, r in got.items()} == {
+        "0": ("warcinfo", 11, b"software: x", None), "1": ("response", 5, b"first", None), "2": ("revisit", 1, None, None),
+        "3": ("response", 54, b"third " * 9, None), "4": ("response", 6, b"fourth", None),
+    }
+    assert got["3"].payload_digest == warc.payload_digest(b"third " * 9) and got["2"].payload_digest is None
+    assert {(r.member, r.ok) for r in warc.verified(archives("a.wacz")).collect()} == {(m, True) for m in ("archive/a.warc.gz", "archive/b.warc", "indexes/index.cdx.gz", "indexes/more.cdxj", "datapackage.json")}
+
+
+def test_broken_archives_stop_the_reader(spark, tmp_path):
+    raw = _foreign()
+    read = lambda raw: lambda at, n: raw[at : at + n]
+    with pytest.raises(ValueError, match="names no member"):
+        list(warc.places(read(_foreign(False)), len(_foreign(False))))
+    spoilt = bytearray(raw)
+    spoilt[raw.index(b"fourth")] ^= 1  # a payload
+    (tmp_path / "b.wacz").write_bytes(spoilt)
+    archives = spark.createDataFrame([(str(tmp_path / "b.wacz"),)], "archive string")
+    assert {r.member for r in warc.verified(archives).filter("NOT ok").collect()} == {"archive/b.warc"}
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_archives(archives).collect()
+    index = warc.zip_directory(read(raw), len(raw))["indexes/index.cdx.gz"]
+    spoilt = bytearray(raw)
+    spoilt[warc.member_start(read(raw), index) + 4] ^= 1  # the time in the gzip header: only the member's checksum tells
+    with pytest.raises(ValueError, match="checksum"):
+        list(warc.places(read(bytes(spoilt)), len(raw)))
+
+
+def test_records_of_a_large_archive_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", 64)
+    monkeypatch.setattr(warc, "PLACES", 7)
+    pages = [(i, "u", f"page {i} " * (i % 40)) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    archives = spark.createDataFrame(warc.write_archives(df, str(tmp_path / "w")).collect())
+    assert archives.count() == 1 and warc.located(archives).count() == 300
+    assert sorted(r.page_id for r in warc.read_archives(archives).collect()) == list(range(300))
+
+
 def test_zip_directory_reads_both_kinds(tmp_path):
     import io
     import zipfile
