@@ -27,6 +27,8 @@ ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
 #: Places of records in a batch.
 PLACES = 10_000
+#: Tasks that read archives, at the most; each has more then.
+READERS = 65_536
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Members that hold records, and those that say where they are.
 _RECORDS, _INDEXES = re.compile(r"archive/.+\.warc(?:\.gz)?"), re.compile(r"indexes/.+\.cdxj?(?:\.gz)?")
@@ -313,6 +315,20 @@ def located(archives: DataFrame) -> DataFrame:
     return archives.select("archive").mapInArrow(run, "archive string, start long, size long, offset long, length long")
 
 
+def _total_bytes(archives: DataFrame) -> int:
+    """Bytes of the archives, from their column of that name or from the files."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                f, _ = _opened(uri)
+                with f:
+                    yield pa.RecordBatch.from_arrays([pa.array([f.size()], pa.int64())], ["bytes"])
+
+    known = archives if "bytes" in archives.columns else archives.select("archive").mapInArrow(sizes, "bytes long")
+    return known.agg(F.sum("bytes")).first()[0] or 0
+
+
 def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
     """Rows (page_id, url, payload_bytes, payload_digest, record_type, refers_to, archive) of all records of archives(archive).
 
@@ -351,7 +367,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                 f.close()
 
     sql = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string" + ", payload binary" * with_payload
-    dealt = located(archives).repartition("archive", "start", F.floor(F.col("offset") / ARCHIVE_BYTES)).sortWithinPartitions("archive", "start", "offset")
+    readers = min(READERS, max(archives.sparkSession.sparkContext.defaultParallelism, -(-_total_bytes(archives) // ARCHIVE_BYTES)))  # places are small: their own size would leave few tasks
+    dealt = located(archives).repartition(readers, "archive", "start", F.floor(F.col("offset") / ARCHIVE_BYTES)).sortWithinPartitions("archive", "start", "offset")
     return dealt.mapInArrow(run, sql)
 
 
