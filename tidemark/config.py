@@ -8,7 +8,7 @@ from pathlib import Path
 
 from tidemark.operators.labels import Failure, us
 
-#: Plausible ranges of the analog channels.
+#: Plausible ranges of the analog channels.
 RANGES = {"TP2": (-0.1, 12.0), "TP3": (0.0, 12.0), "H1": (-0.1, 12.0), "DV_pressure": (-0.1, 12.0), "Reservoirs": (0.0, 12.0), "Oil_temperature": (0.0, 110.0), "Motor_current": (-0.05, 15.0)}
 
 
