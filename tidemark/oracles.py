@@ -620,4 +620,8 @@ ORACLES |= {
  FROM (SELECT long.*, CASE WHEN score > cut THEN 1 ELSE 0 END AS hit FROM long JOIN cut USING (model)) GROUP BY model, target)
  SELECT model, target, {", ".join(map(_R, ("precision", "recall", "lead_h", "fa_per_day", "roc_auc")))}, n_pos, n_neg, {_R("pr_auc")}
  FROM per_target LEFT JOIN roc USING (model, target) LEFT JOIN ap USING (model, target) WHERE recall IS NOT NULL""",
+    "s3_typed_csv": f"WITH {_V} SELECT us, a1, a2, dv, comp FROM v",
+    "s5_parquet_by_date": f"""WITH {_V} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n, round(avg(a1), 6) AS a1_mean, CAST(sum(dv) AS BIGINT) AS loaded
+ FROM v WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14' GROUP BY 1""",
 }
+ORACLES["s10_report"] = f"SELECT model, target, precision, recall, roc_auc, n_pos FROM ({ORACLES['ev2_evaluation']})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +14,10 @@ from tidemark.operators import episodes, joins, labels, quality, timeline
 from tidemark.operators.labels import FAILURES, failure_table
 from tidemark.functions.quantiles import quantiles
 from tidemark.plans import alarms, evaluation, features, models, scorers, scoring, views
-from tidemark.schema import DAY_US, HOUR_US, sensor_view
+from tidemark.schema import DAY_US, HOUR_US, SensorSchema, sensor_view
 from tidemark.session import ship
-from tidemark.storage import stored
+from tidemark.sources import files
+from tidemark.storage import checkpoint_folder, stored
 from tidemark.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +52,8 @@ def kept(make: Query) -> Query:
 
     @functools.wraps(make)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        files = table(spark, d, "events").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
-        key = (spark.sparkContext.applicationId, d, make.__name__, tuple(sorted(map(tuple, files))))
+        state = table(spark, d, "events").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
+        key = (spark.sparkContext.applicationId, d, make.__name__, tuple(sorted(map(tuple, state))))
         if key not in _kept:
             _kept[key] = stored(make(spark, d))
         return _kept[key]
@@ -967,6 +969,38 @@ def s1_series_gaps(spark, d):
     return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), (F.max("seg") + 1).alias("n_segments"), F.max("dus").alias("longest_us"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@query
+def s3_typed_csv(spark, d):
+    """The readings, written as CSV with an index and digital channels as 0.0 and 1.0, and read with their types."""
+    schema = SensorSchema(analog=("a1", "a2"), digital=("dv", "comp"), timestamp="ts", timestamp_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
+    path = scratch(spark, "readings.csv")
+    written = view(spark, d).select(F.col("event_id").alias("index"), F.date_format("ts", schema.timestamp_format).alias("ts"), "a1", "a2", F.col("dv").cast("double"), F.col("comp").cast("double"))
+    written.write.option("header", True).csv(path)
+    return files.sensor_rows(files.read_raw(spark, path, schema), schema).select("us", "a1", "a2", F.col("dv").cast("int").alias("dv"), F.col("comp").cast("int").alias("comp"))
+
+
+@query
+def s5_parquet_by_date(spark, d):
+    """Readings of one week from a table partitioned by day; other days' files aren't read."""
+    path = scratch(spark, "readings.parquet")
+    files.write_parquet(view(spark, d).withColumn("date", F.to_date("ts")), path, ["date"])
+    week = files.read_parquet(spark, path).filter(F.col("date").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-14").cast("date")))
+    return rounded(week.groupBy(F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.avg("a1").alias("a1_mean"), F.sum("dv").alias("loaded")))
+
+
+@query
+def s10_report(spark, d):
+    """The evaluation, written as a CSV with a header and read without given types."""
+    path = scratch(spark, "evaluation")
+    files.write_report(evaluation.evaluate(score_table(spark, d), ["zmax"]), path)
+    return rounded(files.read_naive(spark, path).select("model", "target", "precision", "recall", "roc_auc", F.col("n_pos").cast("long").alias("n_pos")))
+
+
 @query
 def r8_strings(spark, d):
     c = table(spark, d, "customer")
