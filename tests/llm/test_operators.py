@@ -139,6 +139,64 @@ def test_drop_near_duplicates_equals_brute_force_at_08(spark, monkeypatch):
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
 
 
+def test_bitmaps_bound_the_difference_of_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (5, 60, 70, 300, 5000):
+        x = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        for changed in (0, n // 10, n // 2):
+            y = np.unique(np.concatenate((x[changed:], rng.integers(0, 2**64, changed + n // 5, np.uint64))))
+            maps = similar._Bitmaps([similar.parities(x), similar.parities(y), None])
+            got = maps.differ(np.array([0, 1, 0]), np.array([1, 0, 2])).tolist()
+            assert got[0] == got[1] <= len(np.setxor1d(x, y)) <= 1.5 * got[0] + 2 and got[2] == 0
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x, y, far, root = rng.integers(0, 80, 60), rng.integers(0, 80, 60), rng.random(60), rng.integers(0, 50, 80)
+    near, parts = similar._spanning(x, y, far, root).tolist(), []
+    for pairs in (range(60), near):
+        top = {r: r for r in root.tolist()}
+        for e in [*pairs] * 50:
+            top[int(root[x[e]])] = top[int(root[y[e]])] = min(top[int(root[x[e]])], top[int(root[y[e]])])
+        parts.append(top)
+    assert parts[0] == parts[1] and len(near) == len(parts[0]) - len(set(parts[0].values()))
+    cheapest = min((e for e in range(60) if root[x[e]] != root[y[e]]), key=lambda e: far[e])
+    assert cheapest in near
+
+
+def test_drop_near_duplicates_verifies_few_pairs_of_a_large_group(spark, monkeypatch):
+    rng = random.Random(6)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(160):  # three changed words in 150: most pairs are at 0.65 to 0.8 and pass the prefix filter
+        v = list(base)
+        for at in rng.sample(range(5, 145), 3):
+            v[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(v))
+    grams = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(12):
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(grams[a] & grams[b])
+                if both * 10 >= 8 * (len(grams[a]) + len(grams[b]) - both):
+                    root[a] = root[b] = min(root[a], root[b])
+    verified, seen = similar._verified, []
+
+    def counted(sets, pairs, size, least):
+        pairs = similar.cut(pairs)
+        seen.append(pairs.distinct().count())
+        return verified(sets, pairs, size, least)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {x for x in range(len(texts)) if root[x] == x}
+    assert sum(seen) < 6 * len(texts), seen
+
+
 def test_drop_near_duplicates_with_repeated_ids(spark):
     rng = random.Random(1)
     a, b, c, d, e = (" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))

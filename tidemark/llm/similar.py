@@ -20,6 +20,12 @@ from tidemark.llm.components import components
 #: Members of a key's group that are compared in one task (twice as many at most); pairs of one text verified in one task.
 BLOCK = 2048
 PAIRS = 1024
+#: Members of a key's group over which its rows carry bitmaps, which tell most dissimilar pairs without their texts; and the
+#: least and most bits of a bitmap, which has four or more for each shingle up to the most.
+HOT = 32
+LEAST_BITS, MOST_BITS = 1 << 8, 1 << 14
+#: Times that the nearest pairs of large groups are verified before all others.
+ROUNDS = 2
 #: Hashes of which sets with the same least one are compared first, and rows of one key that are held back in a task.
 MIN_HASHES = 4
 HELD = 1 << 14
@@ -109,6 +115,58 @@ def _may_reach(x: np.ndarray, y: np.ndarray, least: Fraction) -> np.ndarray:
     return most * least.denominator >= least.numerator * (n + m - most)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """For each bit whether an odd number of the set's hashes fall on it. A shingle in one of two sets turns one bit, so
+    the sets differ in as many shingles as their bitmaps differ in bits, or in more."""
+    bits = min(max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length()), MOST_BITS)
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+class _Bitmaps:
+    """The bitmaps of rows, None where a row has none, folded to the widths at which pairs are compared."""
+
+    def __init__(self, bits: list[bytes | None]):
+        self.width = np.array([len(b or b"") for b in bits], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width[self.width > 0]).tolist():
+            rows = np.nonzero((self.width == w) | (self.width == 2 * w))[0]
+            place = np.full(len(bits), -1)
+            place[rows] = np.arange(len(rows))
+            self.at[w] = place, np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, w // 8), axis=0) for r in rows.tolist()])
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The shingles that differ at least between the sets of rows x and y. Sets so different in size that their widths
+        differ by more than a factor of two are not asked for."""
+        low, out = np.minimum(self.width[x], self.width[y]), np.zeros(len(x), np.int64)
+        for w, (place, words) in self.at.items():
+            mine = np.nonzero(low == w)[0]
+            out[mine] = np.bitwise_count(words[place[x[mine]]] ^ words[place[y[mine]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _spanning(x: np.ndarray, y: np.ndarray, far: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x and y, nearest first, join all roots that the pairs join: fewer than there are roots."""
+    order, top = np.argsort(far, kind="stable"), np.unique(root, return_inverse=True)[1]
+    ends, parent, kept = np.stack([top[x[order]], top[y[order]]], axis=1), np.arange(len(root)), []
+
+    def find(v: int) -> int:
+        while (p := parent[v]) != v:
+            parent[v] = v = parent[p]
+        return v
+
+    while True:
+        apart = parent[ends[:, 0]] != parent[ends[:, 1]]
+        order, ends = order[apart], ends[apart]
+        if not len(order):
+            return np.array(kept, np.int64)
+        for e in np.unique(np.unique(parent[ends].ravel(), return_index=True)[1] // 2).tolist():  # each tree's nearest pair
+            if (a := find(int(ends[e, 0]))) != (b := find(int(ends[e, 1]))):
+                parent[max(a, b)] = min(a, b)
+                kept.append(int(order[e]))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
 def _emit(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
@@ -170,42 +228,50 @@ def _stars(least: Fraction):
     return run
 
 
-def _cross(least: Fraction):
-    """From rows (group, node, place, root) in order of group: pairs of different roots."""
+def _cross(least: Fraction, spanning: bool = False):
+    """From rows (group, node, place, root, bits) in order of group: pairs of different roots that can be similar enough;
+    or of those only as many as join what all of them join, the nearest."""
 
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(rows: np.ndarray, bits: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         group, node, place, root = rows
-        at, d, a, b, size = np.arange(len(group)), 1, [], [], 0
+        maps, at, d, found, size = _Bitmaps(bits), np.arange(len(group)), 1, [], 0
         while True:
             at = at[at + d < len(group)]
             at = at[group[at] == group[at + d]]
+            if len(at):
+                x = at[(root[at] != root[at + d]) & _may_reach(place[at], place[at + d], least)]
+                y, differ = x + d, maps.differ(x, x + d)
+                sizes = (place[x] >> 32) + (place[y] >> 32)
+                ok = (least.denominator + least.numerator) * differ <= (least.denominator - least.numerator) * sizes
+                found.append((x[ok], y[ok], differ[ok] / sizes[ok]))
+                size += len(found[-1][0])
+                d += 1
+            if size > 1 << 18 or size and not len(at):
+                x, y, far = (np.concatenate(v) for v in zip(*found, strict=True))
+                if spanning:
+                    near = _spanning(x, y, far, root)
+                    x, y, far = x[near], y[near], far[near]
+                found, size = ([(x, y, far)] if spanning and len(at) else []), 0
+                if not found:
+                    yield _emit([node[x]], [node[y]])
             if not len(at):
                 break
-            to = at + d
-            ok = (root[at] != root[to]) & _may_reach(place[at], place[to], least)
-            a.append(node[at[ok]])
-            b.append(node[to[ok]])
-            size += len(a[-1])
-            d += 1
-            if size > 1 << 18:
-                yield _emit(a, b)
-                a, b, size = [], [], 0
-        if size:
-            yield _emit(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, bits = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = _columns(batch, 4)
+            bits += batch.column(4).to_pylist()
             if held is not None:
                 rows = np.concatenate((held, rows), axis=1)
             whole = int(np.searchsorted(rows[0], rows[0, -1]))
             held = rows[:, whole:]
-            yield from pairs(rows[:, :whole])
+            yield from pairs(rows[:, :whole], bits[:whole])
+            bits = bits[whole:]
         if held is not None:
-            yield from pairs(held)
+            yield from pairs(held, bits)
 
     return run
 
@@ -271,17 +337,29 @@ def _shared_keys(sets: DataFrame, roots: DataFrame, size: int, least: Fraction)
     return _stored(keys.repartition("key").sortWithinPartitions("key", "root", "node").mapInArrow(_shared, "key long, node long, place long, root long"))
 
 
-def _texts(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored rows (node, s): a compressed text of each node of pairs."""
-    needed = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+def _texts(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored rows (node, s): a compressed text of each of the nodes, which may repeat."""
+    needed = cut(nodes.distinct())
     sent = F.broadcast(needed) if needed.count() <= SENT_NODES else needed
     return _stored(sets.select("node", F.col("packed").alias("s")).join(sent, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s")))
 
 
+def _bitmaps(sets: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Rows (node, bits): the bitmap of each of the nodes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            bits = [parities(shingles(unpack.decompress(t), size)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+
+    return _texts(sets, nodes).mapInArrow(made, "node long, bits binary")
+
+
 def _verified(sets: DataFrame, pairs: DataFrame, size: int, least: Fraction) -> DataFrame:
     """Stored pairs (a, b) that are similar enough, of rows (a, b)."""
     pairs = _stored(pairs.distinct())
-    texts = _texts(sets, pairs)
+    texts = _texts(sets, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     tasks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).alias("k"))
     dealt = pairs.join(tasks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("long").alias("p"), "b")
     own = dealt.select("a", "p").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "p", F.lit(None).cast("long").alias("b"), "s")
@@ -289,14 +367,22 @@ def _verified(sets: DataFrame, pairs: DataFrame, size: int, least: Fraction) ->
     return _stored(rows.repartition("a", "p").sortWithinPartitions("a", "p", F.asc_nulls_first("b")).mapInArrow(_verify(size, least), "a long, b long"))
 
 
-def _cross_pairs(shared: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of a key that are in different components."""
+def _hot_rows(sets: DataFrame, shared: DataFrame, size: int) -> DataFrame:
+    """Stored rows (key, node, place, root, bits) of the keys that more than HOT rows have."""
+    hot = cut(shared.groupBy("key").count().filter(F.col("count") > HOT).select("key"))
+    rows = _stored(shared.join(hot, "key", "left_semi"))
+    return _stored(rows.join(_bitmaps(sets, rows.select("node"), size), "node").select("key", "node", "place", "root", "bits"))
+
+
+def _cross_pairs(rows: DataFrame, roots: DataFrame, least: Fraction, spanning: bool = False) -> DataFrame:
+    """Pairs (a, b) of a key that are in different components, or as many as may join these; of rows (key, node, place,
+    root, bits)."""
     moved = roots.toDF("root", "top")
-    rooted = shared.join(F.broadcast(moved) if moved.limit(SENT_NODES + 1).count() <= SENT_NODES else moved, "root", "left").select("key", "node", "place", F.coalesce("top", "root").alias("root"))
+    rooted = rows.join(F.broadcast(moved) if moved.limit(SENT_NODES + 1).count() <= SENT_NODES else moved, "root", "left").select("key", "node", "place", F.coalesce("top", "root").alias("root"), "bits")
     groups = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"), F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").drop("r", "q")
     own = rooted.join(groups, "key").withColumn("p", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("group", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q"))))
-    return own.select("group", "node", "place", "root").repartition("group").sortWithinPartitions("group").mapInArrow(_cross(least), "a long, b long")
+    return own.select("group", "node", "place", "root", "bits").repartition("group").sortWithinPartitions("group").mapInArrow(_cross(least, spanning), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -310,7 +396,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Documents of equal sets are one vertex. Sets with a least hash in common (MIN_HASHES of them) are compared first,
     one of each group with the others, so that large groups of near copies are joined at a few pairs for each. Then keys
-    count only where they have members of different components: first one member of each, then all that still differ.
+    count only where they have members of different components: first one member of each, then, in large groups, the
+    nearest pairs that may join them, a few times, then all that still differ. In large groups bitmaps tell pairs that differ
+    too much, so that texts just below the similarity don't give the square of their number in pairs; no similar pair is
+    rejected by them. At 0.8, sets of more than 36,864 shingles aren't told by them: their pairs are all verified.
 
     Nulls: a null text has no shingles and is linked to other texts without; a row with a null id is grouped, but no
     group takes its name from it. Repeated rows are each returned. An empty table gives no rows.
@@ -327,7 +416,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     more = _verified(sets, shared.mapInArrow(_stars(least), "a long, b long"), shingle, least)  # partitions keep their order
     name = lambda links, end: links.join(near.toDF(end, f"{end}r"), end, "left").withColumn(end, F.coalesce(f"{end}r", end)).drop(f"{end}r")
     tops = components(name(name(more, "a"), "b"))  # of components
-    links = links.unionByName(more).unionByName(_verified(sets, _cross_pairs(shared, tops, least), shingle, least))
+    hot = _hot_rows(sets, shared, shingle)
+    for _ in range(ROUNDS if hot.limit(1).count() else 0):
+        new = _verified(sets, _cross_pairs(hot, tops, least, spanning=True), shingle, least)
+        if not new.limit(1).count():
+            break
+        more = more.unionByName(new)
+        tops = components(name(name(more, "a"), "b"))
+    rest = hot.unionByName(shared.join(hot.select("key").distinct(), "key", "left_anti").withColumn("bits", F.lit(None).cast("binary")))
+    links = links.unionByName(more).unionByName(_verified(sets, _cross_pairs(rest, tops, least), shingle, least))
     roots = components(links)
     nodes = prints.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = nodes.filter("first IS NOT NULL").groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
