@@ -197,6 +197,45 @@ def test_drop_near_duplicates_verifies_few_pairs_of_a_large_group(spark, monkeyp
     assert sum(seen) < 6 * len(texts), seen
 
 
+def test_drop_near_duplicates_searches_simhashes_first(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [[f"s{rng.randrange(10**6)}" for _ in range(300)] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "changed"]) for b in base]
+    sets = [similar.shingles(t.encode()) for t in texts]
+    fps = [similar.fingerprint(s) for s in sets]
+    assert all(f == sum((sum(int(h) >> b & 1 for h in s) * 2 > len(s)) << b for b in range(64)) - (f < 0) * 2**64 for f, s in zip(fps, sets, strict=True))
+    close = {(a, b) for b in range(24) for a in range(b) if (fps[a] ^ fps[b] & 2**64 - 1).bit_count() <= 3 or fps[a] == fps[b]}
+    assert len(close) >= 6
+    node = dict(zip(similar.nodes_of([t.encode() for t in texts], 5), range(24), strict=True))
+    links, found, verified, given = simhash.links, [], similar._verified, []
+
+    def counted(prints, *more):
+        found.append(prints.select("fps").collect())
+        return links(prints, *more)
+
+    def kept(sets, pairs, size, least):
+        pairs = similar.cut(pairs)
+        given.append({tuple(sorted((node[r.a], node[r.b]))) for r in pairs.collect()})
+        return verified(sets, pairs, size, least)
+
+    monkeypatch.setattr(simhash, "links", counted)
+    monkeypatch.setattr(similar, "_verified", kept)
+    monkeypatch.setattr(similar, "_min_keys", lambda sets, least: sets.sparkSession.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == set(range(12))
+    assert {r.fps[0] for r in found[0]} == set(fps) and close <= given[0]
+
+
+def test_hot_keys_are_given_out_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "HOT", 3)
+    keys = [1] * 3 + [2] * 4 + [3] + [4] * 20 + [5] * 3 + [7] * 4
+    for step in (1, 2, 5, 9, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + step], pa.int64())], ["key"]) for k in range(0, len(keys), step)]
+        assert [r["key"] for b in similar._hot_keys(iter(batches)) for r in b.to_pylist()] == [2, 4, 7]
+
+
 def test_drop_near_duplicates_with_repeated_ids(spark):
     rng = random.Random(1)
     a, b, c, d, e = (" ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))

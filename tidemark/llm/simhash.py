@@ -268,14 +268,16 @@ SENT_IDS = 2_000_000
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with all their columns, of which each group keeps the one with the smallest id.
 
-    Groups are those of similar_documents: every pair that shares similarity or more of its shingles is linked, and no
-    other. (Fingerprints of such texts differ in some 10 of 64 bits, too many for search keys.)
+    SimHash fingerprints of the sets of shingles, found within DISTANCE bits by the same search keys as those of
+    near_duplicates, give the first candidates. Most texts at 0.8 differ in some 10 of 64 bits, too many for search keys;
+    similar_documents completes them, and verifies each link: every pair that shares similarity or more of its shingles is
+    linked, and no other.
 
     Rows with a null id stay. Where an id repeats, each of its texts is judged by itself: a group keeps the text of its
     smallest id, of several such texts the one whose set of shingles has the smallest hash, then that of the smallest
     SHA-256, and of equal rows one.
     """
-    found = cut(similar_documents(docs, id_col, text_col, shingle, similarity))
+    found = cut(similar_documents(docs, links, id_col, text_col, shingle, similarity))
     if found.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
         return _drop_rows(docs, found, id_col, text_col, shingle)
     gone = found.filter(F.col(id_col) != F.col("__component")).select(id_col)

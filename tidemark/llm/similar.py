@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -61,26 +61,33 @@ def nodes_of(texts: list[bytes | None], size: int) -> list[int]:
     return [_node(shingles(t or b"", size)) for t in texts]
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of hashes, as a signed number: a bit is set if over half of the hashes set it."""
+    bits = np.unpackbits(s.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(s), bitorder="little").view("<i8")[0])
+
+
 def _sets(narrow: DataFrame, kind: T.DataType, size: int) -> DataFrame:
-    """Stored rows (id, node, place, mins, packed): each row's hash of its set of shingles; and where a task sees a set
-    for the first time, its size in the upper half of place, its least hashes and the text, compressed."""
+    """Stored rows (id, node, place, fp, mins, packed): each row's hash of its set of shingles; and where a task sees a set
+    for the first time, its size in the upper half of place, its SimHash, its least hashes and the text, compressed."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         pack = zstandard.ZstdCompressor()
         for batch in batches:
-            nodes, places, mins, packed = [], [], [], []
+            nodes, places, fps, mins, packed = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles(t or b"", size)
                 nodes.append(node := _node(s))
                 new = len(s) > 0 and node not in seen
                 seen.add(node)
                 places.append(len(s) << 32 if new else None)
+                fps.append(fingerprint(s) if new else None)
                 mins.append([int(x) for x in np.array([((s * (_P * np.uint64(2 * k + 1))) ^ np.uint64(k)).min() for k in range(1, MIN_HASHES + 1)], np.uint64).view(np.int64)] if new else None)
                 packed.append(pack.compress(t) if new else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(places, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["id", "node", "place", "mins", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(places, pa.int64()), pa.array(fps, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(packed, pa.binary())], ["id", "node", "place", "fp", "mins", "packed"])
 
-    fields = [T.StructField("id", kind), *[T.StructField(n, T.LongType()) for n in ("node", "place")], T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType())]
+    fields = [T.StructField("id", kind), *[T.StructField(n, T.LongType()) for n in ("node", "place", "fp")], T.StructField("mins", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType())]
     return cut(narrow.mapInArrow(hashed, T.StructType(fields)))
 
 
@@ -310,6 +317,14 @@ def _min_keys(sets: DataFrame, least: Fraction) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars(least), "a long, b long")
 
 
+def _close_prints(sets: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of sets that the search finds by their SimHashes, and of sets of one SimHash the first with the others."""
+    prints = sets.groupBy("node").agg(F.min("fp").alias("fp"))
+    first = prints.groupBy("fp").agg(F.min("node").alias("a"))
+    same = prints.join(first, "fp").filter("a <> node").select("a", F.col("node").alias("b"))
+    return search(first.select(F.col("a").alias("node"), F.array("fp").alias("fps"))).select("a", "b").unionByName(same)
+
+
 def _shared_keys(sets: DataFrame, roots: DataFrame, size: int, least: Fraction) -> DataFrame:
     """Stored rows (key, node, place, root) of the first shingles of each set that sets of other components have among
     theirs. A function of its own, as are the next ones: the frames that lead to a stored table keep its shuffle files."""
@@ -367,10 +382,23 @@ def _verified(sets: DataFrame, pairs: DataFrame, size: int, least: Fraction) ->
     return _stored(rows.repartition("a", "p").sortWithinPartitions("a", "p", F.asc_nulls_first("b")).mapInArrow(_verify(size, least), "a long, b long"))
 
 
-def _hot_rows(sets: DataFrame, shared: DataFrame, size: int) -> DataFrame:
-    """Stored rows (key, node, place, root, bits) of the keys that more than HOT rows have."""
-    hot = cut(shared.groupBy("key").count().filter(F.col("count") > HOT).select("key"))
-    rows = _stored(shared.join(hot, "key", "left_semi"))
+def _hot_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys that more than HOT rows have, of rows (key) in order."""
+    last, n = None, 0
+    for batch in batches:
+        if batch.num_rows:
+            keys, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
+            counts[0] += n if keys[0] == last else 0
+            hot = keys[counts > HOT]
+            if len(hot) and hot[0] == last and n > HOT:
+                hot = hot[1:]  # given out with a batch before
+            last, n = keys[-1], counts[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(hot)], ["key"])
+
+
+def _hot_rows(sets: DataFrame, shared: DataFrame, hot: DataFrame, size: int) -> DataFrame:
+    """Stored rows (key, node, place, root, bits) of the hot keys."""
+    rows = shared.join(hot, "key", "left_semi")
     return _stored(rows.join(_bitmaps(sets, rows.select("node"), size), "node").select("key", "node", "place", "root", "bits"))
 
 
@@ -385,7 +413,7 @@ def _cross_pairs(rows: DataFrame, roots: DataFrame, least: Fraction, spanning: b
     return own.select("group", "node", "place", "root", "bits").repartition("group").sortWithinPartitions("group").mapInArrow(_cross(least, spanning), "a long, b long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, search: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows (id, __node, __component, __keeper) of all documents: the hash of the text's set of shingles, the smallest id
     of the group, and of that id's sets in the group the smallest hash.
 
@@ -394,8 +422,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     may differ, hold a common one. Rare shingles are the first, so that groups of a key are small. Every link is verified
     on the whole sets.
 
-    Documents of equal sets are one vertex. Sets with a least hash in common (MIN_HASHES of them) are compared first,
-    one of each group with the others, so that large groups of near copies are joined at a few pairs for each. Then keys
+    Documents of equal sets are one vertex. Pairs whose SimHashes search finds close, of rows (node, fps), are compared
+    first, with sets that have a least hash in common (MIN_HASHES of them), one of each group with the others, so that
+    large groups of near copies are joined at a few pairs for each. What SimHash can't find the prefix filter does: keys
     count only where they have members of different components: first one member of each, then, in large groups, the
     nearest pairs that may join them, a few times, then all that still differ. In large groups bitmaps tell pairs that differ
     too much, so that texts just below the similarity don't give the square of their number in pairs; no similar pair is
@@ -410,20 +439,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     base = _sets(narrow, kind, shingle)
     prints, sets = base.select("id", "node"), base.filter("packed IS NOT NULL")
-    links = _verified(sets, _min_keys(sets, least), shingle, least)
+    links = _verified(sets, _close_prints(sets, search).unionByName(_min_keys(sets, least)), shingle, least)
     near = components(links)
     shared = _shared_keys(sets, near, shingle, least)
     more = _verified(sets, shared.mapInArrow(_stars(least), "a long, b long"), shingle, least)  # partitions keep their order
     name = lambda links, end: links.join(near.toDF(end, f"{end}r"), end, "left").withColumn(end, F.coalesce(f"{end}r", end)).drop(f"{end}r")
     tops = components(name(name(more, "a"), "b"))  # of components
-    hot = _hot_rows(sets, shared, shingle)
+    keys = cut(shared.select("key").mapInArrow(_hot_keys, "key long"))
+    keys = F.broadcast(keys) if keys.count() <= SENT_NODES else keys
+    hot = _hot_rows(sets, shared, keys, shingle)
     for _ in range(ROUNDS if hot.limit(1).count() else 0):
         new = _verified(sets, _cross_pairs(hot, tops, least, spanning=True), shingle, least)
         if not new.limit(1).count():
             break
         more = more.unionByName(new)
         tops = components(name(name(more, "a"), "b"))
-    rest = hot.unionByName(shared.join(hot.select("key").distinct(), "key", "left_anti").withColumn("bits", F.lit(None).cast("binary")))
+    rest = hot.unionByName(shared.join(keys, "key", "left_anti").withColumn("bits", F.lit(None).cast("binary")))
     links = links.unionByName(more).unionByName(_verified(sets, _cross_pairs(rest, tops, least), shingle, least))
     roots = components(links)
     nodes = prints.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
