@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,17 +33,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Rows (node, root) of every node of edges(a, b); root is the component's smallest node.
+def components(edges: DataFrame, most_rounds: int = 60, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Rows (node, root) of every node of edges(a, b); root is the component's smallest node. store keeps each round's edges.
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014), which need a number of rounds that grows with
     the logarithm of the size at most in practice; each is stored, and the loop ends when a round changes nothing.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    edges = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     # First each task drops edges that its others imply: a dense group is left with as many edges as it has nodes, for
     # each task of a bounded number of edges.
     tasks = max(1, -(-edges.count() // FOREST_EDGES))
-    edges = cut(edges.coalesce(tasks).mapInArrow(_forest, "a long, b long").distinct())
+    edges = store(edges.coalesce(tasks).mapInArrow(_forest, "a long, b long").distinct())
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -58,7 +58,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = cut(small)
+        edges = store(small)
         now = mark(edges)
         if now == seen:
             break

@@ -440,11 +440,11 @@ def similar_documents(docs: DataFrame, search: Callable[[DataFrame], DataFrame],
     base = _sets(narrow, kind, shingle)
     prints, sets = base.select("id", "node"), base.filter("packed IS NOT NULL")
     links = _verified(sets, _close_prints(sets, search).unionByName(_min_keys(sets, least)), shingle, least)
-    near = components(links)
+    near = components(links, store=_stored)
     shared = _shared_keys(sets, near, shingle, least)
     more = _verified(sets, shared.mapInArrow(_stars(least), "a long, b long"), shingle, least)  # partitions keep their order
     name = lambda links, end: links.join(near.toDF(end, f"{end}r"), end, "left").withColumn(end, F.coalesce(f"{end}r", end)).drop(f"{end}r")
-    tops = components(name(name(more, "a"), "b"))  # of components
+    tops = components(name(name(more, "a"), "b"), store=_stored)  # of components
     keys = cut(shared.select("key").mapInArrow(_hot_keys, "key long"))
     keys = F.broadcast(keys) if keys.count() <= SENT_NODES else keys
     hot = _hot_rows(sets, shared, keys, shingle)
@@ -453,10 +453,10 @@ def similar_documents(docs: DataFrame, search: Callable[[DataFrame], DataFrame],
         if not new.limit(1).count():
             break
         more = more.unionByName(new)
-        tops = components(name(name(more, "a"), "b"))
+        tops = components(name(name(more, "a"), "b"), store=_stored)
     rest = hot.unionByName(shared.join(keys, "key", "left_anti").withColumn("bits", F.lit(None).cast("binary")))
     links = links.unionByName(more).unionByName(_verified(sets, _cross_pairs(rest, tops, least), shingle, least))
-    roots = components(links)
+    roots = components(links, store=_stored)
     nodes = prints.groupBy("node").agg(F.min("id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keepers = nodes.filter("first IS NOT NULL").groupBy("root").agg(F.min(F.struct("first", "node")).alias("k"))
     named = nodes.join(keepers, "root", "left").select("node", F.col("k.first").alias("__component"), F.col("k.node").alias("__keeper"))
