@@ -92,6 +92,46 @@ def test_near_duplicates_find_all_pairs_within_three_bits(spark, monkeypatch):
                 assert root[signed[i]] == root[signed[j]]
 
 
+def _edges_of_odd_shapes():
+    rng = random.Random(21)
+    chain = [(k, k + 1) for k in range(100, 180)]
+    star = [(500, k) for k in range(501, 560)]
+    rest = [(rng.randrange(-(10**12), 10**12), rng.randrange(-50, 50)) for _ in range(60)]
+    return [*chain, *star, *rest, (7, 7), (180, 501), (501, 180), (180, 501)]
+
+
+@pytest.mark.parametrize("most", [500_000, 40])
+def test_components_equal_brute_force(spark, monkeypatch, most):
+    from tidemark.llm import components
+
+    monkeypatch.setattr(components, "FOREST_EDGES", most)
+    edges = _edges_of_odd_shapes()
+    parent = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in parent:
+        for a, b in edges:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    found = components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(parent.items())
+    assert not components.components(spark.createDataFrame([], "a long, b long")).collect()
+
+
+def test_components_of_few_edges_need_no_rounds(spark):
+    """A round's shuffles have as many tasks as there are partitions, however few edges there are."""
+    from tidemark.llm.components import components
+
+    sc = spark.sparkContext
+    edges = spark.createDataFrame(_edges_of_odd_shapes(), "a long, b long").repartition(5)
+    sc.setJobGroup("components", "")
+    try:
+        components(edges).collect()
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(key, None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup("components")) <= 8
+
+
 def test_drop_near_duplicates_keeps_one_of_similar_texts(spark):
     rng = random.Random(5)
     base = [[f"v{rng.randrange(10**6)}" for _ in range(400)] for _ in range(20)]

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 
-#: Edges of which one task finds a spanning forest.
+#: Edges of which one task finds the components.
 FOREST_EDGES = 500_000
+#: Rows that it gives out at once.
+_ROWS = 10_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's edges those that join what the ones before left apart."""
+    """Rows (node, root) of every node of a task's edges; root is the smallest node that the task's edges join it to."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -25,25 +27,30 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        kept: list[tuple[int, int]] = []
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (p := find(a)) != (q := find(b)):
                 parent[max(p, q)] = min(p, q)
-                kept.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
+    nodes = list(parent)
+    for at in range(0, len(nodes), _ROWS):
+        part = nodes[at : at + _ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "root"])
 
 
 def components(edges: DataFrame, most_rounds: int = 60, store: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Rows (node, root) of every node of edges(a, b); root is the component's smallest node. store keeps each round's edges.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014), which need a number of rounds that grows with
-    the logarithm of the size at most in practice; each is stored, and the loop ends when a round changes nothing.
+    Tasks of FOREST_EDGES edges each first find the components of their own edges. With no more edges than that these are
+    the result. Of several tasks the results are edges again, which large-star and small-star rounds join (Kiveris et al.,
+    2014): in practice they need a number of rounds that grows with the logarithm of the size at most; each is stored, and
+    the loop ends when a round changes nothing. A round is some ten shuffles, so few edges are not worth them.
     """
     edges = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    # First each task drops edges that its others imply: a dense group is left with as many edges as it has nodes, for
-    # each task of a bounded number of edges.
     tasks = max(1, -(-edges.count() // FOREST_EDGES))
-    edges = store(edges.coalesce(tasks).mapInArrow(_forest, "a long, b long").distinct())
+    forest = edges.coalesce(tasks).mapInArrow(_forest, "node long, root long")
+    if tasks == 1:
+        return store(forest)
+    # A dense group is left with as many edges as it has nodes, for each task.
+    edges = store(forest.filter("node <> root").toDF("a", "b").distinct())
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
