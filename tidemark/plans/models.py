@@ -146,9 +146,13 @@ def isolation_forest(split: DataFrame, columns=SCORED, trees: int = 100, sample:
 
 def anchored_residual(features: DataFrame, signals=("oil_median", "tp3_decay_slope"), columns=SCORED, multi: bool = True, seed: int = 1) -> DataFrame:
     """Adds anchored_residual (or, without multi, one for each signal): how far a signal is from what boosted trees, fitted
-    on healthy windows, tell from the other columns; in healthy deviations, the largest of the signals."""
+    on healthy windows, tell from the other columns; in healthy deviations, the largest of the signals. Null without
+    healthy windows of the signal."""
     healthy = F.col("label") == "healthy"
     for s in signals:
+        if features.filter(healthy & F.col(s).isNotNull()).isEmpty():
+            features = features.withColumn(f"{s}_residual", F.lit(None).cast("double"))
+            continue
         d = assembled(features, [c for c in columns if c != s])
         model = GBTRegressor(featuresCol="_x", labelCol=s, predictionCol="_guess", maxIter=20, maxDepth=3, stepSize=0.1, seed=seed).fit(d.filter(healthy & F.col(s).isNotNull()))
         d = stored(model.transform(d).withColumn("_r", F.abs(F.col(s) - F.col("_guess"))).drop("_x", "_guess"))
