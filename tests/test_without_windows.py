@@ -19,6 +19,6 @@ def tables(tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["ev12_tree_scorers"])
+@pytest.mark.parametrize("name", ["ev12_tree_scorers", "m9_anchored_residual"])
 def test_nothing_to_fit_gives_no_rows(spark, tables, name):
     assert QUERIES[name](spark, str(tables / "tied")).collect() == []
