@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from tests.conftest import DATA
+from tests.test_oracles import plain
+from tidemark.oracles import ORACLES
 from tidemark.queries import QUERIES
 
 
@@ -19,6 +21,22 @@ def tables(tmp_path_factory):
     return out
 
 
+def both(spark, folder, name):
+    df = QUERIES[name](spark, str(folder))
+    ours = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    cur = duck.execute(ORACLES[name])
+    names = [x[0] for x in cur.description]
+    return ours, sorted(tuple(plain(dict(zip(names, r, strict=True))[c]) for c in sorted(names)) for r in cur.fetchall())
+
+
+@pytest.mark.parametrize(("table", "name"), [("tied", "a30_pivot")])
+def test_query_equals_oracle_without_windows(spark, tables, table, name):
+    ours, theirs = both(spark, tables / table, name)
+    assert ours == theirs and ours
+
+
 @pytest.mark.parametrize("name", ["ev12_tree_scorers", "m9_anchored_residual"])
 def test_nothing_to_fit_gives_no_rows(spark, tables, name):
     assert QUERIES[name](spark, str(tables / "tied")).collect() == []
