@@ -19,11 +19,13 @@ def unpivoted(df: DataFrame, keep: list[str], columns: list[str], name: str = "s
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max of each column; percentiles are exact and interpolate."""
+    """count, mean, std, min, quartiles and max of each column; percentiles are exact and interpolate. A table without rows
+    has none of them and counts 0."""
     long = unpivoted(df.select(*[F.col(c).cast("double") for c in columns]), [], columns)
     sums = long.groupBy("signal").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     q = quantiles(long, ["signal"], "value", (0.25, 0.5, 0.75))
-    return sums.join(q, "signal", "left").select("signal", "n", "mean", "std", "min", *[F.get("q", i).alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "signal string")
+    return every.join(sums, "signal", "left").join(q, "signal", "left").select("signal", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "min", *[F.get("q", i).alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
