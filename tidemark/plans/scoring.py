@@ -77,7 +77,8 @@ def targets(failures=FAILURES, hours: int = 48) -> list[tuple[str, int, int, int
 def forecast_residual(features: DataFrame, signal: str, lags: int = 6, alpha: float = 1.0) -> DataFrame:
     """Adds forecast_residual: the error of a ridge regression of the signal on its last windows of the segment.
 
-    Fitted on healthy windows with whole lags from one table of sums; windows without whole lags score 0.
+    Fitted on healthy windows with whole lags from one table of sums; windows without whole lags score 0,
+    the others null where there is nothing to fit.
     """
     import numpy as np
 
@@ -93,7 +94,7 @@ def forecast_residual(features: DataFrame, signal: str, lags: int = 6, alpha: fl
     row = fit.agg(F.count(F.lit(1)), *[F.avg(c) for c in every], *[F.covar_pop(a, b) for a, b in pairs]).first()  # one row
     n, means = row[0], row[1 : 1 + len(every)]
     if not n:
-        return d.withColumn("forecast_residual", F.lit(0.0)).drop("_seg", *names)
+        return d.withColumn("forecast_residual", F.when(usable, F.lit(None).cast("double")).otherwise(0.0)).drop("_seg", *names)
     cov = np.zeros((len(every), len(every)))
     for (a, b), v in zip(pairs, row[1 + len(every) :], strict=True):
         i, j = every.index(a), every.index(b)
