@@ -65,6 +65,33 @@ def range_frame(df: DataFrame, span_us: int, aggregates: dict[str, Column], role
     return d.withColumns({name: a.over(frame) for name, a in aggregates.items()}).filter("_bucket = _own").drop("_own", "_bucket")
 
 
+def range_totals(df: DataFrame, span_us: int, totals: dict[str, tuple[str, str | Column]], roles: Roles = VIEW) -> DataFrame:
+    """Adds, for each {name: (count, sum, min or max, column)}, its value over the series' rows in (t - span, t].
+
+    What range_frame gives, without going through each frame: rows are totalled by time, and a frame is the end of one
+    block of time, a span long, and the beginning of the next. Both are running totals of a block, one from its last row
+    backwards. Rows without a time are a frame of their own.
+    """
+    s, us = roles.series, F.col(roles.us)
+    more = {n: {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[f] for n, (f, _) in totals.items()}
+    at = df.groupBy(s, us.alias("_us")).agg(*[getattr(F, f)(c).alias(f"_{n}") for n, (f, c) in totals.items()])
+    at = at.withColumn("_block", F.col("_us") - F.pmod("_us", F.lit(span_us)))
+    so_far = lambda order: Window.partitionBy(s, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    begun = at.withColumns({f"_begun_{n}": f(f"_{n}").over(so_far("_us")) for n, f in more.items()})
+    asked = begun.select(s, "_us", F.lit(True).alias("_asks"), (F.col("_block") - span_us).alias("_block"), (-2 * (F.col("_us") - span_us) - 1).alias("_back"), *[f"_begun_{n}" for n in more])
+    both = asked.unionByName(at.withColumn("_back", -2 * F.col("_us")).drop("_us"), allowMissingColumns=True)
+    both = both.withColumns({f"_ended_{n}": f(f"_{n}").over(so_far("_back")) for n, f in more.items()}).filter("_asks")
+
+    def whole(n: str) -> Column:
+        a, b = F.col(f"_begun_{n}"), F.when(F.col("_us").isNotNull(), F.col(f"_ended_{n}"))
+        if totals[n][0] in ("count", "sum"):
+            return F.coalesce(a + b, a, b)
+        return F.least(a, b) if totals[n][0] == "min" else F.greatest(a, b)
+
+    frames = both.select(F.col(s).alias("_s"), "_us", *[whole(n).alias(n) for n in more])
+    return df.join(frames, F.col(s).eqNullSafe(F.col("_s")) & us.eqNullSafe(F.col("_us"))).drop("_s", "_us")
+
+
 def with_lag(df: DataFrame, roles: Roles = VIEW) -> DataFrame:
     """Adds prev_us and dus, the time since the previous row."""
     return lagged(df, {roles.us: "prev_us"}, roles).withColumn("dus", F.col(roles.us) - F.col("prev_us"))

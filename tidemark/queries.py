@@ -906,8 +906,8 @@ def ev12_tree_scorers(spark, d):
 def w14_range_frames(spark, d):
     """Number, sum and extremes of the readings in the six hours up to each."""
     v = view(spark, d).select("series_id", "event_id", "us", "a1", "a2")
-    made = {"n": F.count(F.lit(1)), "a2_sum": F.sum("a2"), "a1_low": F.min("a1"), "a1_high": F.max("a1")}
-    return timeline.range_frame(v, 6 * HOUR_US, made).select("event_id", *made)
+    made = {"n": ("count", F.lit(1)), "a2_sum": ("sum", "a2"), "a1_low": ("min", "a1"), "a1_high": ("max", "a1")}
+    return timeline.range_totals(v, 6 * HOUR_US, made).select("event_id", *made)
 
 
 @query
