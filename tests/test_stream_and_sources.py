@@ -251,3 +251,34 @@ def test_pipeline_from_end_to_end(spark, raw_csv, tmp_path):
     config.write_text(json.dumps(raw))
     assert pipeline.main(["--config", str(config), "--stage", "preprocess"]) == 1
     assert issubclass(quality.QualityError, RuntimeError)
+
+
+def test_segments_of_a_batch_are_gone_through_once():
+    """As many segments as times, of one batch: each is looked at by itself, not all rows for each."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Kept:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    width, n = 3_600_000_000, 60_000
+    t = np.arange(n, dtype=np.int64) * 26_000_000
+    long = np.r_[t[-1] + 26_000_000 + np.arange(0, 3 * width + 1, 10_000_000, dtype=np.int64)]
+    for times, gap, want in ((t, 0, []), (np.r_[t, long], 20_000_000, [(n, 0), (n, 1), (n, 2)])):
+        p = streams.SegmentWindows(pa.schema([("us", pa.int64())]), "us", "us", gap, width, 10**15)
+        p.context = Kept()
+        began = time.thread_time()
+        given, rest = p._close(pa.table({"us": times}), times)
+        assert time.thread_time() - began < 1  # 4 s and more where all rows are looked at for each segment
+        assert [(s, w) for s, w, _, _ in given] == want and sum(len(x[3]) for x in given) == 360 * len(want) and len(rest) == 1
+        assert p.context.value[:2] == (n if want else n - 2, int(rest.column("us")[0].as_py()) - (3 * width if want else 0))
